@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draw import uniform
 from ..functions.scalar import keep_probability
-from ..functions.skew import lookup, salted_join
+from ..functions.skew import lookup
 
 # ---- fixed values -------------------------------------------------------
 EMPTY_FEED_MESSAGE = "No posts passed exposure policy."
@@ -193,9 +193,7 @@ def govern(
 ) -> DataFrame:
     """Impression rows of every refresh whose candidates are all complete.
 
-    A refresh with a single unresolved root, community or risk emits nothing. The
-    failed refreshes are few, so they are removed by an anti join rather than by a
-    window over all candidates.
+    A refresh with a single unresolved root, community or risk emits nothing.
     """
     rows = resolve_candidates(candidates, roots, users, risk, limit=limit)
     missing = (
@@ -282,17 +280,3 @@ def format_feed(
     return lookup(rows, counts, "comments_post_id", "left").withColumn(
         "comment_count", F.coalesce("comment_count", F.lit(0))
     )
-
-
-__all__ = [
-    "following_topk",
-    "format_feed",
-    "govern",
-    "governed_feed",
-    "joint_candidates",
-    "merge_candidates",
-    "policy_variants",
-    "recommendation_sample",
-    "resolve_candidates",
-    "salted_join",
-]

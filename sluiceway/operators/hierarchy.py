@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.skew import lookup, salted_join, is_small
+from ..functions.skew import lookup
 from ..session import cut
 
 
-def resolve_chains(posts: DataFrame, *, max_rounds: int = 48, limit: int | None = None) -> DataFrame:
+def resolve_chains(posts: DataFrame, *, max_rounds: int = 64, limit: int | None = None) -> DataFrame:
     """Pointer doubling over parent links.
 
     Returns (post_id, user_id, root_post_id, depth, error). Every round halves the
     remaining distance, so log2(depth) rounds suffice; rows already at a root leave
-    the working set. What is left after more rounds than any chain can need is a cycle.
+    the working set. A chain of any depth has ancestors at every smaller depth, so while
+    a chain is open each round resolves some row: a round that resolves none leaves
+    only rows on, or leading into, a cycle.
     """
     nodes = posts.select("post_id", "user_id", F.col("original_post_id").alias("parent"))
     # (post_id -> ptr, hops); a root points at itself
@@ -28,9 +30,7 @@ def resolve_chains(posts: DataFrame, *, max_rounds: int = 48, limit: int | None
     jump = cut(jump)
     finished = jump.where("done")
     open_rows = jump.where("not done")
-    total = jump.count()
-    rounds = min(max_rounds, max(1, total).bit_length() + 1)
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         table = finished.unionByName(open_rows).select(
             F.col("post_id").alias("ptr"),
             F.col("ptr").alias("next"),
@@ -52,9 +52,10 @@ def resolve_chains(posts: DataFrame, *, max_rounds: int = 48, limit: int | None
                 .alias("error"),
             )
         )
-        finished = finished.unionByName(stepped.where("done"))
+        resolved = stepped.where("done")
+        finished = finished.unionByName(resolved)
         open_rows = stepped.where("not done")
-        if open_rows.isEmpty():
+        if open_rows.isEmpty() or resolved.isEmpty():
             break
     cyclic = open_rows.withColumn("error", F.lit("cycle"))
     return finished.unionByName(cyclic).select(
@@ -113,19 +114,8 @@ def cascade_full(posts: DataFrame, roots: DataFrame) -> DataFrame:
 
 def root_adopters(roots: DataFrame, users: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Distinct authors per root with the community of the root author."""
-    pairs = roots.groupBy("root_post_id", "user_id", "root_author_id").agg().distinct()
+    pairs = roots.select("root_post_id", "user_id", "root_author_id").distinct()
     dim = users.select(F.col("user_id").alias("root_author_id"), F.col("community").alias("root_community"))
     return lookup(pairs, dim, "root_author_id", "left", limit=limit).select(
         "root_post_id", "user_id", "root_community"
     )
-
-
-__all__ = [
-    "cascade_direct",
-    "cascade_full",
-    "post_roots",
-    "resolve_chains",
-    "root_adopters",
-    "salted_join",
-    "is_small",
-]

@@ -1 +1,264 @@
-"""Queries."""
+"""Queries G1-G14 and M20: repost chains, contact graph, threshold adoption."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, hierarchy
+from .registry import query
+from .views import SEED, Logs
+
+THETA = 0.06
+DENSITY = 0.02
+ROUNDS = 4
+
+
+@query("post_roots", "SELECT post_id, root_post_id, root_author_id, depth FROM roots")
+def _(t: Logs):
+    return hierarchy.post_roots(t.post).select("post_id", "root_post_id", "root_author_id", "depth")
+
+
+def _damaged(t: Logs):
+    """The forest with holes (every 37th post gone) and two-post cycles."""
+    d = F.col("post_id")
+    parent = F.when((d % 41 == 1), d + 1).when((d % 41 == 2), d - 1).otherwise(F.col("original_post_id"))
+    return t.post.where(d % 37 != 36).withColumn("original_post_id", parent)
+
+
+@query(
+    "post_root_errors",
+    """SELECT error, count(*)::BIGINT AS posts, min(post_id) AS first_post, max(post_id) AS last_post FROM (
+         SELECT p.post_id, CASE WHEN a.post_id IS NOT NULL THEN 'absent' WHEN g.post_id IS NULL THEN 'cycle' END AS error
+         FROM damaged p LEFT JOIN good g ON p.post_id = g.post_id LEFT JOIN lost a ON p.post_id = a.post_id)
+       WHERE error IS NOT NULL GROUP BY error""",
+    damaged="""SELECT post_id, CASE WHEN post_id % 41 = 1 THEN post_id + 1 WHEN post_id % 41 = 2 THEN post_id - 1
+         ELSE original_post_id END AS parent FROM post WHERE post_id % 37 <> 36""",
+    good="""SELECT post_id FROM damaged WHERE parent IS NULL
+         UNION ALL SELECT d.post_id FROM damaged d JOIN good g ON d.parent = g.post_id""",
+    lost="""SELECT post_id FROM damaged WHERE parent IS NOT NULL AND parent NOT IN (SELECT post_id FROM damaged)
+         UNION ALL SELECT d.post_id FROM damaged d JOIN lost l ON d.parent = l.post_id""",
+)
+def _(t: Logs):
+    bad = hierarchy.resolve_chains(_damaged(t)).where("error is not null")
+    return bad.groupBy(F.substring_index("error", " ", 1).alias("error")).agg(
+        F.count(F.lit(1)).alias("posts"), F.min("post_id").alias("first_post"), F.max("post_id").alias("last_post")
+    )
+
+
+@query(
+    "cascade_size_direct",
+    """SELECT r.post_id AS root_post_id, count(*)::BIGINT AS cascade_size FROM post r
+       JOIN post p ON p.post_id = r.post_id OR p.original_post_id = r.post_id
+       WHERE r.original_post_id IS NULL GROUP BY 1""",
+)
+def _(t: Logs):
+    return hierarchy.cascade_direct(t.post)
+
+
+@query(
+    "cascade_size_full",
+    """SELECT r.root_post_id, count(*)::BIGINT AS cascade_size, max(r.depth) AS max_depth,
+         count(DISTINCT r.user_id)::BIGINT AS authors,
+         (count(*) FILTER (p.original_post_id IS NOT NULL AND p.quote_content IS NULL))::BIGINT AS reposts,
+         (count(*) FILTER (p.original_post_id IS NOT NULL AND p.quote_content IS NOT NULL))::BIGINT AS quotes
+       FROM roots r JOIN post p ON p.post_id = r.post_id GROUP BY 1""",
+)
+def _(t: Logs):
+    return hierarchy.cascade_full(t.post, t.roots)
+
+
+@query("contact_edges", "SELECT src, dst FROM edges")
+def _(t: Logs):
+    return graph.contact_edges(t.follow)
+
+
+MIX = """SELECT '{mode}' AS mode, (count(*) FILTER (s.community = d.community AND a <> b))::BIGINT AS intra_edges,
+    (count(*) FILTER (s.community <> d.community))::BIGINT AS inter_edges, (count(*) FILTER (a <> b))::BIGINT AS total_edges,
+    (count(*) FILTER (s.community <> d.community))::DOUBLE / nullif(count(*) FILTER (a <> b), 0) AS mu,
+    coalesce(sum(n) FILTER (a = b), 0)::BIGINT AS self_loops, coalesce(sum(n - 1) FILTER (a <> b), 0)::BIGINT AS duplicates,
+    count(*) = count(s.community) AND count(*) = count(d.community) AS valid
+  FROM (SELECT {ends}, count(*) AS n FROM follow GROUP BY 1, 2)
+  LEFT JOIN users s ON a = s.user_id LEFT JOIN users d ON b = d.user_id"""
+
+
+@query(
+    "mixing_stats",
+    MIX.format(mode="symmetrize", ends="least(follower_id, followee_id) AS a, greatest(follower_id, followee_id) AS b")
+    + " UNION ALL "
+    + MIX.format(mode="arcs", ends="follower_id AS a, followee_id AS b"),
+)
+def _(t: Logs):
+    return graph.mixing_stats(t.follow, t.users).unionByName(graph.mixing_stats(t.follow, t.users, "arcs"))
+
+
+@query(
+    "mixing_per_community",
+    """SELECT u.community, count(*)::BIGINT AS nodes, coalesce(sum(intra), 0)::BIGINT AS intra_incidents,
+         coalesce(sum(inter), 0)::BIGINT AS inter_incidents, (count(*) FILTER (c.user_id IS NULL))::BIGINT AS isolated_nodes
+       FROM users u LEFT JOIN (SELECT c.user_id, count(*) FILTER (a.community = b.community) AS intra,
+           count(*) FILTER (a.community <> b.community) AS inter
+         FROM contacts c JOIN users a ON c.user_id = a.user_id JOIN users b ON c.neighbor_id = b.user_id GROUP BY 1) c
+       ON u.user_id = c.user_id GROUP BY 1""",
+)
+def _(t: Logs):
+    return graph.mixing_per_community(t.follow, t.users)
+
+
+@query(
+    "missing_community_edges",
+    """SELECT follower_id AS src, followee_id AS dst FROM follow
+       WHERE follower_id NOT IN (SELECT user_id FROM users WHERE user_id % 50 <> 0)
+         OR followee_id NOT IN (SELECT user_id FROM users WHERE user_id % 50 <> 0)""",
+)
+def _(t: Logs):
+    # every 50th label removed: all endpoints of the whole table are labelled otherwise
+    return graph.missing_community_edges(t.follow, t.users.where("user_id % 50 != 0"))
+
+
+@query(
+    "degree_split",
+    """SELECT u.user_id, count(c.neighbor_id)::BIGINT AS total_degree,
+         (count(*) FILTER (b.community = u.community))::BIGINT AS intra_degree,
+         (count(*) FILTER (b.community <> u.community))::BIGINT AS inter_degree
+       FROM users u LEFT JOIN contacts c ON u.user_id = c.user_id LEFT JOIN users b ON c.neighbor_id = b.user_id GROUP BY 1""",
+)
+def _(t: Logs):
+    return graph.degree_split(t.follow, t.users)
+
+
+@query("root_adopters", "SELECT root_post_id, user_id, root_community FROM adopters")
+def _(t: Logs):
+    return hierarchy.root_adopters(t.roots, t.users)
+
+
+EVALUATION = f"""SELECT p.*, p.degree AS total_degree, {THETA}::DOUBLE * p.degree AS boundary,
+    1.0::DOUBLE * ai + 0.5::DOUBLE * ae AS native_signal, 1.0::DOUBLE * oi + 0.5::DOUBLE * oe AS observable_signal
+  FROM (SELECT c.user_id, a.root_post_id, any_value(g.degree) AS degree,
+      count(*) FILTER (x.community = y.community) AS ai, count(*) FILTER (x.community <> y.community) AS ae,
+      count(*) FILTER (x.community = y.community AND o.adopter_id IS NOT NULL) AS oi,
+      count(*) FILTER (x.community <> y.community AND o.adopter_id IS NOT NULL) AS oe
+    FROM contacts c JOIN adopters a ON c.neighbor_id = a.user_id
+    JOIN users x ON c.user_id = x.user_id JOIN users y ON c.neighbor_id = y.user_id
+    JOIN (SELECT user_id, count(*) AS degree FROM contacts GROUP BY 1) g ON g.user_id = c.user_id
+    LEFT JOIN (SELECT DISTINCT i.user_id, i.root_post_id, p.user_id AS adopter_id FROM impressions i
+      JOIN post p ON i.post_id = p.post_id WHERE i.shown) o
+      ON o.user_id = c.user_id AND o.root_post_id = a.root_post_id AND o.adopter_id = c.neighbor_id
+    GROUP BY 1, 2) p"""
+EVALUATED = """SELECT e.user_id, e.root_post_id, ai::BIGINT AS adopted_intra, ae::BIGINT AS adopted_inter,
+    oi::BIGINT AS observable_intra, oe::BIGINT AS observable_inter, degree::BIGINT AS total_degree,
+    round(boundary, 6) AS boundary, native_signal, observable_signal, native_signal > boundary AS native_satisfied,
+    observable_signal > boundary AS observable_satisfied, a.user_id IS NOT NULL AS already_adopted,
+    oi + oe > 0 AS gate_passed, native_signal > boundary AND NOT observable_signal > boundary AS blocked,
+    observable_signal > boundary AND a.user_id IS NULL AS should_attempt
+  FROM evaluation e LEFT JOIN adopters a ON e.user_id = a.user_id AND e.root_post_id = a.root_post_id"""
+
+
+def _evaluation(t: Logs):
+    authors = t.post.select("post_id", F.col("user_id").alias("adopter_id"))
+    seen = t.impressions.where("shown").select("user_id", "root_post_id", "post_id").distinct()
+    observable = seen.join(authors, "post_id").select("user_id", "root_post_id", "adopter_id")
+    adopters = t.roots.select("root_post_id", "user_id").distinct()
+    return graph.threshold_evaluation(
+        t.follow, t.users, adopters, observable, threshold=THETA, weight_intra=1.0, weight_inter=0.5
+    )
+
+
+@query("threshold_evaluation", EVALUATED, evaluation=EVALUATION)
+def _(t: Logs):
+    return (
+        _evaluation(t).drop("intra_degree", "inter_degree", "threshold_satisfied")
+        .withColumn("boundary", F.round("boundary", 6))
+    )
+
+
+@query(
+    "shadow_summary",
+    """SELECT count(*)::BIGINT AS evaluations, (count(*) FILTER (should_attempt))::BIGINT AS potential_adoptions,
+         (count(*) FILTER (blocked))::BIGINT AS blocked, (count(*) FILTER (NOT observable_satisfied))::BIGINT AS below_threshold
+       FROM evaluated""",
+    evaluation=EVALUATION,
+    evaluated=EVALUATED,
+)
+def _(t: Logs):
+    return graph.shadow_summary(_evaluation(t))
+
+
+SEEDS = f"""SELECT community, user_id FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY
+      ('0x' || substr(md5('{SEED}|' || community || '|' || user_id), 1, 8))::BIGINT, user_id) AS r FROM users), cnt
+    WHERE r <= floor({DENSITY}::DOUBLE * n)"""
+COMMUNITIES = [f"community-{i}" for i in range(5)]
+
+
+def _seeds(t: Logs):
+    return graph.initial_adopters(t.users, DENSITY, SEED, COMMUNITIES)
+
+
+@query("initial_adopters", "SELECT community, user_id FROM seeds", seeds=SEEDS)
+def _(t: Logs):
+    return _seeds(t)
+
+
+def _round_views() -> dict[str, str]:
+    views = {
+        "seeds": SEEDS,
+        "labelled": """SELECT c.user_id, c.neighbor_id, a.community = b.community AS same FROM contacts c
+            JOIN users a ON c.user_id = a.user_id JOIN users b ON c.neighbor_id = b.user_id""",
+        "degrees": "SELECT user_id, count(*) AS degree FROM contacts GROUP BY 1",
+        "round_0": "SELECT user_id, right(community, 1)::BIGINT AS root_post_id, 0 AS round FROM seeds",
+    }
+    for i in range(1, ROUNDS + 1):
+        views[f"round_{i}"] = f"""SELECT * FROM round_{i - 1} UNION ALL
+            SELECT c.user_id, a.root_post_id, {i} FROM labelled c JOIN round_{i - 1} a ON c.neighbor_id = a.user_id
+            JOIN degrees g ON g.user_id = c.user_id
+            WHERE NOT EXISTS (SELECT 1 FROM round_{i - 1} b WHERE b.user_id = c.user_id AND b.root_post_id = a.root_post_id)
+            GROUP BY c.user_id, a.root_post_id HAVING (count(*) FILTER (same)) * 1.0::DOUBLE
+              + (count(*) FILTER (NOT same)) * 0.5::DOUBLE > {THETA}::DOUBLE * any_value(g.degree)"""
+    return views
+
+
+def _rounds(t: Logs):
+    seeds = _seeds(t).select("user_id", F.substring_index("community", "-", -1).cast("bigint").alias("root_post_id"))
+    return graph.threshold_rounds(
+        t.follow, t.users, seeds, threshold=THETA, weight_intra=1.0, weight_inter=0.5, rounds=ROUNDS
+    )
+
+
+@query(
+    "threshold_rounds",
+    f"SELECT user_id, root_post_id, round::INTEGER AS round FROM round_{ROUNDS}",
+    **_round_views(),
+)
+def _(t: Logs):
+    return _rounds(t)
+
+
+@query(
+    "threshold_round_counts",
+    f"""SELECT root_post_id, round::INTEGER AS round, new_adopters, sum(new_adopters) OVER (PARTITION BY root_post_id
+          ORDER BY round)::BIGINT AS total_adopters
+        FROM (SELECT root_post_id, round, count(*)::BIGINT AS new_adopters FROM round_{ROUNDS} GROUP BY 1, 2)""",
+    **_round_views(),
+)
+def _(t: Logs):
+    return graph.round_counts(_rounds(t))
+
+
+@query(
+    "adoption_summary",
+    f"""SELECT a.root_post_id, count(*)::BIGINT AS final_adopters, round(count(*)::DOUBLE / any_value(n), 6) AS final_fraction,
+          (count(*) FILTER (right(community, 1)::BIGINT = a.root_post_id))::BIGINT AS intra_adoptions,
+          (count(*) FILTER (right(community, 1)::BIGINT <> a.root_post_id))::BIGINT AS inter_adoptions,
+          round(count(DISTINCT community)::DOUBLE / (SELECT count(DISTINCT community) FROM users), 6) AS coverage,
+          count(DISTINCT CASE WHEN round > 0 THEN round END)::BIGINT AS generations
+        FROM round_{ROUNDS} a JOIN users u ON a.user_id = u.user_id, cnt GROUP BY 1""",
+    **_round_views(),
+)
+def _(t: Logs):
+    labels = t.users.select(
+        F.substring_index("community", "-", -1).cast("bigint").alias("root_post_id"), F.col("community").alias("root_community")
+    ).distinct()
+    return (
+        graph.adoption_summary(_rounds(t), t.users, labels)
+        .withColumn("final_fraction", F.round("final_fraction", 6))
+        .withColumn("coverage", F.round("coverage", 6))
+    )
