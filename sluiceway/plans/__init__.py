@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_governance", "q_graph", "q_exposure")
+MODULES = ("q_choices","q_text","q_audit")
 
 
 def load_all() -> None:

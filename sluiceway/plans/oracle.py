@@ -128,18 +128,20 @@ VIEWS: dict[str, str] = {
 
 
 def _needed(body: str, extra: dict[str, str]) -> list[str]:
-    """Names used by ``body``, directly or through other views, in definition order."""
+    """Names used by ``body``, directly or through other views, dependencies first."""
     known = {**VIEWS, **extra}
     seen: set[str] = set()
+    order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in set(re.findall(r"[a-z_0-9]+", text)) & known.keys():
+        for name in sorted(set(re.findall(r"[a-z_0-9]+", text)) & known.keys()):
             if name not in seen:
                 seen.add(name)
                 visit(known[name])
+                order.append(name)
 
     visit(body)
-    return [n for n in known if n in seen]
+    return order
 
 
 def with_views(body: str, **extra: str) -> str:
