@@ -85,12 +85,14 @@ def rationale_stance(action, rationale) -> Column:
     )
 
 
-def rationale_quality(reason, action, target, visible, user_id, root_author) -> dict[str, Column]:
-    """Quality flags of one rationale; ``visible`` is an array of post ids."""
-    text = strip(reason)
+def rationale_features(reason) -> Column:
+    """What the audit needs from one rationale, independent of the decision it explains."""
+    text = strip(F.coalesce(_c(reason), F.lit("")))
     low = F.lower(text)
-    empty = F.length(text) == 0
-    words = F.size(F.split(text, r"(?U)\s+"))
+
+    def numbers(pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("bigint"))
+
     declared = F.filter(
         F.array(
             *[
@@ -110,45 +112,46 @@ def rationale_quality(reason, action, target, visible, user_id, root_author) ->
         ),
         lambda x: x.isNotNull(),
     )
-    refs = F.array_sort(
-        F.array_distinct(
-            F.transform(
-                F.regexp_extract_all(low, F.lit(r"(?:post\s*#?|repost:)\s*(\d+)"), F.lit(1)),
-                lambda x: x.try_cast("bigint"),
-            )
-        )
+    return F.struct(
+        (F.length(text) == 0).alias("empty"),
+        ((F.length(text) > 0) & ((F.length(text) < 20) | (F.size(F.split(text, r"(?U)\s+")) < 4))).alias("too_short"),
+        declared.alias("declared"),
+        F.array_sort(F.array_distinct(numbers(r"(?:post\s*#?|repost:)\s*(\d+)"))).alias("referenced"),
+        numbers(r"repost:\s*(\d+)").alias("reposts"),
+        F.contains(low, F.lit("own original post")).alias("own_post"),
+        quote_stance(text).alias("quote_stance"),
+        contains_any(low, SAYS_HIGH).alias("says_high"),
+        contains_any(low, SAYS_LOW).alias("says_low"),
     )
-    explicit = F.transform(
-        F.regexp_extract_all(low, F.lit(r"repost:\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("bigint")
-    )
-    wrong = F.array_except(refs, _c(visible))
+
+
+def rationale_flags(f: Column, action, target, visible, user_id, root_author) -> dict[str, Column]:
+    """Quality flags of one rationale from its features; ``visible`` is an array of post ids."""
+    wrong = F.array_except(f["referenced"], _c(visible))
     wrong = F.when(
         _c(target).isNotNull(),
-        F.array_union(wrong, F.filter(explicit, lambda x: x != _c(target))),
+        F.array_union(wrong, F.filter(f["reposts"], lambda x: x != _c(target))),
     ).otherwise(wrong)
     return {
-        "empty": empty,
-        "too_short": ~empty & ((F.length(text) < 20) | (words < 4)),
-        "action_contradiction": (F.size(declared) > 0) & ~F.array_contains(declared, _c(action)),
-        "referenced_post_ids": refs,
+        "empty": f["empty"],
+        "too_short": f["too_short"],
+        "action_contradiction": (F.size(f["declared"]) > 0) & ~F.array_contains(f["declared"], _c(action)),
+        "referenced_post_ids": f["referenced"],
         "wrong_post_reference_ids": F.array_sort(F.array_distinct(wrong)),
         "factual_author_mismatch": F.coalesce(
             _c(target).isNotNull()
             & _c(root_author).isNotNull()
             & (_c(user_id) != _c(root_author))
-            & F.contains(low, F.lit("own original post")),
+            & f["own_post"],
             F.lit(False),
         ),
     }
 
 
-def rationale_consistent(action, risk, rationale) -> Column:
+def consistent_with(action: Column, risk: Column, f: Column) -> Column:
     """NULL without a risk, else whether wording and risk agree."""
-    low, r = F.lower(_c(rationale)), _c(risk)
-    bad = ((r >= 0.7) & contains_any(low, SAYS_LOW) & (_c(action) != "quote")) | (
-        (r <= 0.3) & contains_any(low, SAYS_HIGH)
-    )
-    return F.when(r.isNotNull(), ~bad)
+    bad = ((risk >= 0.7) & f["says_low"] & (action != "quote")) | ((risk <= 0.3) & f["says_high"])
+    return F.when(risk.isNotNull(), ~bad)
 
 
 def factual_reasons(action, risk, rationale, target_author) -> Column:

@@ -84,7 +84,7 @@ def audit_samples(snapshots: DataFrame, impressions: DataFrame, roots: DataFrame
     """One record per action: links, context, classification, null reasons.
 
     ``snapshots``: rowid, user_id, timestep, action, target_post_id, choice, refresh_id,
-    visible, legal, rationale.
+    visible, legal, features (see text.rationale_features).
     """
     links = feed_impression_link(snapshots.select("rowid", "user_id", "timestep", "visible"), impressions)
     # a feed holds a bounded number of posts, so this groups few rows per action
@@ -125,11 +125,11 @@ def audit_samples(snapshots: DataFrame, impressions: DataFrame, roots: DataFrame
         .withColumn("target_impression_id", F.when(linked_once, F.get(hits, F.lit(0))["impression_id"]))
         .withColumn("risk_bucket", risk_bucket("risk_score"))
         .withColumn("community_relation", community_relation("user_community", "author_community", "target_post_id"))
-        .withColumn("quote_stance", F.when(F.col("action") == "quote", tx.quote_stance("rationale")))
+        .withColumn("quote_stance", F.when(F.col("action") == "quote", F.col("features")["quote_stance"]))
         .withColumn("ignore_category", F.when(F.col("action") == "ignore", ignore_category(F.col("buckets"))))
     )
-    reason = F.coalesce("rationale", F.lit(""))
-    quality = tx.rationale_quality(reason, "action", "target_post_id", "visible", "user_id", "root_author_id")
+    rows = rows.withColumn("features", F.coalesce("features", tx.rationale_features(F.lit(""))))
+    quality = tx.rationale_flags(F.col("features"), "action", "target_post_id", "visible", "user_id", "root_author_id")
     for name in ("empty", "too_short", "action_contradiction", "wrong_post_reference_ids", "factual_author_mismatch"):
         rows = rows.withColumn(name, quality[name])
     issues = (
@@ -155,7 +155,7 @@ def audit_samples(snapshots: DataFrame, impressions: DataFrame, roots: DataFrame
         rows.withColumn("rule_classification", rule_classification("action", "risk_bucket", "quote_stance", "ignore_category"))
         .withColumn("manual_review", review)
         .withColumn("null_reasons", nulls)
-        .drop("errors", "linked", "rationale")
+        .drop("errors", "linked", "features")
     )
 
 

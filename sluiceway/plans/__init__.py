@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_choices","q_text","q_audit")
+MODULES = ("q_stats",)
 
 
 def load_all() -> None:

@@ -62,7 +62,7 @@ SAMPLES = dict(
 
 
 def samples(t: Logs):
-    snap = t.with_rationale(
+    snap = t.with_features(
         t.snapshots.select(
             F.col("decision_sequence").alias("rowid"), "user_id", "timestep", "action", "target_post_id",
             F.col("selected_choice_id").alias("choice"), "refresh_id", "visible", "legal", "k",
@@ -238,8 +238,9 @@ def _in(tokens) -> str:
     decided=DECIDED,
 )
 def _(t: Logs):
-    d = t.with_rationale(decided(t).where("status = 'succeeded'"))
-    wrong = F.coalesce(~tx.rationale_consistent("action", "root_risk", "rationale"), F.lit(False)) | (F.col("decision_sequence") % 97 == 0)
+    d = t.with_features(decided(t).where("status = 'succeeded'"))
+    fits = tx.consistent_with(F.col("action"), F.col("root_risk"), F.col("features"))
+    wrong = F.coalesce(~fits, F.lit(False)) | (F.col("decision_sequence") % 97 == 0)
     verdict = audit.profile_consistency("profile", "action", "root_risk", wrong)
     return d.select("profile", verdict.alias("verdict")).groupBy("profile", "verdict").agg(F.count(F.lit(1)).alias("decisions"))
 
@@ -259,7 +260,7 @@ _RULES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r)
 RUBRIC_SQL = dict(
     decided=DECIDED,
     rated=f"""SELECT d.decision_id, d.action, d.profile, d.stance, d.root_kind, d.relation, coalesce(CASE min(CASE q WHEN 'concerning' THEN 0
-          WHEN 'aligned' THEN 1 ELSE 2 END) WHEN 0 THEN 'concerning' WHEN 1 THEN 'aligned' WHEN 2 THEN 'acceptable' END, 'unscored') AS quality_class
+          WHEN 'aligned' THEN 1 WHEN 'acceptable' THEN 2 END) WHEN 0 THEN 'concerning' WHEN 1 THEN 'aligned' WHEN 2 THEN 'acceptable' END, 'unscored') AS quality_class
         FROM (SELECT d.decision_id, d.action, d.profile, CASE WHEN root_risk IS NULL THEN NULL WHEN root_risk <= 0.3 THEN 'low' WHEN root_risk >= 0.7 THEN 'high'
             ELSE 'intermediate' END AS root_kind, CASE WHEN d.action <> 'quote' THEN 'not_applicable' WHEN d.decision_sequence % 3 = 0 THEN 'challenge'
             ELSE 'unclear' END AS stance, CASE WHEN d.target_post_id IS NULL THEN NULL WHEN d.community = a.community THEN 'intra' ELSE 'inter' END AS relation

@@ -128,7 +128,8 @@ def _(t: Logs):
     rows = _worded(t)
     target = F.when(F.col("action") != "ignore", F.lit(3).cast("bigint"))
     visible = F.array(F.lit(3), F.lit(5)).cast("array<bigint>")
-    q = tx.rationale_quality("reason", "action", target, visible, F.lit(1), F.lit(2))
+    rows = rows.withColumn("f", tx.rationale_features("reason"))
+    q = tx.rationale_flags(F.col("f"), "action", target, visible, F.lit(1), F.lit(2))
 
     def text(c):
         return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -158,7 +159,7 @@ def _(t: Logs):
     named = F.concat("reason", F.when(F.col("n") % 4 == 0, " by User 4").when(F.col("n") % 4 == 1, " by user 5").otherwise(""))
     reasons = tx.factual_reasons("action", "risk", named, F.lit(4).cast("bigint"))
     return rows.select(
-        "text_id", tx.rationale_consistent("action", "risk", "reason").alias("consistent"), F.array_join(reasons, ",").alias("reasons")
+        "text_id", tx.consistent_with(F.col("action"), F.col("risk"), tx.rationale_features("reason")).alias("consistent"), F.array_join(reasons, ",").alias("reasons")
     )
 
 

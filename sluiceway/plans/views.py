@@ -13,7 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ordered import prefix_scan, trailing_list
+from ..functions import text as tx
 from ..functions.scalar import choice_id, decision_id, mapped_action, trace_target
+from ..functions.skew import lookup
 from ..operators import choices, exposure, hierarchy
 from ..session import shared_dir, tune
 
@@ -303,10 +305,14 @@ class Logs:
         )
         return self._store("snapshots", snap)
 
-    def with_rationale(self, df: DataFrame) -> DataFrame:
-        """Attach the text of document k as the rationale."""
-        docs = self.table("documents").select(F.col("doc_id").alias("k"), F.col("text").alias("rationale"))
-        return df.join(docs, "k", "left")
+    def with_features(self, df: DataFrame) -> DataFrame:
+        """Attach what the audit reads from the rationale (the text of document k).
+
+        Features are taken where the texts are; only they travel to the decisions, never
+        the texts.
+        """
+        docs = self.table("documents").select(F.col("doc_id").alias("k"), tx.rationale_features("text").alias("features"))
+        return lookup(df, docs, "k", "left")
 
     # ---- experiment tables ----
     @cached_property
