@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draw import pick_index
+from ..functions.ordered import prefix_scan
 from ..functions.scalar import BUDGET_SLACK, direction, exponential_cost, in_band, l1_cost, pair_direction
 
 # ---- fixed values -------------------------------------------------------
@@ -139,6 +140,9 @@ def resample_weights(groups: DataFrame, keys: list[str], resamples: int, seed: i
     ``groups``: keys and n. Every resample draws n members with replacement.
     """
     rows = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    # a group is one row here: spread its resamples before each draws its n members
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *keys, "resample")
     rows = rows.select(*keys, "n", "resample", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
     drawn = rows.withColumn("idx", pick_index(F.col("n"), seed, *keys, "resample", "i"))
     return drawn.groupBy(*keys, "resample", "idx").agg(F.count(F.lit(1)).alias("weight"))
@@ -150,7 +154,7 @@ def bootstrap_selection(
 ) -> DataFrame:
     """Selection frequency of every pair over resamples of the seeds."""
     rows = runs.join(eligible.select(key, *PAIR).distinct(), [key, *PAIR], "left_semi")
-    seeds = rows.select(key, "seed").distinct().withColumn("idx", F.row_number().over(W.partitionBy(key).orderBy("seed")).cast("bigint"))
+    seeds = prefix_scan(rows.select(key, "seed").distinct(), [key], "seed", sums={"idx": F.lit(1).cast("bigint")}, inclusive=True)
     groups = seeds.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     weights = resample_weights(groups, [key], resamples, seed).join(seeds, [key, "idx"])
     weighted = weights.select(key, "resample", "seed", "weight").join(rows, [key, "seed"])
@@ -185,7 +189,7 @@ def bootstrap_ci(values: DataFrame, keys: list[str], *, resamples: int, seed: in
     size = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sample_std")
     )
-    indexed = values.withColumn("idx", F.row_number().over(W.partitionBy(*keys).orderBy("seed")).cast("bigint"))
+    indexed = prefix_scan(values, keys, "seed", sums={"idx": F.lit(1).cast("bigint")}, inclusive=True)
     weights = resample_weights(size.select(*keys, "n"), keys, resamples, seed)
     means = (
         weights.join(indexed.select(*keys, "idx", "value"), [*keys, "idx"])

@@ -1 +1,139 @@
-"""Queries."""
+"""Queries A1-A5: sources and sinks."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window as W, functions as F
+
+from ..operators import dataset
+from ..session import shared_dir
+from ..sources import readers, sinks
+from .q_dataset import DSNAP, FEED_JSON, NATIVE, damaged_impressions, dsnap
+from .registry import query
+from .views import Logs
+
+
+def _folder(t: Logs, name: str) -> str:
+    """A new folder per call, in the place all executors share."""
+    return f"{shared_dir(t.spark)}/sluiceway-{t.spark.sparkContext.applicationId}/out/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "scan_tables",
+    """SELECT 'post' AS log, count(*)::BIGINT AS rows, count(original_post_id)::BIGINT AS second FROM post
+       UNION ALL SELECT 'follow', count(*), count(DISTINCT followee_id) FROM follow
+       UNION ALL SELECT 'rec', count(*), count(DISTINCT user_id) FROM rec
+       UNION ALL SELECT 'trace', count(*), count(DISTINCT action) FROM trace
+       UNION ALL SELECT 'impression', count(*), count(*) FILTER (shown) FROM impressions""",
+)
+def _(t: Logs):
+    """Log tables written as a platform would, read back through the typed reader."""
+    second = {
+        "post": F.count("original_post_id"), "follow": F.countDistinct("followee_id"), "rec": F.countDistinct("user_id"),
+        "trace": F.countDistinct("action"), "impression": F.count_if("shown"),
+    }
+    views = {"post": t.post, "follow": t.follow, "rec": t.rec, "trace": t.trace, "impression": t.impressions}
+    out = None
+    for name, df in views.items():
+        path = _folder(t, name)
+        df.write.parquet(path)
+        row = readers.read_table(t.spark, path, name).agg(F.count(F.lit(1)).alias("rows"), second[name].alias("second"))
+        row = row.select(F.lit(name).alias("log"), "rows", "second")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+LINES = """SELECT rowid, CASE rowid % 50 WHEN 0 THEN '' WHEN 1 THEN 'broken {' WHEN 2 THEN '[1]' WHEN 3 THEN '{"sample_id":' || rowid || ',"label":{"action":"quote"}}'
+    WHEN 4 THEN '{"sample_id":"s' || rowid || '","label":{"action":"like"}}' ELSE '{"sample_id":"s' || rowid || '","label":{"action":"' || action || '","confidence":1.0,"reason":"r"}}' END AS value
+    FROM actions"""
+
+
+@query(
+    "scan_examples_jsonl",
+    """SELECT line, error, CASE WHEN error IS NULL THEN 's' || rowid END AS sample_id FROM (SELECT rowid, row_number() OVER (ORDER BY rowid)::BIGINT AS line, value,
+         CASE rowid % 50 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'line is not a JSON object' WHEN 3 THEN 'sample_id is not a string'
+           WHEN 4 THEN 'label.action is missing or invalid' END AS error FROM lines) WHERE value <> ''""",
+    lines=LINES,
+)
+def _(t: Logs):
+    r, n = F.col("rowid"), F.col("rowid").cast("string")
+    m = r % 50
+    value = (
+        F.when(m == 0, "").when(m == 1, "broken {").when(m == 2, "[1]")
+        .when(m == 3, F.concat(F.lit('{"sample_id":'), n, F.lit(',"label":{"action":"quote"}}')))
+        .when(m == 4, F.concat(F.lit('{"sample_id":"s'), n, F.lit('","label":{"action":"like"}}')))
+        .otherwise(F.concat(F.lit('{"sample_id":"s'), n, F.lit('","label":{"action":"'), F.col("action"), F.lit('","confidence":1.0,"reason":"r"}}')))
+    )
+    path = _folder(t, "lines")
+    # one ordered file per range: line numbers restart per file, so the check adds the ranges up
+    t.actions.select("rowid", value.alias("value")).repartitionByRange(4, "rowid").sortWithinPartitions("rowid").select("value").write.text(path)
+    sizes = readers.numbered_lines(t.spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(_before()), F.lit(0)).alias("start"))
+    rows = readers.scan_examples(t.spark, path, strict=False)
+    return rows.join(F.broadcast(starts), "file").select(
+        (F.col("line") + F.col("start")).alias("line"), "error", F.col("example")["sample_id"].alias("sample_id")
+    )
+
+
+def _before():
+    # one row per file
+    return W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+
+
+@query(
+    "scan_samples_tsv",
+    """SELECT mu, omega_intra, omega_inter, count(*)::BIGINT AS replicates, round(avg((rho_a + rho_b) / 2), 6) AS mean_rho FROM (
+         SELECT CASE l_returnflag WHEN 'A' THEN 0.2 WHEN 'N' THEN 0.5 ELSE 0.8 END::DOUBLE AS mu, [0.2, 0.4, 0.6, 0.8, 1.0][l_partkey % 5 + 1]::DOUBLE AS omega_intra,
+           [1.0, 0.8, 0.6, 0.4, 0.2][l_partkey % 5 + 1]::DOUBLE AS omega_inter, l_discount * 5 AS rho_a, l_tax * 5 AS rho_b FROM lineitem) GROUP BY 1, 2, 3""",
+)
+def _(t: Logs):
+    p = F.col("l_partkey") % 5
+    flag = F.col("l_returnflag")
+    samples = t.table("lineitem").select(
+        F.when(flag == "A", 0.2).when(flag == "N", 0.5).otherwise(0.8).alias("mu"), F.round(F.lit(0.2) + p * 0.2, 1).alias("omega_intra"),
+        F.round(F.lit(1.0) - p * 0.2, 1).alias("omega_inter"), (F.col("l_discount") * 5).alias("rho_A"), (F.col("l_tax") * 5).alias("rho_B"),
+    )
+    path = _folder(t, "samples")
+    samples.write.csv(path, sep="\t", header=True)
+    rho = F.avg((F.col("rho_A") + F.col("rho_B")) / 2)
+    return readers.scan_samples(t.spark, path).groupBy("mu", "omega_intra", "omega_inter").agg(
+        F.count(F.lit(1)).alias("replicates"), F.round(rho, 6).alias("mean_rho")
+    )
+
+
+@query(
+    "sink_impressions",
+    """SELECT run_id, timestep, count(*)::BIGINT AS rows, (count(*) FILTER (shown))::BIGINT AS shown, round(sum(keep_probability), 6) AS keep_sum, '' AS reject
+       FROM impressions WHERE impression_id % 97 <> 0 AND impression_id % 89 <> 0 AND impression_id % 79 <> 0 GROUP BY 1, 2
+       UNION ALL SELECT run_id, timestep, count(*), (count(*) FILTER (shown)), NULL, array_to_string(list_filter([CASE WHEN impression_id % 97 = 0 THEN 'risk_score' END,
+           CASE WHEN impression_id % 89 = 0 THEN 'keep_probability' END, CASE WHEN impression_id % 79 = 0 THEN 'source' END], lambda x: x IS NOT NULL), ',') AS reject
+       FROM impressions WHERE impression_id % 97 = 0 OR impression_id % 89 = 0 OR impression_id % 79 = 0 GROUP BY 1, 2, 6""",
+)
+def _(t: Logs):
+    path = _folder(t, "impressions")
+    rejected = sinks.append_impressions(damaged_impressions(t), path)
+    kept = t.spark.read.parquet(path).groupBy("run_id", F.col("timestep").cast("bigint").alias("timestep")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("shown").alias("shown"), F.round(F.sum("keep_probability"), 6).alias("keep_sum"), F.lit("").alias("reject")
+    )
+    lost = rejected.groupBy("run_id", "timestep", "reject").agg(F.count(F.lit(1)).alias("rows"), F.count_if("shown").alias("shown"))
+    return kept.unionByName(lost.withColumn("keep_sum", F.lit(None).cast("double")))
+
+
+@query(
+    "sink_examples_jsonl",
+    f"""SELECT '{{"action_label_eligible":true,"action_trace_rowid":' || action_trace_rowid || ',"behavior_history":[' || array_to_string(list_transform(history, lambda x: '"' || x || '"'), ',')
+          || '],"community":"' || community || '","decision_sequence":' || decision_sequence || ',"decision_timestep":' || timestep || ',"feed_empty_reason":'
+          || CASE WHEN len(feed_ids) = 0 THEN '"' || feed_message || '"' ELSE 'null' END || ',"feed_post":"' || replace({FEED_JSON}, '"', '\\"') || '","label":{{"action":"'
+          || split_part(selected_choice_id, ':', 1) || '","confidence":1.0,"reason":"' || rationale || '"}},"label_source":"teacher_synthetic","legal_choice_ids":['
+          || array_to_string(list_transform(legal, lambda x: '"' || x || '"'), ',') || '],"neighbor_interactions":[],"platform_notice":"","provenance":"decision_snapshot"'
+          || ',"rationale_quality_status":"unreviewed","rationale_training_eligible":true,"sample_id":"' || decision_id || '","selected_choice_id":"' || selected_choice_id
+          || '","user_profile":"' || profile || '","visible_post_ids":[' || array_to_string(visible, ',') || ']}}' AS value
+        FROM native WHERE len(errors) = 0""",
+    dsnap=DSNAP, native=NATIVE,
+)
+def _(t: Logs):
+    path = _folder(t, "examples")
+    sound = dataset.native_examples(dsnap(t), t.trace).where(F.size("errors") == 0).drop("errors")
+    sinks.write_examples(sound, path)
+    return t.spark.read.text(path)

@@ -1 +1,140 @@
-"""Queries."""
+"""Queries U1-U5: the same events as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.governance import governance_state
+from ..streaming import (
+    controller_stream,
+    decision_dedup,
+    exposure_by_step,
+    govern_stream,
+    governance_state_stream,
+    impression_stream,
+    new_folder,
+    read_events,
+    run_to_table,
+)
+from ..streaming.jobs import IMPRESSION_SCHEMA
+from .q_governance import STATE, WINDOW
+from .registry import query
+from .views import OMEGA_INTER, OMEGA_INTRA, SEED, Logs
+
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+COMMUNITIES = [f"community-{i}" for i in range(5)]
+DELAY_HOURS = 1
+# windows that end by the final watermark (latest event less the delay) are final
+CLOSED = f"(SELECT max(ts) - INTERVAL {DELAY_HOURS} HOUR FROM trace0)"
+
+
+def _events(t: Logs):
+    return read_events(t.spark, t.dir, EVENTS, "events.parquet")
+
+
+def _refreshes(t: Logs):
+    """One row per refresh with the posts of its feed and the event time."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    r = F.col("event_id")
+    views = _events(t).where("event_type = 'view'").where((r % 29 != 0) & (r % 31 != 0))
+    return views.select(
+        r.alias("refresh_id"), "ts", "user_id", F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string")).alias("run_id"),
+        F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("timestep"),
+        F.array(k, (k * 3 + 1) % 100).alias("posts"),
+    )
+
+
+def _governed(t: Logs) -> str:
+    sink = new_folder(t.spark, "exposure")
+    govern_stream(_refreshes(t), sink, t.roots, t.users, t.post_risk, OMEGA_INTRA, OMEGA_INTER, seed=SEED)
+    return sink
+
+
+def _exposed(t: Logs):
+    return impression_stream(t.spark, _governed(t), f"{DELAY_HOURS} hour")
+
+
+@query("stream_exposure", "SELECT impression_id, root_post_id, round(keep_probability, 9) AS keep_probability, shown FROM impressions")
+def _(t: Logs):
+    log = t.spark.read.schema(IMPRESSION_SCHEMA).parquet(f"{_governed(t)}/log")
+    return log.select(
+        (F.col("refresh_id") * 2 + F.col("rank")).alias("impression_id"), "root_post_id",
+        F.round("keep_probability", 9).alias("keep_probability"), "shown",
+    )
+
+
+TIMED = "SELECT i.*, t.ts FROM impressions i JOIN trace0 t ON i.refresh_id = t.rowid"
+
+
+@query(
+    "stream_exposure_by_step",
+    f"""SELECT run_id, timestep, candidates, shown, suppressed FROM (SELECT run_id, timestep, count(*)::BIGINT AS candidates,
+          (count(*) FILTER (shown))::BIGINT AS shown, (count(*) FILTER (NOT shown))::BIGINT AS suppressed FROM timed GROUP BY 1, 2)
+        WHERE DATE '2024-01-01' + (timestep + 1)::INTEGER <= {CLOSED}""",
+    timed=TIMED,
+)
+def _(t: Logs):
+    rows = run_to_table(exposure_by_step(_exposed(t)), "by-step")
+    step = F.datediff(F.to_date("step_start"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    return rows.select("run_id", step.alias("timestep"), "candidates", "shown", "suppressed")
+
+
+@query(
+    "stream_governance_state",
+    f"""SELECT run_id, t AS first_step, round(coalesce((count(*) FILTER (shown AND risk_score > 0))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0), 6) AS risk_adoption_rate,
+          round(count(DISTINCT CASE WHEN shown AND risk_score > 0 THEN user_community END) / 5.0::DOUBLE, 6) AS community_coverage_ratio,
+          round(coalesce((count(*) FILTER (shown AND user_community <> author_community))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0), 6) AS cross_community_exposure_ratio,
+          round(coalesce((count(*) FILTER (risk_score = 0 AND NOT shown))::DOUBLE / nullif(count(*) FILTER (risk_score = 0), 0), 0), 6) AS benign_exposure_loss
+        FROM timed, range(-2, 40) s(t) WHERE timestep BETWEEN t AND t + 2 AND DATE '2024-01-01' + (t + 3)::INTEGER <= {CLOSED} GROUP BY 1, 2""",
+    timed=TIMED,
+)
+def _(t: Logs):
+    rows = run_to_table(governance_state_stream(_exposed(t), COMMUNITIES), "state")
+    step = F.datediff(F.to_date("window_start"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    names = ("risk_adoption_rate", "community_coverage_ratio", "cross_community_exposure_ratio", "benign_exposure_loss")
+    return rows.select("run_id", step.alias("first_step"), *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("stream_decision_dedup", "SELECT rowid AS event_id, action FROM trace0 WHERE action <> 'refresh'")
+def _(t: Logs):
+    """Every decision event arrives twice, once more with another attempt number."""
+    acts = _events(t).where("event_type != 'view'")
+    twice = acts.select("event_id", "ts", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    kept = run_to_table(decision_dedup(twice, ["event_id"]).select("event_id", "event_type"), "dedup")
+    action = (
+        F.when(F.col("event_type") == "click", "repost").when(F.col("event_type") == "purchase", "quote_post")
+        .when(F.col("event_type") == "error", "report_post").otherwise("do_nothing")
+    )
+    return kept.select("event_id", action.alias("action"))
+
+
+CONFIG = dict(
+    interval=2, step=0.2, risk_target=0.25, cross_target=0.3, report_target=0.1, loss_limit=0.1, budget=1.2, omega_intra=1.0, omega_inter=1.0
+)
+
+
+@query(
+    "stream_controller",
+    """SELECT run_id, timestep, round(a, 6) AS omega_intra, round(b, 6) AS omega_inter, round(cost, 6) AS cumulative_cost, reason FROM carried WHERE timestep >= 0""",
+    step_state=STATE.replace(f"t - {WINDOW - 1}", "t").replace("a.t - 2", "a.t"),
+    carried="""SELECT DISTINCT run_id, -1::BIGINT AS timestep, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS cost, '' AS reason FROM impressions
+      UNION ALL SELECT run_id, t, CASE WHEN hold THEN a WHEN spend > remaining THEN least(1, greatest(0, a + (a1 - a) * remaining / spend)) ELSE a1 END,
+        CASE WHEN hold THEN b WHEN spend > remaining THEN least(1, greatest(0, b + (b1 - b) * remaining / spend)) ELSE b1 END,
+        cost + CASE WHEN hold THEN 0.0 WHEN spend > remaining THEN remaining ELSE greatest(0.0, spend) END,
+        CASE WHEN t % 2 <> 0 THEN 'between control intervals' WHEN remaining <= 0 THEN 'budget exhausted'
+          ELSE 'rule update from diffusion, coverage, reports, and benign loss' END
+      FROM (SELECT *, (a - a1) + (b - b1) AS spend, t % 2 <> 0 OR remaining <= 0 AS hold FROM (
+        SELECT *, least(1, greatest(0, a - 0.2 * least(1, pressure + 0.5 * least(1, recent_reposts / 10.0)) + relax)) AS a1,
+          least(1, greatest(0, b - 0.2 * least(1, pressure + cr + 0.5 * community_coverage_ratio) + relax)) AS b1 FROM (
+          SELECT c.run_id, s.timestep AS t, c.a, c.b, c.cost, greatest(0.0, 1.2 - c.cost) AS remaining, s.recent_reposts, s.community_coverage_ratio,
+            greatest(s.risk_adoption_rate - 0.25, s.report_rate - 0.1, 0.0) AS pressure, greatest(s.cross_community_exposure_ratio - 0.3, 0.0) AS cr,
+            CASE WHEN s.benign_exposure_loss > 0.1 THEN 0.2 ELSE 0.0 END AS relax
+          FROM carried c JOIN step_state s ON s.run_id = c.run_id AND s.timestep = c.timestep + 1)))""",
+)
+def _(t: Logs):
+    """Controller over the per-step state, itself stored first so that the stream replays step rows."""
+    state = governance_state(t.impressions, t.trace, t.users.agg(F.countDistinct("community")).scalar(), window=1)
+    stored = t.store("step-state", state)
+    stream = read_events(t.spark, stored, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema))
+    out = run_to_table(controller_stream(stream, CONFIG), "controller")
+    return out.select("run_id", "timestep", *[F.round(c, 6).alias(c) for c in ("omega_intra", "omega_inter", "cumulative_cost")], "reason")

@@ -41,11 +41,15 @@ class Logs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _store(self, name: str, df: DataFrame) -> DataFrame:
+    def store(self, name: str, df: DataFrame) -> str:
+        """Write a derived table to the shared folder and return its path."""
         tag = hashlib.sha256(self.dir.encode()).hexdigest()[:12]
         path = f"{shared_dir(self.spark)}/sluiceway-{self.spark.sparkContext.applicationId}/{tag}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return path
+
+    def _store(self, name: str, df: DataFrame) -> DataFrame:
+        return self.spark.read.parquet(self.store(name, df))
 
     @cached_property
     def n_users(self) -> Column:
