@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def leaf_bytes(df: DataFrame) -> int | None:
@@ -41,30 +39,28 @@ def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def lookup(
-    big: DataFrame,
-    dim: DataFrame,
-    on: list[str] | str,
-    how: str = "left",
-    *,
-    limit: int | None = None,
-    share: float = 0.005,
-    salts: int = 64,
+    big: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left", *, limit: int | None = None
 ) -> DataFrame:
     """N:1 join of ``big`` to ``dim`` (unique on ``on``).
 
-    A small ``dim`` (size checked) is broadcast. Otherwise hot keys of ``big`` are
-    spread over ``salts`` buckets and only their few dim rows are repeated.
+    A small ``dim`` (size checked) is broadcast. Otherwise it is a shuffle join whose hot
+    partitions adaptive execution splits on the side of ``big`` (see session.RUNTIME_CONF);
+    the few dim rows of such a partition are read once per split. Chained lookups keep one
+    plan: nothing of ``big`` is computed twice.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if is_small(dim, limit):
-        return big.join(F.broadcast(dim), on, how)
-    return salted_join(big, dim, on, how, share=share, salts=salts)
+    return big.join(F.broadcast(dim) if is_small(dim, limit) else dim, on, how)
 
 
 def salted_join(
     big: DataFrame, other: DataFrame, on: list[str] | str, how: str = "inner", *, share: float = 0.005, salts: int = 64
 ) -> DataFrame:
-    """Equi-join with the hot keys of ``big`` salted. ``how``: inner, left, left_semi, left_anti."""
+    """Equi-join with the hot keys of ``big`` salted. ``how``: inner, left, left_semi, left_anti.
+
+    For joins that fan out on both sides, where splitting one side's partition is not
+    enough: each copy of a hot key meets every match, in ``salts`` tasks. ``big`` is read
+    three times, so it should be a stored or checkpointed table.
+    """
     on = [on] if isinstance(on, str) else list(on)
     rest = [c for c in big.columns if c not in on]
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in (rest or on)]), F.lit(salts)).cast("int")
@@ -78,7 +74,3 @@ def salted_join(
     )
     out = left.join(right, [*on, "__salt"], how).drop("__salt")
     return out
-
-
-def null_safe_any(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cols], F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .scalar import ACTIONS, _c
 
@@ -30,6 +30,11 @@ SAYS_HIGH_STRICT = ("high-risk", "high‑risk", "unverified", "misinformation")
 SAYS_LOW_STRICT = ("verified benign", "benign weather")
 INTERNAL_TERMS = ("measured_mu", "paper_omega", "risk_score")
 INVALID = "__invalid__"
+# what Unicode counts as white space
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # -------------------------------------------------------------------------
 
 
@@ -41,7 +46,7 @@ def contains_any(text, tokens: Sequence[str]) -> Column:
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+    return F.trim(_c(text), F.lit(WHITESPACE))
 
 
 def key_counts(text) -> dict[str, Column]:
@@ -64,7 +69,10 @@ def redact_array(values) -> Column:
 
 
 def quote_stance(reason) -> Column:
-    low = F.lower(_c(reason))
+    return _stance(F.lower(_c(reason)))
+
+
+def _stance(low: Column) -> Column:
     return (
         F.when(contains_any(low, CORRECTIVE), "corrective")
         .when(contains_any(low, QUESTIONING), "questioning")
@@ -85,11 +93,18 @@ def rationale_stance(action, rationale) -> Column:
     )
 
 
-def rationale_features(reason) -> Column:
-    """What the audit needs from one rationale, independent of the decision it explains."""
-    text = strip(F.coalesce(_c(reason), F.lit("")))
-    low = F.lower(text)
+def with_features(rows: DataFrame, reason: str, name: str = "features") -> DataFrame:
+    """Attach what the audit needs from a rationale, independent of the decision it explains.
+
+    The stripped and lower-cased text are columns of their own first: an expression over
+    a long text that many others use must be evaluated once, not once per use.
+    """
+    rows = rows.withColumn("__t", strip(F.coalesce(_c(reason), F.lit(""))))
+    rows = rows.withColumn("__low", F.lower("__t"))
+    return rows.withColumn(name, _features(F.col("__t"), F.col("__low"))).drop("__t", "__low")
 
+
+def _features(text: Column, low: Column) -> Column:
     def numbers(pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("bigint"))
 
@@ -119,12 +134,17 @@ def rationale_features(reason) -> Column:
         F.array_sort(F.array_distinct(numbers(r"(?:post\s*#?|repost:)\s*(\d+)"))).alias("referenced"),
         numbers(r"repost:\s*(\d+)").alias("reposts"),
         F.contains(low, F.lit("own original post")).alias("own_post"),
-        quote_stance(text).alias("quote_stance"),
+        _stance(low).alias("quote_stance"),
         contains_any(low, SAYS_HIGH).alias("says_high"),
         contains_any(low, SAYS_LOW).alias("says_low"),
     )
 
 
+def no_features() -> Column:
+    """Features of a decision without a rationale."""
+    return _features(F.lit(""), F.lit(""))
+
+
 def rationale_flags(f: Column, action, target, visible, user_id, root_author) -> dict[str, Column]:
     """Quality flags of one rationale from its features; ``visible`` is an array of post ids."""
     wrong = F.array_except(f["referenced"], _c(visible))

@@ -84,7 +84,7 @@ def audit_samples(snapshots: DataFrame, impressions: DataFrame, roots: DataFrame
     """One record per action: links, context, classification, null reasons.
 
     ``snapshots``: rowid, user_id, timestep, action, target_post_id, choice, refresh_id,
-    visible, legal, features (see text.rationale_features).
+    visible, legal, features (see text.with_features).
     """
     links = feed_impression_link(snapshots.select("rowid", "user_id", "timestep", "visible"), impressions)
     # a feed holds a bounded number of posts, so this groups few rows per action
@@ -128,7 +128,7 @@ def audit_samples(snapshots: DataFrame, impressions: DataFrame, roots: DataFrame
         .withColumn("quote_stance", F.when(F.col("action") == "quote", F.col("features")["quote_stance"]))
         .withColumn("ignore_category", F.when(F.col("action") == "ignore", ignore_category(F.col("buckets"))))
     )
-    rows = rows.withColumn("features", F.coalesce("features", tx.rationale_features(F.lit(""))))
+    rows = rows.withColumn("features", F.coalesce("features", tx.no_features()))
     quality = tx.rationale_flags(F.col("features"), "action", "target_post_id", "visible", "user_id", "root_author_id")
     for name in ("empty", "too_short", "action_contradiction", "wrong_post_reference_ids", "factual_author_mismatch"):
         rows = rows.withColumn(name, quality[name])

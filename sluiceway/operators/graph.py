@@ -172,6 +172,8 @@ def threshold_evaluation(
     out loses no adoption.
     """
     contacts = labelled_contacts(arcs, users)
+    if not is_small(arcs):
+        contacts = cut(contacts)
     degrees = contacts.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_degree"), F.count_if("same").alias("intra_degree"))
     native = pressure(contacts, adopters)
     seen = (

@@ -128,7 +128,7 @@ def _(t: Logs):
     rows = _worded(t)
     target = F.when(F.col("action") != "ignore", F.lit(3).cast("bigint"))
     visible = F.array(F.lit(3), F.lit(5)).cast("array<bigint>")
-    rows = rows.withColumn("f", tx.rationale_features("reason"))
+    rows = tx.with_features(rows, "reason", "f")
     q = tx.rationale_flags(F.col("f"), "action", target, visible, F.lit(1), F.lit(2))
 
     def text(c):
@@ -158,8 +158,9 @@ def _(t: Logs):
     rows = _worded(t)
     named = F.concat("reason", F.when(F.col("n") % 4 == 0, " by User 4").when(F.col("n") % 4 == 1, " by user 5").otherwise(""))
     reasons = tx.factual_reasons("action", "risk", named, F.lit(4).cast("bigint"))
+    rows = tx.with_features(rows, "reason")
     return rows.select(
-        "text_id", tx.consistent_with(F.col("action"), F.col("risk"), tx.rationale_features("reason")).alias("consistent"), F.array_join(reasons, ",").alias("reasons")
+        "text_id", tx.consistent_with(F.col("action"), F.col("risk"), F.col("features")).alias("consistent"), F.array_join(reasons, ",").alias("reasons")
     )
 
 

@@ -315,7 +315,7 @@ class Logs:
         Features are taken where the texts are; only they travel to the decisions, never
         the texts.
         """
-        docs = self.table("documents").select(F.col("doc_id").alias("k"), tx.rationale_features("text").alias("features"))
+        docs = tx.with_features(self.table("documents").select(F.col("doc_id").alias("k"), "text"), "text").drop("text")
         return lookup(df, docs, "k", "left")
 
     # ---- experiment tables ----
