@@ -14,6 +14,11 @@ BLOCK = 1 << 20
 SEGMENT = 100_000
 
 
+def _div(name: str, n: int) -> Column:
+    """Integer division; a float would lose the low digits of large ids."""
+    return F.expr(f"`{name}` div {n}")
+
+
 def prefix_scan(
     df: DataFrame,
     keys: list[str],
@@ -30,7 +35,7 @@ def prefix_scan(
     any value; the latest row (by ``order``) where it is not null wins.
     """
     sums, lasts = sums or {}, lasts or {}
-    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block)))
+    d = df.withColumn("__blk", _div(order, block))
     for name, expr in sums.items():
         d = d.withColumn(f"__s_{name}", F.coalesce(expr, F.lit(0)))
     for name, expr in lasts.items():
@@ -65,7 +70,7 @@ def next_value(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, block: int = BLOCK
 ) -> DataFrame:
     """Per row, the nearest following non-null ``value`` within its key."""
-    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block)))
+    d = df.withColumn("__blk", _div(order, block))
     d = d.withColumn("__v", F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))
     part = [*keys, "__blk"]
     blocks = d.groupBy(*part).agg(F.min("__v").alias("__m"))
@@ -97,7 +102,7 @@ def trailing_list(
     if segment < n:
         raise ValueError("segment must be at least n")
     d = prefix_scan(df, keys, order, sums={"__pos": F.lit(1)}, block=block).withColumn("__item", item)
-    seg = F.floor(F.col("__pos") / F.lit(segment))
+    seg = _div("__pos", segment)
     edge = F.col("__pos") % F.lit(segment) >= segment - n
     d = d.withColumn("__seg", F.explode(F.when(edge, F.array(seg, seg + 1)).otherwise(F.array(seg))))
     w = W.partitionBy(*keys, "__seg").orderBy(order).rowsBetween(-n, -1)

@@ -32,9 +32,9 @@ def following_topk(follow: DataFrame, posts: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("user_id").orderBy(F.desc("num_likes"), F.desc("post_id"))
     return (
         arcs.select(F.col("follower_id").alias("user_id"), F.inline("tops"))
-        .withColumn("rank", F.row_number().over(w).cast("bigint") - 1)
-        .where(F.col("rank") < k)
-        .select("user_id", "rank", "post_id", "num_likes")
+        .withColumn("r", F.row_number().over(w))
+        .where(F.col("r") <= k)
+        .select("user_id", (F.col("r").cast("bigint") - 1).alias("rank"), "post_id", "num_likes")
     )
 
 
@@ -121,8 +121,9 @@ def joint_candidates(users: DataFrame, follow: DataFrame, posts: DataFrame, limi
     w = W.partitionBy("user_id").orderBy("part", F.desc("post_id"))
     return (
         followed.unionByName(extra)
-        .withColumn("position", F.row_number().over(w).cast("bigint") - 1)
-        .where(F.col("position") < limit)
+        .withColumn("r", F.row_number().over(w))
+        .where(F.col("r") <= limit)
+        .withColumn("position", F.col("r").cast("bigint") - 1)
         .select(
             "user_id",
             "position",

@@ -262,22 +262,23 @@ def threshold_rounds(
     what earlier rounds left, so no contact is counted twice.
     """
     contacts = cut(labelled_contacts(arcs, users))
-    degrees = cut(contacts.groupBy("user_id").agg(F.count(F.lit(1)).alias("degree")))
+    degrees = contacts.groupBy("user_id").agg(F.count(F.lit(1)).alias("degree"))
     fresh = cut(seeds.select("user_id", "root_post_id").distinct())
     adopted = fresh.withColumn("round", F.lit(0))
     felt = None
     keys = ["user_id", "root_post_id"]
+    signal = F.lit(weight_intra) * F.col("intra") + F.lit(weight_inter) * F.col("inter")
     for step in range(1, rounds + 1):
         new = pressure(contacts, fresh)
-        felt = new if felt is None else felt.unionByName(new).groupBy(*keys).agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
-        signal = F.lit(weight_intra) * F.col("intra") + F.lit(weight_inter) * F.col("inter")
-        open_pairs = cut(felt.join(adopted.select(*keys), keys, "left_anti"))
-        met = open_pairs.join(degrees, "user_id").where(signal > F.lit(threshold) * F.col("degree"))
-        fresh = cut(met.select(*keys))
-        felt = open_pairs
-        adopted = adopted.unionByName(fresh.withColumn("round", F.lit(step)))
+        if felt is not None:
+            new = felt.unionByName(new).groupBy(*keys).agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
+        waiting = new.join(adopted.select(*keys), keys, "left_anti").join(degrees, "user_id")
+        judged = cut(waiting.select(*keys, "intra", "inter", (signal > F.lit(threshold) * F.col("degree")).alias("met")))
+        fresh = judged.where("met").select(*keys)
+        felt = judged.where("not met").drop("met")
         if fresh.isEmpty():
             break
+        adopted = adopted.unionByName(fresh.withColumn("round", F.lit(step)))
     return adopted
 
 

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import dataset
-from ..session import shared_dir
+from ..session import new_folder
 from ..sources import readers, sinks
 from .q_dataset import DSNAP, FEED_JSON, NATIVE, damaged_impressions, dsnap
 from .registry import query
 from .views import Logs
 
 
-def _folder(t: Logs, name: str) -> str:
-    """A new folder per call, in the place all executors share."""
-    return f"{shared_dir(t.spark)}/sluiceway-{t.spark.sparkContext.applicationId}/out/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "scan_tables",
     """SELECT 'post' AS log, count(*)::BIGINT AS rows, count(original_post_id)::BIGINT AS second FROM post
@@ -36,7 +29,7 @@ def _(t: Logs):
     views = {"post": t.post, "follow": t.follow, "rec": t.rec, "trace": t.trace, "impression": t.impressions}
     out = None
     for name, df in views.items():
-        path = _folder(t, name)
+        path = new_folder(t.spark, f"out/{name}")
         df.write.parquet(path)
         row = readers.read_table(t.spark, path, name).agg(F.count(F.lit(1)).alias("rows"), second[name].alias("second"))
         row = row.select(F.lit(name).alias("log"), "rows", "second")
@@ -65,7 +58,7 @@ def _(t: Logs):
         .when(m == 4, F.concat(F.lit('{"sample_id":"s'), n, F.lit('","label":{"action":"like"}}')))
         .otherwise(F.concat(F.lit('{"sample_id":"s'), n, F.lit('","label":{"action":"'), F.col("action"), F.lit('","confidence":1.0,"reason":"r"}}')))
     )
-    path = _folder(t, "lines")
+    path = new_folder(t.spark, "out/lines")
     # one ordered file per range: line numbers restart per file, so the check adds the ranges up
     t.actions.select("rowid", value.alias("value")).repartitionByRange(4, "rowid").sortWithinPartitions("rowid").select("value").write.text(path)
     sizes = readers.numbered_lines(t.spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
@@ -94,7 +87,7 @@ def _(t: Logs):
         F.when(flag == "A", 0.2).when(flag == "N", 0.5).otherwise(0.8).alias("mu"), F.round(F.lit(0.2) + p * 0.2, 1).alias("omega_intra"),
         F.round(F.lit(1.0) - p * 0.2, 1).alias("omega_inter"), (F.col("l_discount") * 5).alias("rho_A"), (F.col("l_tax") * 5).alias("rho_B"),
     )
-    path = _folder(t, "samples")
+    path = new_folder(t.spark, "out/samples")
     samples.write.csv(path, sep="\t", header=True)
     rho = F.avg((F.col("rho_A") + F.col("rho_B")) / 2)
     return readers.scan_samples(t.spark, path).groupBy("mu", "omega_intra", "omega_inter").agg(
@@ -111,7 +104,7 @@ def _(t: Logs):
        FROM impressions WHERE impression_id % 97 = 0 OR impression_id % 89 = 0 OR impression_id % 79 = 0 GROUP BY 1, 2, 6""",
 )
 def _(t: Logs):
-    path = _folder(t, "impressions")
+    path = new_folder(t.spark, "out/impressions")
     rejected = sinks.append_impressions(damaged_impressions(t), path)
     kept = t.spark.read.parquet(path).groupBy("run_id", F.col("timestep").cast("bigint").alias("timestep")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("shown").alias("shown"), F.round(F.sum("keep_probability"), 6).alias("keep_sum"), F.lit("").alias("reject")
@@ -133,7 +126,7 @@ def _(t: Logs):
     dsnap=DSNAP, native=NATIVE,
 )
 def _(t: Logs):
-    path = _folder(t, "examples")
+    path = new_folder(t.spark, "out/examples")
     sound = dataset.native_examples(dsnap(t), t.trace).where(F.size("errors") == 0).drop("errors")
     sinks.write_examples(sound, path)
     return t.spark.read.text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.governance import governance_state
+from ..session import new_folder
 from ..streaming import (
     controller_stream,
     decision_dedup,
@@ -12,7 +13,6 @@ from ..streaming import (
     govern_stream,
     governance_state_stream,
     impression_stream,
-    new_folder,
     read_events,
     run_to_table,
 )
@@ -45,7 +45,7 @@ def _refreshes(t: Logs):
 
 
 def _governed(t: Logs) -> str:
-    sink = new_folder(t.spark, "exposure")
+    sink = new_folder(t.spark, "stream/exposure")
     govern_stream(_refreshes(t), sink, t.roots, t.users, t.post_risk, OMEGA_INTRA, OMEGA_INTER, seed=SEED)
     return sink
 

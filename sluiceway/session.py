@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder nobody used before."""
+    return f"{shared_dir(spark)}/sluiceway-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Truncate lineage through a reliable checkpoint, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Truncate lineage through a table in the shared folder, which survives lost executors.
+
+    Unlike a checkpoint the table tells its true size, so later joins are planned on it
+    instead of on the product of earlier estimates.
+    """
+    path = new_folder(df.sparkSession, "cut/t")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

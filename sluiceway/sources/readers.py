@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalar import ACTIONS
+from ..functions.skew import broadcast_limit, leaf_bytes
 
 # the columns every log table must offer, with their types
 SCHEMAS = {
@@ -27,6 +28,10 @@ EXAMPLE_SCHEMA = (
 )
 
 
+MIN_SPLIT = 1 << 20
+SPLIT_ROW_BYTES = 256
+
+
 def read_table(spark: SparkSession, path: str, name: str, *, options: dict | None = None, fmt: str = "parquet") -> DataFrame:
     """A log table with its declared columns; any format Spark reads, JDBC included."""
     reader = spark.read.format(fmt).options(**(options or {}))
@@ -50,8 +55,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     starts = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("start"))
-    # one row per file split: bounded by the number of read tasks
-    out = lines.join(F.broadcast(starts), ["file", "block"])
+    # one row per file split, so its size is known before the read
+    splits = (leaf_bytes(lines) or 0) // MIN_SPLIT + len(lines.inputFiles())
+    small = splits * SPLIT_ROW_BYTES <= broadcast_limit(lines)
+    out = lines.join(F.broadcast(starts) if small else starts, ["file", "block"])
     return out.select("file", (F.col("id") - F.col("first") + F.col("start") + 1).alias("line"), "value")
 
 

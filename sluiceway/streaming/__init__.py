@@ -7,7 +7,6 @@ from .jobs import (
     govern_stream,
     governance_state_stream,
     impression_stream,
-    new_folder,
     read_events,
     run_to_table,
 )
@@ -19,7 +18,6 @@ __all__ = [
     "govern_stream",
     "governance_state_stream",
     "impression_stream",
-    "new_folder",
     "read_events",
     "run_to_table",
 ]

@@ -7,7 +7,6 @@ the caller picks sink and trigger.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from ..functions.scalar import ratio0
 from ..operators.exposure import govern
 from ..operators.governance import BETWEEN_INTERVALS, BUDGET_EXHAUSTED, RULE_UPDATE
-from ..session import shared_dir
+from ..session import new_folder
 
 STEP = "1 day"
 IMPRESSION_SCHEMA = (
@@ -27,11 +26,6 @@ IMPRESSION_SCHEMA = (
 )
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one stream, in the place all executors share."""
-    return f"{shared_dir(spark)}/sluiceway-{spark.sparkContext.applicationId}/stream/{name}-{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if per_trigger:
@@ -46,7 +40,7 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     continues where the last commit ended.
     """
     spark = stream.sparkSession
-    base = new_folder(spark, name)
+    base = new_folder(spark, f"stream/{name}")
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -148,3 +148,11 @@ def test_initial_adopters_quota(spark):
     got = graph.initial_adopters(users, 0.1, 3, ["c0", "c1"]).collect()
     assert sorted(r.community for r in got) == ["c0"] * 50 + ["c1"] * 50
     assert len({r.user_id for r in got}) == 100
+
+
+def test_topk_is_cut_before_the_shuffle(spark):
+    """Both per-key limits run map-side, so no task ever holds a whole hot key."""
+    follow = spark.range(10).select(F.col("id").alias("follower_id"), (F.col("id") % 3).alias("followee_id"))
+    posts = spark.range(10).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("post_id"), F.col("id").alias("num_likes"))
+    plan = exposure.following_topk(follow, posts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4
