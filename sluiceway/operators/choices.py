@@ -180,3 +180,64 @@ def state_fingerprint(
         F.coalesce("repost_digest", F.lit(0)).cast("string"),
     )
     return out.select(key, F.sha2(text, 256).alias("state_identifier"))
+
+
+def root_fingerprint(
+    decisions: DataFrame, posts: DataFrame, roots: DataFrame, reports: DataFrame, *, protocol: str, key: str = "rowid"
+) -> DataFrame:
+    """The root-aware fingerprint: visible posts with their roots, and the roots the user
+    already reposted or reported, under a protocol tag.
+
+    The acted roots of a user are unbounded and enter as counts and order-free digests.
+    """
+    reposted, reported = acted_roots(posts, roots, reports)
+    digest = F.conv(F.substring(F.md5(F.col("root_post_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+
+    def acted(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.groupBy("user_id").agg(F.concat_ws("/", F.count(F.lit(1)).cast("string"), F.sum(digest).cast("string")).alias(name))
+
+    p = posts.select("post_id", F.col("user_id").alias("author_id"), "original_post_id", F.col("quote_content").isNull().alias("no_quote"))
+    rows = lookup(_visible(decisions, key), p, "post_id", "inner")
+    rows = lookup(rows, roots.select("post_id", "root_post_id"), "post_id", "left")
+    line = F.concat_ws(
+        ",",
+        F.col("post_id").cast("string"),
+        F.col("author_id").cast("string"),
+        F.coalesce(F.col("original_post_id").cast("string"), F.lit("null")),
+        F.when(F.col("no_quote"), "plain").otherwise("quote"),
+        F.coalesce(F.col("root_post_id").cast("string"), F.lit("null")),
+    )
+    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("post_id", line.alias("l")))).alias("a"))
+    per = per.select(key, F.array_join(F.transform("a", lambda x: x["l"]), ";").alias("posts_text"))
+    out = decisions.select(key, "user_id").join(per, key, "left")
+    out = lookup(lookup(out, acted(reposted, "d"), "user_id", "left"), acted(reported, "r"), "user_id", "left")
+    none = F.lit("0/0")
+    text = F.concat_ws(
+        "|", F.lit(protocol), F.col("user_id").cast("string"), F.coalesce("posts_text", F.lit("")), F.coalesce("d", none), F.coalesce("r", none)
+    )
+    return out.select(key, F.sha2(text, 256).alias("state_identifier"))
+
+
+def semantic_metrics(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempt-level counts of semantic mismatches and of the corrections that followed.
+
+    ``checked``: keys, decision_id, attempt, failure (of :func:`semantic_binding`). Bad
+    indexes are a category of their own and no semantic mismatch.
+    """
+    kinds = ("choice_action_mismatch", "choice_target_mismatch", "quote_text_contract_failure")
+    bad = F.coalesce(F.col("failure").isin(*kinds), F.lit(False))
+    per = checked.groupBy(*keys, "decision_id").agg(
+        *[F.count_if(F.col("failure") == k).alias(k) for k in kinds],
+        F.max(F.when(bad, F.col("attempt"))).alias("last_bad"),
+        F.min(F.when(bad, F.col("attempt"))).alias("first_bad"),
+        F.max("attempt").alias("last"),
+        F.max_by(F.col("failure").isNull(), "attempt").alias("ends_well"),
+    )
+    corrected = F.col("first_bad").isNotNull() & (F.col("last") > F.col("first_bad"))
+    return per.groupBy(*keys).agg(
+        F.sum(sum((F.col(k) for k in kinds), F.lit(0))).alias("semantic_failures"),
+        *[F.sum(k).alias(k) for k in kinds],
+        F.count_if(corrected).alias("corrections"),
+        F.count_if(corrected & F.col("ends_well")).alias("corrections_succeeded"),
+        F.count_if(corrected & ~F.col("ends_well")).alias("corrections_failed"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import ratio0
+from ..functions.scalar import ACTIONS, ratio0
 
 # ---- fixed values -------------------------------------------------------
 # raw error kind -> failure category
@@ -125,3 +125,20 @@ def execution_status(expected, completed, unrecovered) -> tuple[Column, Column]:
     )
     status = F.when((d == e) & (u == 0), "success").when(d == 0, "failed").otherwise("degraded")
     return status, reasons
+
+
+def merge_counters(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Dispatch counters of several sources merged into one row per group.
+
+    ``sources``: keys, result (dispatched, dispatch_failed, invalid_choice or
+    invalid_post_reference), action. Actions count when they were dispatched.
+    """
+    r = F.col("result")
+    done = r == "dispatched"
+    return sources.groupBy(*keys).agg(
+        F.count_if(done).alias("dispatcher_success_count"),
+        F.count_if(r == "dispatch_failed").alias("dispatcher_failure_count"),
+        F.count_if(r == "invalid_choice").alias("invalid_choice_count"),
+        F.count_if(r == "invalid_post_reference").alias("invalid_post_reference_count"),
+        *[F.count_if(done & (F.col("action") == a)).alias(f"{a}_count") for a in ACTIONS],
+    )

@@ -422,3 +422,34 @@ def _(t: Logs):
     for c in out.columns:
         out = out.withColumn(c, F.round(c, 6))
     return out
+
+
+@query(
+    "dispatch_counters",
+    """SELECT run_id, (count(*) FILTER (r = 0))::BIGINT AS dispatcher_success_count, (count(*) FILTER (r = 1))::BIGINT AS dispatcher_failure_count,
+         (count(*) FILTER (r = 2))::BIGINT AS invalid_choice_count, (count(*) FILTER (r = 3))::BIGINT AS invalid_post_reference_count,
+         (count(*) FILTER (r = 0 AND action = 'ignore'))::BIGINT AS ignore_count, (count(*) FILTER (r = 0 AND action = 'quote'))::BIGINT AS quote_count,
+         (count(*) FILTER (r = 0 AND action = 'report'))::BIGINT AS report_count, (count(*) FILTER (r = 0 AND action = 'repost'))::BIGINT AS repost_count
+       FROM (SELECT run_id, action, CASE WHEN decision_sequence % 17 = 0 THEN 1 WHEN decision_sequence % 19 = 0 THEN 2 WHEN decision_sequence % 23 = 0 THEN 3 ELSE 0 END AS r
+         FROM snapshots) GROUP BY 1""",
+)
+def _(t: Logs):
+    s = F.col("decision_sequence")
+    result = F.when(s % 17 == 0, "dispatch_failed").when(s % 19 == 0, "invalid_choice").when(s % 23 == 0, "invalid_post_reference").otherwise("dispatched")
+    return reliability.merge_counters(t.snapshots.select("run_id", "action", result.alias("result")), ["run_id"])
+
+
+@query(
+    "execution_status",
+    """SELECT user_id, CASE WHEN done = logical AND lost = 0 THEN 'success' WHEN done = 0 THEN 'failed' ELSE 'degraded' END AS status,
+         array_to_string(list_filter([CASE WHEN done <> logical THEN 'incomplete_decisions' END, CASE WHEN lost > 0 THEN 'unrecovered_errors' END], lambda x: x IS NOT NULL), ',') AS reasons
+       FROM (SELECT user_id, count(*) AS logical, count(*) FILTER (status = 'succeeded') AS done, count(*) FILTER (status = 'failed' AND decision_sequence % 2 = 0) AS lost
+         FROM snapshots GROUP BY 1)""",
+)
+def _(t: Logs):
+    per = t.snapshots.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("logical"), F.count_if(F.col("status") == "succeeded").alias("done"),
+        F.count_if((F.col("status") == "failed") & (F.col("decision_sequence") % 2 == 0)).alias("lost"),
+    )
+    status, reasons = reliability.execution_status("logical", "done", "lost")
+    return per.select("user_id", status.alias("status"), F.array_join(reasons, ",").alias("reasons"))

@@ -373,3 +373,48 @@ def _(t: Logs):
     rows = t.snapshots.select("decision_id", "run_id", "user_id", "timestep")
     return linking.decision_subset(rows, wanted, ["user_id", "timestep"])
 
+
+@query(
+    "state_fingerprint_roots",
+    """SELECT a.rowid, sha256('v2|' || a.user_id || '|' || coalesce(v.txt, '') || '|' || coalesce(x.d, '0/0') || '|' || coalesce(y.d, '0/0')) AS state_identifier
+       FROM actions a LEFT JOIN (SELECT x.rowid, string_agg(x.post_id || ',' || p.user_id || ',' || coalesce(p.original_post_id::VARCHAR, 'null')
+           || ',' || CASE WHEN p.quote_content IS NULL THEN 'plain' ELSE 'quote' END || ',' || r.root_post_id, ';' ORDER BY x.post_id) AS txt
+         FROM (SELECT rowid, unnest(visible) AS post_id FROM actions) x JOIN post p ON x.post_id = p.post_id JOIN roots r ON r.post_id = x.post_id GROUP BY 1) v
+         ON a.rowid = v.rowid
+       LEFT JOIN (SELECT user_id, count(*) || '/' || sum(('0x' || substr(md5(root_post_id::VARCHAR), 1, 8))::BIGINT) AS d FROM reposted GROUP BY 1) x ON x.user_id = a.user_id
+       LEFT JOIN (SELECT user_id, count(*) || '/' || sum(('0x' || substr(md5(root_post_id::VARCHAR), 1, 8))::BIGINT) AS d FROM reported GROUP BY 1) y ON y.user_id = a.user_id""",
+    **ROOT_ACTS,
+)
+def _(t: Logs):
+    posts = t.post.select("post_id", "user_id", "original_post_id", "quote_content")
+    return choices.root_fingerprint(_decisions(t), posts, t.roots, t.reports, protocol="v2")
+
+
+# two attempts per decision: the second repeats the choice with the mistakes of every third taken out
+CHECKED = """SELECT decision_id, run_id, attempt, CASE WHEN indexed_choice IS NULL THEN 'invalid_choice_index'
+      WHEN fixed THEN NULL WHEN action_type <> split_part(indexed_choice, ':', 1) THEN 'choice_action_mismatch'
+      WHEN target_post_id <> CASE WHEN contains(indexed_choice, ':') THEN split_part(indexed_choice, ':', 2)::BIGINT ELSE 0 END THEN 'choice_target_mismatch'
+      WHEN action_type = 'quote' AND quote_text = '' THEN 'quote_text_contract_failure' WHEN action_type <> 'quote' AND quote_text <> '' THEN 'quote_text_contract_failure' END AS failure
+    FROM (SELECT r.*, legal[choice_index + 1] AS indexed_choice, split_part(r.decision_id, ':', 1) AS run_id, attempt,
+      attempt = 2 AND right(r.decision_id, 6)::BIGINT % 3 = 0 AS fixed FROM responses r, (VALUES (1), (2)) v(attempt))"""
+
+
+@query(
+    "semantic_audit_metrics",
+    """SELECT run_id, sum(a + b + c)::BIGINT AS semantic_failures, sum(a)::BIGINT AS choice_action_mismatch, sum(b)::BIGINT AS choice_target_mismatch,
+         sum(c)::BIGINT AS quote_text_contract_failure, (count(*) FILTER (first_bad < last))::BIGINT AS corrections,
+         (count(*) FILTER (first_bad < last AND ends_well))::BIGINT AS corrections_succeeded,
+         (count(*) FILTER (first_bad < last AND NOT ends_well))::BIGINT AS corrections_failed
+       FROM (SELECT run_id, decision_id, count(*) FILTER (failure = 'choice_action_mismatch') AS a, count(*) FILTER (failure = 'choice_target_mismatch') AS b,
+           count(*) FILTER (failure = 'quote_text_contract_failure') AS c, min(attempt) FILTER (failure IS NOT NULL AND failure <> 'invalid_choice_index') AS first_bad,
+           max(attempt) AS last, bool_and(failure IS NULL) FILTER (attempt = 2) AS ends_well FROM checked GROUP BY 1, 2) GROUP BY 1""",
+    responses=RESPONSES,
+    checked=CHECKED,
+)
+def _(t: Logs):
+    checked = choices.semantic_binding(_responses(t))
+    number = F.substring_index("decision_id", ":d", -1).cast("bigint")
+    tries = checked.select("decision_id", "failure", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    semantic = F.col("failure") != "invalid_choice_index"
+    tries = tries.withColumn("failure", F.when((F.col("attempt") == 2) & (number % 3 == 0) & semantic, F.lit(None)).otherwise(F.col("failure")))
+    return choices.semantic_metrics(tries.withColumn("run_id", F.substring_index("decision_id", ":", 1)), ["run_id"])

@@ -152,7 +152,7 @@ def test_initial_adopters_quota(spark):
 
 def test_topk_is_cut_before_the_shuffle(spark):
     """Both per-key limits run map-side, so no task ever holds a whole hot key."""
-    follow = spark.range(10).select(F.col("id").alias("follower_id"), (F.col("id") % 3).alias("followee_id"))
-    posts = spark.range(10).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("post_id"), F.col("id").alias("num_likes"))
+    follow = spark.createDataFrame([(1, 2)], "follower_id bigint, followee_id bigint")
+    posts = spark.createDataFrame([(2, 5, 1)], "user_id bigint, post_id bigint, num_likes bigint")
     plan = exposure.following_topk(follow, posts, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 4
