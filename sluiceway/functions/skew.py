@@ -25,10 +25,15 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(raw[:-1]) * units[raw[-1]] if raw and raw[-1] in units else int(raw)
 
 
+# compressed columns on disk against rows in memory
+EXPANSION = 4
+
+
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """May ``df`` be broadcast? Only for tables no larger than what they are read from."""
     size = leaf_bytes(df)
     limit = broadcast_limit(df) if limit is None else limit
-    return size is not None and size <= limit
+    return size is not None and size * EXPANSION <= limit
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:

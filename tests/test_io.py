@@ -89,7 +89,11 @@ def test_dedup_and_controller_streams(spark, tmp_path):
     src = tmp_path / "ev"
     spark.range(10).select((F.col("id") % 4).alias("d"), F.lit("2024-01-01").cast("timestamp").alias("ts")).write.parquet(str(src))
     stream = spark.readStream.schema("d bigint, ts timestamp").parquet(str(src))
-    assert run_to_table(decision_dedup(stream, ["d"]), "t").count() == 4
+    base = str(tmp_path / "job")
+    assert run_to_table(decision_dedup(stream, ["d"]), "t", base).count() == 4
+    # the same job again finds nothing new, also when the same decision arrives once more
+    spark.range(1).select(F.lit(2).cast("bigint").alias("d"), F.lit("2024-01-01").cast("timestamp").alias("ts")).write.mode("append").parquet(str(src))
+    assert run_to_table(decision_dedup(stream, ["d"]), "t", base).count() == 4
     steps = tmp_path / "st"
     spark.range(4).select(
         F.lit("r").alias("run_id"), F.col("id").alias("timestep"), F.lit(0.9).alias("risk_adoption_rate"), F.lit(20).cast("bigint").alias("recent_reposts"),
