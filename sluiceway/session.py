@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,21 +37,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster.
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a laptop) is a folder of our own set.
+    There is no fallback: a folder of one machine would lose rows on a cluster.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if current is None:
-        own = tempfile.mkdtemp(prefix="sluiceway-")
-        spark.sparkContext.setCheckpointDir(own)
-        current = own
-    return current
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
