@@ -46,6 +46,15 @@ def pretokens(text: str) -> list[str | None]:
     return out
 
 
+def spaced_pretokens(chunk: str) -> list[str]:
+    """The pattern's matches in a space and ``chunk``; plain words, also before a sign, need no pattern."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[:-1].isalpha() and chunk[-1] in ",.;:!?":
+        return [" " + chunk[:-1], chunk[-1]]
+    return PATTERN.findall(" " + chunk)
+
+
 class Recent:
     """A bounded map: what was used since the last turn survives the next one."""
 
@@ -89,7 +98,7 @@ class ChunkCache:
         self._spaced = Recent(self._chunks)  # by the chunk without its leading space
 
     def _chunks(self, keys: list[str]) -> list[bytes]:
-        parts = [PATTERN.findall(" " + k) for k in keys]
+        parts = [spaced_pretokens(k) for k in keys]
         known = self._pretokens.look_up([p for ps in parts for p in ps])
         out, at = [], 0
         for ps in parts:

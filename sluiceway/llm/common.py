@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 #: Whitespace by Unicode's White_Space property. Fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -53,5 +53,31 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limit
     return run
 
 
+_KEPT: dict[str, object] = {}
+
+
+def once_per_worker(key: str, make: Callable[[], object]):
+    """The object of the latest ``key``, made once in each Python worker."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def add_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
+
+
+def labelled_sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int, chars: int) -> list[tuple[str, object]]:
+    """(text, label) of a bounded sample: at most ``per_label`` rows of each label, ``chars`` characters of each.
+
+    ``rows`` has doc_id and the label. Rows are chosen by a hash of the id, so the same rows come
+    whatever the partitions; the held-out fold and rows without a label are left out. The ids
+    chosen are few by construction and are broadcast; only their texts reach the driver.
+    """
+    known = rows.where(F.col(label).isNotNull() & (fold(rows) != 0)).select("doc_id", label)
+    first = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_label).select("doc_id", F.col(label).alias("__label"))
+    texts = docs.select("doc_id", F.substring(whole_text(), 1, chars).alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label").collect()
+    return [(r["text"], r["__label"]) for r in sorted(found, key=lambda r: (r["doc_id"], str(r["__label"]), r["text"]))]

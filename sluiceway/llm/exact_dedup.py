@@ -122,8 +122,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of a row repeated with its id, one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    kept = cut(exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept")))
     marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(whole_text()).cast("binary"), 256)))
-    same = marked["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__digest"])
-    out = marked.join(kept, same, "left_semi")
-    return out.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    named = marked.join(kept.where("__id is not null"), (marked["doc_id"] == kept["__id"]) & (marked["__digest"] == kept["__kept"]), "left_semi")
+    nameless = marked.where("doc_id is null").join(kept.where("__id is null"), marked["__digest"] == kept["__kept"], "left_semi")
+    out = named.dropDuplicates(["doc_id", "__digest"]).unionByName(nameless.dropDuplicates(["__digest"]))
+    return out.drop("__digest")

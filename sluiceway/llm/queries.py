@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, packing, token_count
+from . import ann, bpe, exact_dedup, jaccard, language, license_scan, line_dedup, packing, quality, token_count
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -22,18 +22,69 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, docs, table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_bpe, op5_token_counts, op9_exact_dedup)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "passage", "kind", "license", "dice", F.md5("text").alias("text_md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pack, op2_bpe, op3_ann, op4_quality, op5_token_counts, op6_ngram_jaccard, op7_line_dedup, op8_language, op9_exact_dedup, op10_licenses)
+}
 
 ORACLES = {
+    "op7_line_dedup": rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS i, page_id,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         list_filter(list_transform(string_split(
+           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+             '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<head\b.*?</head\s*>', chr(10), 'gis'),
+             '</?(p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|section|header|footer|title|body|html)\b[^>]*>', chr(10), 'gi'),
+             '<[^>]*>', '', 'gs'), chr(10)),
+           lambda s: trim(regexp_replace(s, '[\x20\x09\x0B-\x0D]+', ' ', 'g'))), lambda s: s <> '') AS lines
+  FROM pages),
+l AS (SELECT DISTINCT i, host, unnest(lines) AS line FROM p),
+c AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL),
+h AS (SELECT host, count(*) AS pages FROM p GROUP BY ALL),
+bad AS (SELECT i, list(line) AS bad FROM l JOIN c USING (host, line) JOIN h USING (host)
+        WHERE n >= {line_dedup.MIN_PAGES} AND n > pages * {line_dedup.RATIO} GROUP BY i),
+k AS (SELECT page_id, host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda s: NOT list_contains(bad, s)) END AS kept
+      FROM p LEFT JOIN bad USING (i))
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k
+""",
     "op9_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
