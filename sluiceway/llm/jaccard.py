@@ -38,7 +38,9 @@ WORDS = 5
 PERCENT = 80
 #: Counters of the sketch, by the leading bits of a hash, and rows that carry them.
 SKETCH_BITS = 20
-SKETCH_ROWS = 64
+SKETCH_ROWS = 16
+#: Partitions whose counts one task adds up.
+FAN_IN = 64
 #: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Blocks of the product for each partition of the input.
@@ -97,7 +99,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 # ---- 1. how frequent n-grams are
 
 
-def sketch(docs: DataFrame) -> bytes:
+def sketch(docs: DataFrame, partitions: int) -> bytes:
     """Frequency class of each counter: about twice the binary logarithm of its count, one byte each."""
     width = (1 << SKETCH_BITS) // SKETCH_ROWS
 
@@ -122,8 +124,10 @@ def sketch(docs: DataFrame) -> bytes:
 
     schema = "part int, counts binary"
     rows = texts_of(docs).mapInArrow(count, schema)
-    # summed in two steps, so that no task reads the counts of all others
-    rows = rows.repartitionById(SKETCH_ROWS * 8, F.col("part") * 8 + F.spark_partition_id() % 8).mapInArrow(add, schema)
+    lots = -(-partitions // FAN_IN)
+    while lots > 1:  # no task adds up the counts of more than FAN_IN others
+        rows = rows.repartitionById(SKETCH_ROWS * lots, F.col("part") * lots + F.spark_partition_id() % lots).mapInArrow(add, schema)
+        lots = lots // FAN_IN
     rows = rows.repartitionById(SKETCH_ROWS, F.col("part")).mapInArrow(add, schema)
     classes = np.zeros((SKETCH_ROWS, width), np.uint8)
     for r in rows.collect():  # SKETCH_ROWS rows, of a size that does not depend on the data
@@ -299,7 +303,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     partitions = max(1, texts_of(docs).rdd.getNumPartitions())
     blocks = BLOCKS * partitions
-    classes = sketch(docs)
+    classes = sketch(docs, partitions)
     found = cut(leading(docs, classes, blocks).repartitionById(blocks, F.col("block")).mapInArrow(keep_shared, SHARED))
     members = found.where("kind = 0").select("doc_id", "n", "s")
     nodes = cut(members.where("n > 0 and doc_id is not null").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id")))
