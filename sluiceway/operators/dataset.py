@@ -177,7 +177,7 @@ def export_status(snapshots: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- reconstruction
 
 
-def settle(decisions: DataFrame, kinds: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def settle(decisions: DataFrame, kinds: DataFrame) -> DataFrame:
     """Decisions accepted when each is judged against the accepted ones before it.
 
     ``decisions``: rowid, user_id, action, target_post_id, created_parent (parent of the
@@ -187,8 +187,9 @@ def settle(decisions: DataFrame, kinds: DataFrame, *, max_rounds: int = 60) -> D
 
     Two bounds close in on the answer. Judged against too many decisions too few pass,
     judged against too few too many do; each round feeds one bound into the other.
-    They meet at the latest after as many rounds as the longest chain of dependent
-    decisions, usually after two.
+    Each round settles at least the next decision of every chain of dependent decisions, so
+    the bounds meet at the latest after as many rounds as the longest chain has, usually
+    after two.
     """
     rows = lookup(decisions, kinds.select(F.col("post_id").alias("target_post_id"), "root_post_id", "is_repost"), "target_post_id", "left")
     rows = cut(rows)
@@ -209,13 +210,12 @@ def settle(decisions: DataFrame, kinds: DataFrame, *, max_rounds: int = 60) -> D
         return cut(out.where(~blocked).select(*rows.columns))
 
     most = rows
-    for _ in range(max_rounds):
+    while True:
         least = passing(most)
         wider = passing(least)
         if wider.count() == least.count():
             return least.select(*decisions.columns)
         most = wider
-    raise RuntimeError("decision dependencies did not settle")
 
 
 def reconstruct_legacy(

@@ -10,6 +10,7 @@ from ..functions.skew import lookup
 # ---- fixed values -------------------------------------------------------
 BETWEEN_INTERVALS = "between control intervals"
 BUDGET_EXHAUSTED = "budget exhausted"
+LATE_STEP = "step arrived after a later one"
 RULE_UPDATE = "rule update from diffusion, coverage, reports, and benign loss"
 # -------------------------------------------------------------------------
 
@@ -28,7 +29,7 @@ def governance_state(
     """State of every run and step over the trailing ``window`` steps.
 
     Rows are reduced to one per (run, step) first; windows then run over steps only.
-    Traces carry no run, so their counts apply to every run. Distinct communities are
+    ``trace`` rows carry the run they belong to. Distinct communities are
     found by repeating each step's few communities in the windows it belongs to.
     """
     risky = F.col("shown") & (F.col("risk_score") > 0)
@@ -39,13 +40,13 @@ def governance_state(
         F.count_if(F.col("risk_score") == 0).alias("benign"),
         F.count_if((F.col("risk_score") == 0) & ~F.col("shown")).alias("benign_hidden"),
     )
-    acts = trace.groupBy("timestep").agg(
+    acts = trace.groupBy("run_id", "timestep").agg(
         F.count(F.lit(1)).alias("traces"),
         F.count_if(F.col("action").isin("repost", "quote_post")).alias("reposts"),
         F.count_if(F.col("action") == "report_post").alias("reports"),
     )
     axis = step_axis(impressions, trace)
-    rows = axis.join(per, ["run_id", "timestep"], "left").join(acts, "timestep", "left")
+    rows = axis.join(per, ["run_id", "timestep"], "left").join(acts, ["run_id", "timestep"], "left")
     back = W.partitionBy("run_id").orderBy("timestep").rangeBetween(-(window - 1), 0)
     names = ("shown", "risky_shown", "cross_shown", "benign", "benign_hidden", "traces", "reposts", "reports")
     rows = rows.select(

@@ -8,7 +8,7 @@ from ..functions.skew import lookup
 from ..session import cut
 
 
-def resolve_chains(posts: DataFrame, *, max_rounds: int = 64, limit: int | None = None) -> DataFrame:
+def resolve_chains(posts: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Pointer doubling over parent links.
 
     Returns (post_id, user_id, root_post_id, depth, error). Every round halves the
@@ -30,8 +30,9 @@ def resolve_chains(posts: DataFrame, *, max_rounds: int = 64, limit: int | None
     jump = cut(jump)
     finished = jump.where("done")
     open_rows = jump.where("not done")
-    for _ in range(max_rounds):
-        table = finished.unionByName(open_rows).select(
+    while True:
+        asked = open_rows.select(F.col("ptr").alias("post_id")).distinct()
+        table = finished.unionByName(open_rows).join(asked, "post_id", "left_semi").select(
             F.col("post_id").alias("ptr"),
             F.col("ptr").alias("next"),
             F.col("hops").alias("more"),

@@ -6,6 +6,7 @@ import re
 
 VIEWS: dict[str, str] = {
     "cnt": "SELECT count(*)::BIGINT AS n FROM customer",
+    "posts_n": "SELECT count(*)::BIGINT AS np FROM documents",
     "users": """SELECT c_custkey AS user_id, 'community-' || n_regionkey::VARCHAR AS community
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "follow": "SELECT o_custkey AS follower_id, (o_orderkey * 7 + 3) % n AS followee_id FROM orders, cnt",
@@ -15,18 +16,18 @@ VIEWS: dict[str, str] = {
             WHEN 'error' THEN 'report_post' WHEN 'signup' THEN 'do_nothing' END AS action,
           json_extract_string(props, '$.k')::BIGINT AS k, ts
         FROM events""",
-    "trace": """SELECT *, CASE
+    "trace": """SELECT trace0.*, CASE
           WHEN action = 'refresh' AND rowid % 29 = 0 THEN '{"posts":[],"message":"No posts passed exposure policy."}'
           WHEN action = 'refresh' AND rowid % 31 = 0 THEN '{"posts":[]}'
-          WHEN action = 'refresh' THEN '{"posts":[{"post_id":' || k || '},{"post_id":' || ((k * 3 + 1) % 100) || '}]}'
+          WHEN action = 'refresh' THEN '{"posts":[{"post_id":' || k || '},{"post_id":' || ((k + 1 + rowid % (np - 1)) % np) || '}]}'
           WHEN action = 'repost' THEN '{"reposted_id":' || k || ',"new_post_id":' || (1000000000000 + rowid) || '}'
           WHEN action = 'quote_post' THEN '{"quoted_id":' || k || ',"new_post_id":' || (1000000000000 + rowid) || '}'
           WHEN action = 'report_post' THEN '{"post_id":' || k || ',"report_id":' || rowid || '}'
-          ELSE '{}' END AS info FROM trace0""",
+          ELSE '{}' END AS info FROM trace0, posts_n""",
     "post": """SELECT doc_id AS post_id, (doc_id * 17) % n AS user_id,
           CASE WHEN doc_id % 5 <> 0 THEN doc_id // 2 END AS original_post_id,
-          CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 0 THEN substr(text, 1, 40) END AS quote_content,
-          CASE WHEN doc_id % 5 = 0 THEN text ELSE '' END AS content,
+          CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 0 THEN text END AS quote_content,
+          coalesce(text, '') AS content,
           (doc_id * 13) % 50 AS num_likes, (doc_id * 3) % 7 AS num_dislikes, (doc_id * 5) % 11 AS num_shares,
           (doc_id * 11) % 6 AS num_reports, doc_id % 30 AS created_at
         FROM documents, cnt
@@ -49,9 +50,9 @@ VIEWS: dict[str, str] = {
     "texts": """SELECT 'doc-' || doc_id AS text_id, text FROM documents
         UNION ALL SELECT 'conv-' || conv_id || '-' || turn, text FROM conversations""",
     "candidates": """SELECT rowid AS refresh_id, 'run-' || (user_id % 4) AS run_id, timestep, user_id,
-          r AS rank, CASE WHEN r = 0 THEN k ELSE (k * 3 + 1) % 100 END AS post_id, 1.0::DOUBLE / (r + 1) AS base_score,
+          r AS rank, CASE WHEN r = 0 THEN k ELSE (k + 1 + rowid % (np - 1)) % np END AS post_id, 1.0::DOUBLE / (r + 1) AS base_score,
           'recommendation' AS source
-        FROM trace0, (VALUES (0::BIGINT), (1::BIGINT)) v(r)
+        FROM trace0, posts_n, (VALUES (0::BIGINT), (1::BIGINT)) v(r)
         WHERE action = 'refresh' AND rowid % 29 <> 0 AND rowid % 31 <> 0""",
     "impressions": """SELECT *, shown_u < keep_probability AS shown FROM (
           SELECT *, 1.0::DOUBLE - risk_score * (1.0::DOUBLE - CASE WHEN user_community = author_community

@@ -72,14 +72,14 @@ def _(t: Logs):
 
 @query(
     "canonical_hash",
-    """SELECT rowid, sha256('{"action":"' || action || '","history":[' || list_aggregate(list_transform(history,
-         lambda x: '"' || x || '"'), 'string_agg', ',') || '],"target":' || coalesce(target_post_id::VARCHAR, 'null')
+    """SELECT rowid, sha256('{"action":"' || action || '","history":[' || coalesce(list_aggregate(list_transform(history,
+         lambda x: '"' || x || '"'), 'string_agg', ','), '') || '],"target":' || coalesce(target_post_id::VARCHAR, 'null')
          || ',"user_id":' || user_id || ',"visible":[' || coalesce(list_aggregate(visible, 'string_agg', ','), '') || ']}') AS hash
-       FROM actions WHERE len(history) > 0""",
+       FROM actions""",
 )
 def _(t: Logs):
     h = sc.canonical_hash(user_id="user_id", action="action", target="target_post_id", visible="visible", history="history")
-    return t.actions.where(F.size("history") > 0).select("rowid", h.alias("hash"))
+    return t.actions.select("rowid", h.alias("hash"))
 
 
 LEGAL_DIRECT = """SELECT rowid, array_to_string(['ignore'] || coalesce(flatten(list(opts ORDER BY post_id)), []), ',') AS legal FROM (

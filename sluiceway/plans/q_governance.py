@@ -63,13 +63,14 @@ def _(t: Logs):
 
 STATE = f"""SELECT run_id, t AS timestep,
     coalesce((count(*) FILTER (shown AND risk_score > 0))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0.0) AS risk_adoption_rate,
-    (SELECT count(*) FROM trace0 r WHERE r.timestep BETWEEN t - {WINDOW - 1} AND t AND action IN ('repost', 'quote_post'))::BIGINT AS recent_reposts,
+    (SELECT count(*) FROM trace0 r WHERE r.timestep BETWEEN t - {WINDOW - 1} AND t AND action IN ('repost', 'quote_post')
+      AND 'run-' || (r.user_id % 4) = run_id)::BIGINT AS recent_reposts,
     count(DISTINCT CASE WHEN shown AND risk_score > 0 THEN user_community END)::DOUBLE
       / (SELECT count(DISTINCT community) FROM users) AS community_coverage_ratio,
     coalesce((count(*) FILTER (shown AND user_community <> author_community))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0.0)
       AS cross_community_exposure_ratio,
     (SELECT coalesce((count(*) FILTER (action = 'report_post'))::DOUBLE / nullif(count(*), 0), 0.0) FROM trace0 r
-      WHERE r.timestep BETWEEN t - {WINDOW - 1} AND t) AS report_rate,
+      WHERE r.timestep BETWEEN t - {WINDOW - 1} AND t AND 'run-' || (r.user_id % 4) = run_id) AS report_rate,
     coalesce((count(*) FILTER (NOT shown AND risk_score = 0))::DOUBLE / nullif(count(*) FILTER (risk_score = 0), 0), 0.0)
       AS benign_exposure_loss
   FROM (SELECT r.run_id, a.t, i.* EXCLUDE (run_id) FROM (SELECT DISTINCT run_id FROM impressions) r,
@@ -92,7 +93,7 @@ def _rounded(df, names, digits=6):
     state=STATE,
 )
 def _(t: Logs):
-    return _rounded(governance.governance_state(t.impressions, t.trace, _communities(t), window=WINDOW), STATE_COLUMNS)
+    return _rounded(governance.governance_state(t.impressions, t.run_trace, _communities(t), window=WINDOW), STATE_COLUMNS)
 
 
 @query(
@@ -120,7 +121,7 @@ def _(t: Logs):
 def _(t: Logs):
     costs = governance.cumulative_cost(_omegas(t))
     state = governance.governance_state(
-        t.impressions, t.trace, _communities(t), window=WINDOW, cumulative_cost=costs, budget=BUDGET
+        t.impressions, t.run_trace, _communities(t), window=WINDOW, cumulative_cost=costs, budget=BUDGET
     ).join(costs.select("run_id", "timestep", "omega_intra", "omega_inter"), ["run_id", "timestep"])
     out = governance.control_recommendation(state, **CONTROLLER)
     return out.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.governance import governance_state
+from ..operators.governance import step_axis
 from ..session import new_folder
 from ..streaming import (
     controller_stream,
@@ -14,18 +14,17 @@ from ..streaming import (
     governance_state_stream,
     impression_stream,
     read_events,
+    run_to_latest,
     run_to_table,
 )
 from ..streaming.jobs import IMPRESSION_SCHEMA
-from .q_governance import STATE, WINDOW
+from .q_governance import BUDGET, STATE, WINDOW
 from .registry import query
-from .views import OMEGA_INTER, OMEGA_INTRA, SEED, Logs
+from .views import OMEGA_INTER, OMEGA_INTRA, SEED, Logs, second_post
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 COMMUNITIES = [f"community-{i}" for i in range(5)]
 DELAY_HOURS = 1
-# windows that end by the final watermark (latest event less the delay) are final
-CLOSED = f"(SELECT max(ts) - INTERVAL {DELAY_HOURS} HOUR FROM trace0)"
 
 
 def _events(t: Logs):
@@ -40,7 +39,7 @@ def _refreshes(t: Logs):
     return views.select(
         r.alias("refresh_id"), "ts", "user_id", F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string")).alias("run_id"),
         F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("timestep"),
-        F.array(k, (k * 3 + 1) % 100).alias("posts"),
+        F.array(k, second_post(r, k, t.n_posts)).alias("posts"),
     )
 
 
@@ -68,31 +67,47 @@ TIMED = "SELECT i.*, t.ts FROM impressions i JOIN trace0 t ON i.refresh_id = t.r
 
 @query(
     "stream_exposure_by_step",
-    f"""SELECT run_id, timestep, candidates, shown, suppressed FROM (SELECT run_id, timestep, count(*)::BIGINT AS candidates,
-          (count(*) FILTER (shown))::BIGINT AS shown, (count(*) FILTER (NOT shown))::BIGINT AS suppressed FROM timed GROUP BY 1, 2)
-        WHERE DATE '2024-01-01' + (timestep + 1)::INTEGER <= {CLOSED}""",
+    """SELECT run_id, timestep, count(*)::BIGINT AS candidates, (count(*) FILTER (shown))::BIGINT AS shown,
+         (count(*) FILTER (NOT shown))::BIGINT AS suppressed FROM timed GROUP BY 1, 2""",
     timed=TIMED,
 )
 def _(t: Logs):
-    rows = run_to_table(exposure_by_step(_exposed(t)), "by-step")
+    rows = run_to_latest(exposure_by_step(_exposed(t)), "by-step", ["run_id", "step_start"])
     step = F.datediff(F.to_date("step_start"), F.lit("2024-01-01").cast("date")).cast("bigint")
     return rows.select("run_id", step.alias("timestep"), "candidates", "shown", "suppressed")
 
 
+FIRST_COST = (1 - OMEGA_INTRA) + (1 - OMEGA_INTER)
+STATE_NAMES = ("risk_adoption_rate", "community_coverage_ratio", "cross_community_exposure_ratio", "report_rate", "benign_exposure_loss", "remaining_budget")
+
+
+def _state(t: Logs, window: str):
+    """The streamed state by first step of its window."""
+    run = F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string"))
+    action = F.when(F.col("event_type") == "click", "repost").when(F.col("event_type") == "purchase", "quote_post").when(F.col("event_type") == "error", "report_post").otherwise(F.col("event_type"))
+    actions = _events(t).select("ts", run.alias("run_id"), action.alias("action")).withWatermark("ts", f"{DELAY_HOURS} hour")
+    state = governance_state_stream(_exposed(t), actions, COMMUNITIES, window, remaining_budget=max(0.0, BUDGET - FIRST_COST))
+    rows = run_to_latest(state, "state", ["run_id", "window_start"])
+    step = F.datediff(F.to_date("window_start"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    return rows.select("run_id", step.alias("first_step"), "recent_reposts", *STATE_NAMES)
+
+
 @query(
     "stream_governance_state",
     f"""SELECT run_id, t AS first_step, round(coalesce((count(*) FILTER (shown AND risk_score > 0))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0), 6) AS risk_adoption_rate,
           round(count(DISTINCT CASE WHEN shown AND risk_score > 0 THEN user_community END) / 5.0::DOUBLE, 6) AS community_coverage_ratio,
           round(coalesce((count(*) FILTER (shown AND user_community <> author_community))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0), 6) AS cross_community_exposure_ratio,
-          round(coalesce((count(*) FILTER (risk_score = 0 AND NOT shown))::DOUBLE / nullif(count(*) FILTER (risk_score = 0), 0), 0), 6) AS benign_exposure_loss
-        FROM timed, range(-2, 40) s(t) WHERE timestep BETWEEN t AND t + 2 AND DATE '2024-01-01' + (t + 3)::INTEGER <= {CLOSED} GROUP BY 1, 2""",
-    timed=TIMED,
+          round(coalesce((count(*) FILTER (risk_score = 0 AND NOT shown))::DOUBLE / nullif(count(*) FILTER (risk_score = 0), 0), 0), 6) AS benign_exposure_loss,
+          (count(*) FILTER (action IN ('repost', 'quote_post')))::BIGINT AS recent_reposts,
+          round(coalesce((count(*) FILTER (action = 'report_post'))::DOUBLE / nullif(count(action), 0), 0), 6) AS report_rate,
+          round(greatest(0.0::DOUBLE, {BUDGET}::DOUBLE - {FIRST_COST!r}::DOUBLE), 6) AS remaining_budget
+        FROM happened, (SELECT unnest(range(-2, 1 + max(timestep))) AS t FROM trace0) WHERE timestep BETWEEN t AND t + 2 GROUP BY 1, 2""",
+    happened="""SELECT run_id, timestep, shown, risk_score, user_community, author_community, NULL AS action FROM impressions
+      UNION ALL SELECT 'run-' || (user_id % 4), timestep, NULL, NULL, NULL, NULL, action FROM trace0""",
 )
 def _(t: Logs):
-    rows = run_to_table(governance_state_stream(_exposed(t), COMMUNITIES), "state")
-    step = F.datediff(F.to_date("window_start"), F.lit("2024-01-01").cast("date")).cast("bigint")
-    names = ("risk_adoption_rate", "community_coverage_ratio", "cross_community_exposure_ratio", "benign_exposure_loss")
-    return rows.select("run_id", step.alias("first_step"), *[F.round(n, 6).alias(n) for n in names])
+    rows = _state(t, "3 days")
+    return rows.select("run_id", "first_step", "recent_reposts", *[F.round(n, 6).alias(n) for n in STATE_NAMES])
 
 
 @query("stream_decision_dedup", "SELECT rowid AS event_id, action FROM trace0 WHERE action <> 'refresh'")
@@ -132,8 +147,9 @@ CONFIG = dict(
           FROM carried c JOIN step_state s ON s.run_id = c.run_id AND s.timestep = c.timestep + 1)))""",
 )
 def _(t: Logs):
-    """Controller over the per-step state, itself stored first so that the stream replays step rows."""
-    state = governance_state(t.impressions, t.trace, t.users.agg(F.countDistinct("community")).scalar(), window=1)
+    """Controller over the streamed state of each step; steps without any event have a row of zeros."""
+    axis = step_axis(t.impressions, t.trace)
+    state = axis.join(_state(t, "1 day").withColumnRenamed("first_step", "timestep"), ["run_id", "timestep"], "left").fillna(0)
     stored = t.store("step-state", state)
     stream = read_events(t.spark, stored, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema))
     out = run_to_table(controller_stream(stream, CONFIG), "controller")

@@ -33,6 +33,11 @@ def logs(spark: SparkSession, sf_dir: str) -> Logs:
     return _STORED[key]
 
 
+def second_post(refresh: Column, first: Column, n: Column) -> Column:
+    """The other post of a feed: any of the ``n`` seeded posts but the first."""
+    return (first + 1 + refresh % (n - 1)) % n
+
+
 class Logs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -55,6 +60,10 @@ class Logs:
     def n_users(self) -> Column:
         return self.table("customer").agg(F.count(F.lit(1))).scalar()
 
+    @cached_property
+    def n_posts(self) -> Column:
+        return self.table("documents").agg(F.count(F.lit(1))).scalar()
+
     # ---- dimensions ----
     @cached_property
     def users(self) -> DataFrame:
@@ -95,7 +104,7 @@ class Logs:
             k.alias("k"),
             "ts",
         )
-        row, k2 = F.col("rowid"), (F.col("k") * 3 + 1) % 100
+        row, k2 = F.col("rowid"), second_post(F.col("rowid"), F.col("k"), self.n_posts)
         created = (F.lit(CREATED_BASE) + row).cast("string")
         ks = F.col("k").cast("string")
         info = (
@@ -114,6 +123,11 @@ class Logs:
         )
         return base.withColumn("info", info)
 
+    @cached_property
+    def run_trace(self) -> DataFrame:
+        """The action log with the run of each user."""
+        return self.trace.withColumn("run_id", F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string")))
+
     @cached_property
     def post(self) -> DataFrame:
         """Documents as posts, plus one post per repost or quote of the action log."""
@@ -123,8 +137,8 @@ class Logs:
             d.alias("post_id"),
             ((d * 17) % n).alias("user_id"),
             parent.alias("original_post_id"),
-            F.when((d % 5 != 0) & (d % 7 == 0), F.substring("text", 1, 40)).alias("quote_content"),
-            F.when(d % 5 == 0, F.col("text")).otherwise("").alias("content"),
+            F.when((d % 5 != 0) & (d % 7 == 0), F.col("text")).alias("quote_content"),
+            F.coalesce("text", F.lit("")).alias("content"),
             ((d * 13) % 50).alias("num_likes"),
             ((d * 3) % 7).alias("num_dislikes"),
             ((d * 5) % 11).alias("num_shares"),

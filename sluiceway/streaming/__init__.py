@@ -8,6 +8,7 @@ from .jobs import (
     governance_state_stream,
     impression_stream,
     read_events,
+    run_to_latest,
     run_to_table,
 )
 
@@ -19,5 +20,6 @@ __all__ = [
     "governance_state_stream",
     "impression_stream",
     "read_events",
+    "run_to_latest",
     "run_to_table",
 ]

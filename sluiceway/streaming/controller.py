@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..operators.governance import BETWEEN_INTERVALS, BUDGET_EXHAUSTED, RULE_UPDATE
+from ..operators.governance import BETWEEN_INTERVALS, BUDGET_EXHAUSTED, LATE_STEP, RULE_UPDATE
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,8 +37,9 @@ class Controller(StatefulProcessor):
     """Omegas and spent budget of one run, carried from step to step.
 
     One small state row per run; input is one row per run and step, already aggregated.
-    Steps must arrive in order over the batches; a step not later than the last one
-    handled is a replay and is passed over.
+    Steps should arrive in order over the batches. One that comes after a later step changes
+    nothing any more; it is reported with a reason of its own. (A batch that is replayed
+    after a failure finds the state from before it, so it is no late step.)
     """
 
     def __init__(self, config: dict):
@@ -53,12 +54,14 @@ class Controller(StatefulProcessor):
         if self.state.exists():
             intra, inter, cost, last = self.state.get()
         else:
-            intra, inter, last = c["omega_intra"], c["omega_inter"], -1
+            intra, inter, last = clip(c["omega_intra"]), clip(c["omega_inter"]), -1
             cost = (1.0 - intra) + (1.0 - inter)
+        most = min(1.0, float(c["step"]))  # as in the batch recommendation
         steps = pd.concat(list(rows)).sort_values("timestep")
         out = []
         for row in steps.itertuples(index=False):
             if row.timestep <= last:
+                out.append((key[0], int(row.timestep), float(intra), float(inter), float(cost), LATE_STEP))
                 continue
             last = int(row.timestep)
             left = max(0.0, c["budget"] - cost)
@@ -71,9 +74,9 @@ class Controller(StatefulProcessor):
                 pressure = max(row.risk_adoption_rate - c["risk_target"], row.report_rate - c["report_target"], 0.0)
                 cross = max(row.cross_community_exposure_ratio - c["cross_target"], 0.0)
                 spread = min(1.0, row.recent_reposts / 10.0)
-                relax = c["step"] if row.benign_exposure_loss > c["loss_limit"] else 0.0
-                a = clip(intra - c["step"] * min(1.0, pressure + 0.5 * spread) + relax)
-                b = clip(inter - c["step"] * min(1.0, pressure + cross + 0.5 * row.community_coverage_ratio) + relax)
+                relax = most if row.benign_exposure_loss > c["loss_limit"] else 0.0
+                a = clip(intra - most * min(1.0, pressure + 0.5 * spread) + relax)
+                b = clip(inter - most * min(1.0, pressure + cross + 0.5 * row.community_coverage_ratio) + relax)
                 spend = (intra - a) + (inter - b)
                 if spend > left:
                     a, b, spend = clip(intra + (a - intra) * left / spend), clip(inter + (b - inter) * left / spend), left

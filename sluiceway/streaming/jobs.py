@@ -7,7 +7,7 @@ the caller picks sink and trigger.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scalar import ratio0
 from ..operators.exposure import govern
@@ -44,6 +44,25 @@ def run_to_table(stream: DataFrame, name: str, base: str | None = None) -> DataF
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def run_to_latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what is there now; its rows as they stand, open windows included.
+
+    Update mode writes each changed row once a batch; the latest of each key counts. Rows of
+    windows that the watermark has not closed yet are provisional: a later run replaces them.
+    """
+    spark = stream.sparkSession
+    base = new_folder(spark, f"stream/{name}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(f"{stream.schema.simpleString()[7:-1].replace(':', ' ')}, batch bigint").parquet(f"{base}/rows")
+    newest = W.partitionBy(*keys).orderBy(F.desc("batch"))
+    return rows.withColumn("__r", F.row_number().over(newest)).where("__r = 1").drop("__r", "batch")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -101,22 +120,36 @@ def exposure_by_step(impressions: DataFrame, step: str = STEP) -> DataFrame:
     )
 
 
-def governance_state_stream(impressions: DataFrame, communities: list[str], window: str = "3 days", step: str = STEP) -> DataFrame:
-    """Sliding-window state per run.
+def governance_state_stream(
+    impressions: DataFrame, actions: DataFrame, communities: list[str], window: str = "3 days", step: str = STEP, *, remaining_budget: float | None = None,
+) -> DataFrame:
+    """Sliding-window state per run from the streams of impressions and of actions (ts, run_id, action).
+
+    Both go through one aggregation, an action as a row without exposure. Omegas do not
+    change within the stream, so the budget left is that after the cost of the first ones.
 
     A stream allows no exact distinct count, but the communities are a fixed set: one
     conditional maximum per community gives exact coverage with constant state.
     """
     risky = F.col("shown") & (F.col("risk_score") > 0)
     seen = [F.max(F.when(risky & (F.col("user_community") == c), 1).otherwise(0)).alias(f"c{i}") for i, c in enumerate(communities)]
-    out = impressions.groupBy("run_id", F.window("ts", window, step).alias("w")).agg(*_exposure_counts(), *seen)
+    acts = [
+        F.count("action").alias("traces"),
+        F.count_if(F.col("action").isin("repost", "quote_post")).alias("reposts"),
+        F.count_if(F.col("action") == "report_post").alias("reports"),
+    ]
+    both = impressions.unionByName(actions.select("ts", "run_id", "action"), allowMissingColumns=True)
+    out = both.groupBy("run_id", F.window("ts", window, step).alias("w")).agg(*_exposure_counts(), *seen, *acts)
     covered = sum((F.col(f"c{i}") for i in range(len(communities))), F.lit(0))
     return out.select(
         "run_id", F.col("w")["start"].alias("window_start"), F.col("w")["end"].alias("window_end"),
         ratio0("risky_shown", "shown").alias("risk_adoption_rate"),
+        F.col("reposts").alias("recent_reposts"),
         (covered / F.lit(max(1, len(communities)))).alias("community_coverage_ratio"),
         ratio0("cross_shown", "shown").alias("cross_community_exposure_ratio"),
+        ratio0("reports", "traces").alias("report_rate"),
         ratio0("benign_hidden", "benign").alias("benign_exposure_loss"),
+        F.lit(remaining_budget).cast("double").alias("remaining_budget"),
     )
 
 

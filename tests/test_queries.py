@@ -21,7 +21,7 @@ def near(row):
     return tuple(f"{float(v):.6g}" if v.replace(".", "", 1).replace("-", "").replace("e", "").isdigit() and "." in v else v for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
