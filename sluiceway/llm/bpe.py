@@ -145,7 +145,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe, cache = worker_bpe(path)
-        ids = [cache.ids(t) for t in part.column(1).to_pylist()]
+        ids = cache.ids_of(part.column(1).to_pylist())
         return pa.record_batch(
             [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
             names=["doc_id", "n_tokens", "ids", "decoded"],

@@ -12,9 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from .common import WHITE
+from .common import WHITE, distinct_words
 
 #: The pattern of the byte-level vocabulary. Fixed value.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -65,25 +67,18 @@ class Recent:
 
     def look_up(self, keys: list[str]) -> list[bytes]:
         found = list(map(self._young.get, keys))
-        if None not in found:
-            return found
         gaps = [i for i, v in enumerate(found) if v is None]
-        fresh = dict.fromkeys(keys[i] for i in gaps)
-        old = self._old
-        unknown = []
-        for k in fresh:
-            if (v := old.get(k)) is None:
-                unknown.append(k)
-            else:
-                fresh[k] = v
-        fresh.update(zip(unknown, self._make(unknown)))
-        for i in gaps:
-            found[i] = fresh[keys[i]]
-        for k in [k for k in fresh if len(k) > CACHE_CHARS]:
-            del fresh[k]
-        self._young.update(fresh)
-        if len(self._young) > self._entries:
-            self._old, self._young = self._young, {}
+        if gaps:
+            missing = [keys[i] for i in gaps]
+            values = list(map(self._old.get, missing))
+            unknown = [k for k, v in zip(missing, values) if v is None]
+            made = iter(self._make(unknown))
+            values = [next(made) if v is None else v for v in values]
+            for i, v in zip(gaps, values):
+                found[i] = v
+            self._young.update((k, v) for k, v in zip(missing, values) if len(k) <= CACHE_CHARS)
+            if len(self._young) > self._entries:
+                self._old, self._young = self._young, {}
         return found
 
 
@@ -97,20 +92,38 @@ class ChunkCache:
         self._pretokens = Recent(encode)
         self._spaced = Recent(self._chunks)  # by the chunk without its leading space
 
+    def _known(self, pretokens: list[str]) -> dict[str, bytes]:
+        own = list(set(pretokens))
+        return dict(zip(own, self._pretokens.look_up(own)))
+
     def _chunks(self, keys: list[str]) -> list[bytes]:
         parts = [spaced_pretokens(k) for k in keys]
-        known = self._pretokens.look_up([p for ps in parts for p in ps])
-        out, at = [], 0
-        for ps in parts:
-            out.append(known[at] if len(ps) == 1 else b"".join(known[at : at + len(ps)]))
-            at += len(ps)
-        return out
+        known = self._known([p for ps in parts for p in ps])
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
 
     def ids(self, text: str) -> bytes:
-        if splits_at_spaces(text):
-            first, *rest = text.split(" ")
-            return b"".join(self._pretokens.look_up(PATTERN.findall(first)) + self._spaced.look_up(rest))
+        return self.ids_of([text])[0]
+
+    def _ids_by_pattern(self, text: str) -> bytes:
         special = SPECIAL_ID.to_bytes(4, "little")
         parts = pretokens(text)
-        known = iter(self._pretokens.look_up([p for p in parts if p is not None]))
-        return b"".join(special if p is None else next(known) for p in parts)
+        known = self._known([p for p in parts if p is not None])
+        return b"".join([special if p is None else known[p] for p in parts])
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Chunks of all texts are told apart at once; each distinct one is looked up once."""
+        plain = [splits_at_spaces(t) for t in texts]
+        parted = [t.partition(" ") if simple else ("", "", "") for t, simple in zip(texts, plain)]
+        lists = pc.split_pattern(pa.array([rest if space else None for _, space, rest in parted], pa.string()), " ")
+        code, words = distinct_words(lists)
+        known, code = self._spaced.look_up(words.to_pylist()), code.tolist()
+        heads = [PATTERN.findall(head) for head, _, _ in parted]
+        first = self._known([p for ps in heads for p in ps])
+        out, at = [], 0
+        for t, simple, head, n in zip(texts, plain, heads, pc.list_value_length(lists).fill_null(0).to_pylist()):
+            if simple:
+                out.append(b"".join([*[first[p] for p in head], *map(known.__getitem__, code[at : at + n])]))
+                at += n
+            else:
+                out.append(self._ids_by_pattern(t))
+        return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,12 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limit
     return run
 
 
+def distinct_words(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which distinct word each word of a list array is, and the distinct words: each is then looked up once."""
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 _KEPT: dict[str, object] = {}
 
 

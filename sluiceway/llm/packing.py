@@ -11,6 +11,7 @@ ranks of each length, so a piece finds its sequence from its own rank, by arithm
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -163,7 +164,7 @@ def worker_tokenizer(path: str) -> ChunkCache:
 
     def encode(pretokens: list[str]) -> list[bytes]:
         written = [p.encode().decode("latin-1").translate(letter) for p in pretokens]
-        return [b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w)) for w in written]
+        return [array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in written]
 
     return ChunkCache(encode)
 
@@ -178,8 +179,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = cache.ids(text) + b"\0\0\0\0"
+            for doc, ids in zip(batch.column(0).to_pylist(), cache.ids_of(batch.column(1).to_pylist())):
+                ids += b"\0\0\0\0"
                 total = len(ids) // 4
                 start = 0
                 for length in lengths(total, capacity):

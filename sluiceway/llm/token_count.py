@@ -14,13 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import byte_letters
 from .chunks import Recent
-from .common import per_slice, whole_text
+from .common import distinct_words, per_slice, whole_text
 
 LIMIT = 2048
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -102,21 +102,17 @@ class Counter:
             pieces = self._special.split(c) if "<|" in c else [c]
             extra.append(len(pieces) - 1)
             parts.append([p for piece in pieces for p in PATTERN.findall(normalise(piece))])
-        known = self._pretokens.look_up([p for ps in parts for p in ps])
-        out, at = [], 0
-        for ps, more in zip(parts, extra):
-            out.append(sum(known[at : at + len(ps)]) + more)
-            at += len(ps)
-        return out
+        own = list({p for ps in parts for p in ps})
+        known = dict(zip(own, self._pretokens.look_up(own)))
+        return [sum([known[p] for p in ps]) + more for ps, more in zip(parts, extra)]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        chunks = [t.split(" ") for t in texts]
-        known = self._chunks.look_up([c for cs in chunks for c in cs])
-        out, at = [], 0
-        for cs in chunks:
-            out.append(sum(known[at : at + len(cs)]))
-            at += len(cs)
-        return out
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        lists = pc.split_pattern(texts, " ")
+        code, words = distinct_words(lists)
+        known = np.array(self._chunks.look_up(words.to_pylist()), np.int64)
+        sums = np.r_[0, np.cumsum(known[code])]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return np.diff(np.r_[0, sums[ends]])
 
 
 @lru_cache(1)
@@ -133,8 +129,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column(1).to_pylist()
-        n_bytes = pa.compute.binary_length(part.column(1)).cast(pa.int64())
+        texts = part.column(1)
+        n_bytes = pc.binary_length(texts).cast(pa.int64())
         counts = worker_counter(path).counts(texts)
         return pa.record_batch([part.column(0), n_bytes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
