@@ -1,24 +1,31 @@
 """Ordered operators (running values, as-of, trailing lists) without one task per key.
 
-A window partitioned by a key alone puts all rows of that key into one task. Here a
-key's rows are first cut into blocks of the order column; each block is reduced to
-one row, the carry over blocks is a window over those few rows, and the rows
-themselves are only windowed inside their block.
+A window partitioned by a key alone puts all rows of that key into one task. Here the
+table is range-partitioned by key and order, so a hot key spans many partitions, whatever
+its ids look like. Each (key, partition) is reduced to one row, the carry over partitions
+is a window over those few rows, and the rows themselves are only windowed inside their
+partition. The partitioned table is stored once, which fixes the partition of each row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BLOCK = 1 << 20
+from ..session import cut
+
 SEGMENT = 100_000
 
 
 def _div(name: str, n: int) -> Column:
-    """Integer division; a float would lose the low digits of large ids."""
+    """Integer division; a float would lose the low digits of large numbers."""
     return F.expr(f"`{name}` div {n}")
 
 
+def _blocked(df: DataFrame, keys: list[str], order: str, blocks: int | None) -> DataFrame:
+    ranges = [*([blocks] if blocks else []), *keys, order]
+    return cut(df.repartitionByRange(*ranges).withColumn("__blk", F.spark_partition_id()))
+
+
 def prefix_scan(
     df: DataFrame,
     keys: list[str],
@@ -27,20 +34,21 @@ def prefix_scan(
     lasts: dict[str, Column] | None = None,
     *,
     inclusive: bool = False,
-    block: int = BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Per row, the sum / latest non-null value of the rows before it in its key.
 
-    ``order`` is a non-negative integer column, unique within a key. ``lasts`` takes
+    ``order`` is a column of any orderable type, unique within a key. ``lasts`` takes
     any value; the latest row (by ``order``) where it is not null wins.
     """
     sums, lasts = sums or {}, lasts or {}
-    d = df.withColumn("__blk", _div(order, block))
+    d = df
     for name, expr in sums.items():
         d = d.withColumn(f"__s_{name}", F.coalesce(expr, F.lit(0)))
     for name, expr in lasts.items():
         # the greatest (order, value) struct is the latest one
         d = d.withColumn(f"__l_{name}", F.when(expr.isNotNull(), F.struct(F.col(order).alias("o"), expr.alias("v"))))
+    d = _blocked(d, keys, order, blocks)
     part = [*keys, "__blk"]
     blocks = d.groupBy(*part).agg(
         *[F.sum(f"__s_{n}").alias(f"__c_{n}") for n in sums],
@@ -67,11 +75,11 @@ def prefix_scan(
 
 
 def next_value(
-    df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, block: int = BLOCK
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, blocks: int | None = None
 ) -> DataFrame:
     """Per row, the nearest following non-null ``value`` within its key."""
-    d = df.withColumn("__blk", _div(order, block))
-    d = d.withColumn("__v", F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))
+    d = df.withColumn("__v", F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))
+    d = _blocked(d, keys, order, blocks)
     part = [*keys, "__blk"]
     blocks = d.groupBy(*part).agg(F.min("__v").alias("__m"))
     after = W.partitionBy(*keys).orderBy("__blk").rowsBetween(1, W.unboundedFollowing)
@@ -91,7 +99,7 @@ def trailing_list(
     name: str,
     n: int,
     *,
-    block: int = BLOCK,
+    blocks: int | None = None,
     segment: int = SEGMENT,
 ) -> DataFrame:
     """The last ``n`` items before each row, oldest first.
@@ -101,7 +109,7 @@ def trailing_list(
     """
     if segment < n:
         raise ValueError("segment must be at least n")
-    d = prefix_scan(df, keys, order, sums={"__pos": F.lit(1)}, block=block).withColumn("__item", item)
+    d = prefix_scan(df, keys, order, sums={"__pos": F.lit(1)}, blocks=blocks).withColumn("__item", item)
     seg = _div("__pos", segment)
     edge = F.col("__pos") % F.lit(segment) >= segment - n
     d = d.withColumn("__seg", F.explode(F.when(edge, F.array(seg, seg + 1)).otherwise(F.array(seg))))

@@ -14,7 +14,7 @@ def leaf_bytes(df: DataFrame) -> int | None:
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except Exception:  # a session without plan statistics: treat as large
+    except (AttributeError, NotImplementedError):  # Spark Connect has no plan statistics: treat as large
         return None
 
 
@@ -38,9 +38,13 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 
 def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Keys holding more than ``share`` of the rows: at most 1/share of them."""
+    return _hot_counts(df, keys, share).select(*keys)
+
+
+def _hot_counts(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1)).alias("__t")).scalar()
-    return counts.where(F.col("__n") > total * F.lit(share)).select(*keys)
+    return counts.where(F.col("__n") > total * F.lit(share))
 
 
 def lookup(
@@ -58,23 +62,24 @@ def lookup(
 
 
 def salted_join(
-    big: DataFrame, other: DataFrame, on: list[str] | str, how: str = "inner", *, share: float = 0.005, salts: int = 64
+    big: DataFrame, other: DataFrame, on: list[str] | str, how: str = "inner", *, share: float = 0.005, rows_per_salt: int = 1_000_000
 ) -> DataFrame:
     """Equi-join with the hot keys of ``big`` salted. ``how``: inner, left, left_semi, left_anti.
 
     For joins that fan out on both sides, where splitting one side's partition is not
-    enough: each copy of a hot key meets every match, in ``salts`` tasks. ``big`` is read
-    three times, so it should be a stored or checkpointed table.
+    enough: each copy of a hot key meets every match, in as many tasks as the key has
+    ``rows_per_salt`` rows in ``big`` (two at least). ``big`` is read three times, so it should be a stored or checkpointed table.
     """
     on = [on] if isinstance(on, str) else list(on)
     rest = [c for c in big.columns if c not in on]
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in (rest or on)]), F.lit(salts)).cast("int")
-    hot = F.broadcast(hot_keys(big, on, share).withColumn("__hot", F.lit(True)))
-    left = big.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    salts = F.greatest(F.lit(2), F.ceil(F.col("__n") / rows_per_salt)).cast("int")
+    hot = F.broadcast(_hot_counts(big, on, share).select(*on, salts.alias("__hot")))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in (rest or on)]), F.col("__hot")).cast("int")
+    left = big.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(0)).drop("__hot")
+    every = F.sequence(F.lit(0), F.col("__hot") - 1)
     right = (
         other.join(hot, on, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))))
+        .withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), every).otherwise(F.array(F.lit(0)))))
         .drop("__hot")
     )
     out = left.join(right, [*on, "__salt"], how).drop("__salt")

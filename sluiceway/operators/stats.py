@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draw import pick_index
 from ..functions.ordered import prefix_scan
+from ..functions.skew import lookup
 from ..functions.scalar import BUDGET_SLACK, direction, exponential_cost, in_band, l1_cost, pair_direction
 
 # ---- fixed values -------------------------------------------------------
@@ -134,16 +135,14 @@ def leave_one_out(
     return winners.groupBy(key, *PAIR).agg(F.count(F.lit(1)).alias("wins"))
 
 
-def resample_weights(groups: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
+def resample_weights(members: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
     """How often each member index is drawn: (keys, resample, idx, weight).
 
-    ``groups``: keys and n. Every resample draws n members with replacement.
+    ``members``: keys, idx (1 to n) and n of their group. Every resample draws n members with
+    replacement; each member row makes the draw of its own number in every resample, so a
+    group of any size stays as spread out as its rows are.
     """
-    rows = groups.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    # a group is one row here: spread its resamples before each draws its n members
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, *keys, "resample")
-    rows = rows.select(*keys, "n", "resample", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
+    rows = members.select(*keys, "n", F.col("idx").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     drawn = rows.withColumn("idx", pick_index(F.col("n"), seed, *keys, "resample", "i"))
     return drawn.groupBy(*keys, "resample", "idx").agg(F.count(F.lit(1)).alias("weight"))
 
@@ -156,7 +155,7 @@ def bootstrap_selection(
     rows = runs.join(eligible.select(key, *PAIR).distinct(), [key, *PAIR], "left_semi")
     seeds = prefix_scan(rows.select(key, "seed").distinct(), [key], "seed", sums={"idx": F.lit(1).cast("bigint")}, inclusive=True)
     groups = seeds.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    weights = resample_weights(groups, [key], resamples, seed).join(seeds, [key, "idx"])
+    weights = resample_weights(lookup(seeds, groups, key), [key], resamples, seed).join(seeds, [key, "idx"])
     weighted = weights.select(key, "resample", "seed", "weight").join(rows, [key, "seed"])
     means = mean_metrics(weighted, [key, "resample", *PAIR], order, "weight")
     winners = select_best(means, [key, "resample"], order)
@@ -190,7 +189,7 @@ def bootstrap_ci(values: DataFrame, keys: list[str], *, resamples: int, seed: in
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sample_std")
     )
     indexed = prefix_scan(values, keys, "seed", sums={"idx": F.lit(1).cast("bigint")}, inclusive=True)
-    weights = resample_weights(size.select(*keys, "n"), keys, resamples, seed)
+    weights = resample_weights(lookup(indexed.select(*keys, "idx"), size.select(*keys, "n"), keys), keys, resamples, seed)
     means = (
         weights.join(indexed.select(*keys, "idx", "value"), [*keys, "idx"])
         .groupBy(*keys, "resample")

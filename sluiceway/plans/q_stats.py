@@ -166,7 +166,7 @@ BOOT = dict(
     member="SELECT condition, seed, row_number() OVER (PARTITION BY condition ORDER BY seed) AS idx, count(*) OVER (PARTITION BY condition) AS n FROM (SELECT DISTINCT condition, seed FROM grid_runs)",
     drawn=f"""SELECT condition, resample, idx, count(*) AS w FROM (SELECT condition, resample,
           floor((('0x' || substr(md5('{SEED}|' || condition || '|' || resample || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * n)::BIGINT + 1 AS idx
-        FROM (SELECT DISTINCT condition, n FROM member), range({R}) a(resample), range(1, 1000) b(i) WHERE i <= n) GROUP BY ALL""",
+        FROM (SELECT DISTINCT condition, n FROM member), range({R}) a(resample), (SELECT unnest(range(1, 1 + max(n))) AS i FROM member) b WHERE i <= n) GROUP BY ALL""",
     means="SELECT condition, resample, omega_intra, omega_inter, "
     + ", ".join(f"round(sum({m} * w) / sum(w), 9) AS {m}" for m in METRICS)
     + " FROM drawn JOIN member USING (condition, idx) JOIN grid_runs USING (condition, seed) SEMI JOIN eligible USING (condition, omega_intra, omega_inter) GROUP BY ALL",
@@ -202,7 +202,7 @@ def _ci_views(long_sql: str, keys: str, pipe: str) -> dict[str, str]:
         long=long_sql,
         member=f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY seed) AS idx, count(*) OVER (PARTITION BY {keys}) AS n FROM long",
         resampled=f"""SELECT {keys}, resample, i, floor((('0x' || substr(md5('{SEED}|' || {pipe} || '|' || resample || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * n)::BIGINT + 1 AS idx
-            FROM (SELECT DISTINCT {keys}, n FROM member), range({R}) a(resample), range(1, 1000) b(i) WHERE i <= n""",
+            FROM (SELECT DISTINCT {keys}, n FROM member), range({R}) a(resample), (SELECT unnest(range(1, 1 + max(n))) AS i FROM member) b WHERE i <= n""",
         resample_means=f"SELECT {keys}, resample, avg(value) AS m FROM resampled JOIN member USING ({keys}, idx) GROUP BY ALL",
         described=f"""SELECT * FROM (SELECT {keys}, count(*)::BIGINT AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sample_std FROM long GROUP BY ALL)
             JOIN (SELECT {keys}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM resample_means GROUP BY ALL) USING ({keys})""",

@@ -102,8 +102,8 @@ def _state(t: Logs, window: str):
           round(coalesce((count(*) FILTER (action = 'report_post'))::DOUBLE / nullif(count(action), 0), 0), 6) AS report_rate,
           round(greatest(0.0::DOUBLE, {BUDGET}::DOUBLE - {FIRST_COST!r}::DOUBLE), 6) AS remaining_budget
         FROM happened, (SELECT unnest(range(-2, 1 + max(timestep))) AS t FROM trace0) WHERE timestep BETWEEN t AND t + 2 GROUP BY 1, 2""",
-    happened="""SELECT run_id, timestep, shown, risk_score, user_community, author_community, NULL AS action FROM impressions
-      UNION ALL SELECT 'run-' || (user_id % 4), timestep, NULL, NULL, NULL, NULL, action FROM trace0""",
+    happened="""SELECT run_id, timestep, shown, risk_score, user_community, author_community, NULL::VARCHAR AS action FROM impressions
+      UNION ALL SELECT 'run-' || (user_id % 4), timestep, NULL::BOOLEAN, NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR, action FROM trace0""",
 )
 def _(t: Logs):
     rows = _state(t, "3 days")

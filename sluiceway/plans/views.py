@@ -38,6 +38,11 @@ def second_post(refresh: Column, first: Column, n: Column) -> Column:
     return (first + 1 + refresh % (n - 1)) % n
 
 
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Derive the facts anew at the next query, after the tables have changed."""
+    _STORED.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
+
+
 class Logs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -326,10 +331,12 @@ class Logs:
     def with_features(self, df: DataFrame) -> DataFrame:
         """Attach what the audit reads from the rationale (the text of document k).
 
-        Features are taken where the texts are; only they travel to the decisions, never
+        Features are taken where the texts are, of documents that are asked for; only they travel to the decisions, never
         the texts.
         """
-        docs = tx.with_features(self.table("documents").select(F.col("doc_id").alias("k"), "text"), "text").drop("text")
+        asked = df.select("k").distinct()
+        docs = self.table("documents").select(F.col("doc_id").alias("k"), "text").join(asked, "k", "left_semi")
+        docs = tx.with_features(docs, "text").drop("text")
         return lookup(df, docs, "k", "left")
 
     # ---- experiment tables ----

@@ -297,14 +297,14 @@ def test_legal_masks(spark):
 def test_refresh_match_needs_exactly_one(spark, rows_of):
     data = [(1, 1, 0, "refresh"), (2, 1, 0, "repost"), (3, 1, 0, "refresh"), (4, 1, 0, "refresh"), (5, 1, 0, "repost"), (6, 1, 0, "refresh"), (7, 1, 1, "repost"), (8, 1, 1, "do_nothing")]
     trace = spark.createDataFrame(data, "rowid bigint, user_id bigint, timestep bigint, action string")
-    out = linking.unique_refresh_match(trace, block=2)
+    out = linking.unique_refresh_match(trace, blocks=2)
     assert rows_of(out, "rowid", "candidates", "refresh_id") == [(2, 1, 1), (5, 2, None), (7, 0, None), (8, 0, None)]
 
 
 def test_bind_trace_takes_the_next(spark, rows_of):
     trace = spark.createDataFrame([(1, 1, "repost"), (5, 1, "repost"), (7, 2, "repost")], "rowid bigint, user_id bigint, action string")
     asks = spark.createDataFrame([(1, 1, "repost"), (5, 1, "repost"), (0, 2, "repost"), (2, 1, "report_post")], "rowid bigint, user_id bigint, expected string")
-    assert rows_of(linking.bind_trace(asks, trace, block=2), "rowid", "user_id", "trace_rowid") == [(0, 2, 7), (1, 1, 5), (2, 1, None), (5, 1, None)]
+    assert rows_of(linking.bind_trace(asks, trace, blocks=2), "rowid", "user_id", "trace_rowid") == [(0, 2, 7), (1, 1, 5), (2, 1, None), (5, 1, None)]
 
 
 def test_ignore_categories(spark):

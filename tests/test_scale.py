@@ -18,29 +18,40 @@ def log(spark):
     return spark.createDataFrame(data, "rowid bigint, user_id bigint, action string, v bigint").repartition(5)
 
 
-@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("block", [1, 7, 40, None])
 def test_prefix_scan_equals_window(log, rows_of, block):
     mark = F.when(F.col("action") == "refresh", F.col("v"))
-    got = ordered.prefix_scan(log, ["user_id"], "rowid", sums={"s": F.col("v")}, lasts={"l": mark}, block=block)
+    got = ordered.prefix_scan(log, ["user_id"], "rowid", sums={"s": F.col("v")}, lasts={"l": mark}, blocks=block)
     w = W.partitionBy("user_id").orderBy("rowid").rowsBetween(W.unboundedPreceding, -1)
     want = log.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0))).withColumn("l", F.last(mark, True).over(w))
     assert rows_of(got, "rowid", "s", "l") == rows_of(want, "rowid", "s", "l")
-    incl = ordered.prefix_scan(log, ["user_id"], "rowid", sums={"s": F.col("v")}, inclusive=True, block=block)
+    incl = ordered.prefix_scan(log, ["user_id"], "rowid", sums={"s": F.col("v")}, inclusive=True, blocks=block)
     want = log.withColumn("s", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)))
     assert rows_of(incl, "rowid", "s") == rows_of(want, "rowid", "s")
 
 
-@pytest.mark.parametrize("block", [1, 13, 1 << 20])
+def test_blocks_follow_rows_not_ids(spark, rows_of):
+    """Ids spread over 2^60, one key with half of the rows: blocks stay about equal."""
+    rng = random.Random(4)
+    sparse = spark.createDataFrame([(rng.randrange(1 << 60), 1 if i % 2 else rng.randrange(2, 50), i) for i in range(4000)], "rowid bigint, user_id bigint, v bigint")
+    blocked = ordered._blocked(sparse, ["user_id"], "rowid", 16)
+    assert blocked.groupBy("user_id", "__blk").count().agg(F.max("count")).first()[0] <= 2 * 4000 / 16
+    w = W.partitionBy("user_id").orderBy("rowid").rowsBetween(W.unboundedPreceding, 0)
+    got = ordered.prefix_scan(sparse, ["user_id"], "rowid", sums={"s": F.col("v")}, inclusive=True, blocks=16)
+    assert rows_of(got, "rowid", "s") == rows_of(sparse.withColumn("s", F.sum("v").over(w)), "rowid", "s")
+
+
+@pytest.mark.parametrize("block", [1, 13, None])
 def test_next_value_equals_window(log, rows_of, block):
     mark = F.when(F.col("action") == "repost", F.col("rowid"))
-    got = ordered.next_value(log, ["user_id"], "rowid", mark, "n", block=block)
+    got = ordered.next_value(log, ["user_id"], "rowid", mark, "n", blocks=block)
     w = W.partitionBy("user_id").orderBy("rowid").rowsBetween(1, W.unboundedFollowing)
     assert rows_of(got, "rowid", "n") == rows_of(log.withColumn("n", F.first(mark, True).over(w)), "rowid", "n")
 
 
 @pytest.mark.parametrize("segment", [4, 9, 100_000])
 def test_trailing_list_equals_window(log, rows_of, segment):
-    got = ordered.trailing_list(log, ["user_id"], "rowid", F.col("v"), "h", 4, block=50, segment=segment)
+    got = ordered.trailing_list(log, ["user_id"], "rowid", F.col("v"), "h", 4, blocks=5, segment=segment)
     w = W.partitionBy("user_id").orderBy("rowid").rowsBetween(-4, -1)
     assert rows_of(got, "rowid", "h") == rows_of(log.withColumn("h", F.collect_list("v").over(w)), "rowid", "h")
     assert set(got.columns) == {"rowid", "user_id", "action", "v", "h"}
@@ -50,7 +61,7 @@ def test_trailing_list_equals_window(log, rows_of, segment):
 def test_salted_join_equals_join(spark, log, rows_of, how):
     dim = spark.createDataFrame([(i, f"n{i}") for i in range(1, 7)], "user_id bigint, name string")
     plain = log.join(dim, "user_id", how)
-    salted = skew.salted_join(log, dim, "user_id", how, share=0.1, salts=5)
+    salted = skew.salted_join(log, dim, "user_id", how, share=0.1, rows_per_salt=50)
     assert rows_of(salted.select(plain.columns)) == rows_of(plain)
     assert rows_of(skew.lookup(log, dim, "user_id", how, limit=0).select(plain.columns)) == rows_of(plain)
 
