@@ -46,6 +46,8 @@ BROADCAST_IDS = 2_000_000
 #: Blocks of the product for each partition of the input.
 BLOCKS = 4
 PACK_ROWS = 50_000
+#: Pairs with their sets handed to Python at once.
+PAIR_ROWS = 500
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 62, WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -276,8 +278,14 @@ def decide(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("s").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("s").alias("b"), F.col("h").alias("hb"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(overlaps, "a long, b long"))
+    # rows hold two whole sets: small batches while the table is written
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(PAIR_ROWS))
+    try:
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(overlaps, "a long, b long"))
+    finally:
+        spark.conf.set(rows, before)
 
 
 def reachable(small, large, count):
