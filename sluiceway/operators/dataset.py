@@ -472,9 +472,16 @@ def masked_features(prompt_ids: Column, target_ids: Column, eos: int | None, max
     }
 
 
-def word_ids(text: Column, special: bool) -> Column:
-    """Position ids of whitespace-separated words, from 2 on; 1 starts a prompt."""
-    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+def word_ids(text: Column, special: bool, vocabulary: int | None = None) -> Column:
+    """Ids of whitespace-separated words, from 2 on; 1 starts a prompt.
+
+    With a ``vocabulary`` size the id is a hash of the word, else its position.
+    """
+    own = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    if vocabulary:
+        hashed = F.transform(own, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % vocabulary) + 2)
+        return F.concat(F.array(F.lit(1)), hashed) if special else hashed
+    words = F.size(own)
     ids = F.when(words > 0, F.sequence(F.lit(2), words + 1)).otherwise(F.array().cast("array<int>"))
     return F.concat(F.array(F.lit(1)), ids) if special else ids
 

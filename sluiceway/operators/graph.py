@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.draw import uniform
 from ..functions.skew import lookup, salted_join, is_small
 from ..session import cut
 
@@ -228,22 +227,10 @@ def shadow_summary(evaluations: DataFrame, *, keys: list[str] | None = None) ->
     )
 
 
-def initial_adopters(users: DataFrame, density: float, seed: int, communities: list[str]) -> DataFrame:
-    """floor(density * all users) users of each named community, in draw order.
-
-    The rank limit is data dependent, so ranks come from counts per draw bucket: only
-    the one bucket that straddles the limit is ever ordered.
-    """
-    total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
-    quota = F.floor(F.lit(density) * total)
-    drawn = users.where(F.col("community").isin(*communities)).withColumn("u", uniform(seed, "community", "user_id"))
-    drawn = drawn.withColumn("b", F.floor(F.col("u") * 1024).cast("int"))
-    sizes = drawn.groupBy("community", "b").agg(F.count(F.lit(1)).alias("c"))
-    before = W.partitionBy("community").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("community", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    ranked = drawn.join(F.broadcast(starts), ["community", "b"]).where(F.col("start") < quota)
-    inside = F.row_number().over(W.partitionBy("community", "b").orderBy("u", "user_id"))
-    return ranked.withColumn("r", F.col("start") + inside).where(F.col("r") <= quota).select("community", "user_id")
+def initial_adopters(roots: DataFrame, posts: DataFrame, users: DataFrame, before: int) -> DataFrame:
+    """Logged adopters of each root before a step: (root_post_id, user_id, community)."""
+    early = roots.join(posts.select("post_id", "created_at"), "post_id").where(F.col("created_at") < before)
+    return lookup(early.select("root_post_id", "user_id").distinct(), users, "user_id", "inner")
 
 
 def threshold_rounds(
@@ -312,3 +299,16 @@ def round_counts(adopted: DataFrame) -> DataFrame:
         W.partitionBy("root_post_id").orderBy("round").rowsBetween(W.unboundedPreceding, 0)
     )
     return new.withColumn("total_adopters", upto)
+
+
+def predicted_against_observed(predicted: DataFrame, observed: DataFrame) -> DataFrame:
+    """Per root: adopters the rounds predict beyond round 0, adopters the log has, and those in both.
+
+    ``predicted``: user_id, root_post_id, round. ``observed``: user_id, root_post_id. Adopters of
+    round 0 are what the prediction starts from and count on neither side.
+    """
+    keys = ["root_post_id", "user_id"]
+    a = predicted.select(*keys, F.col("round").alias("r"))
+    b = observed.select(*keys).distinct().withColumn("o", F.lit(True))
+    later = a.join(b, keys, "full").where("coalesce(r, 1) > 0")
+    return later.groupBy("root_post_id").agg(F.count("r").alias("predicted"), F.count("o").alias("observed"), F.count_if(F.col("r").isNotNull() & F.col("o").isNotNull()).alias("both"))

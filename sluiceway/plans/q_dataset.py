@@ -400,17 +400,20 @@ def _(t: Logs):
 MAX_LENGTH = 24
 
 
+WORDS = 50_000
+
+
 @query(
     "masked_features",
     rf"""SELECT sample_id, array_to_string(kept || target, ',') AS input_ids, array_to_string(list_transform(kept, lambda x: -100) || target, ',') AS labels
         FROM (SELECT sample_id, target, CASE WHEN len(ids) > {MAX_LENGTH} - len(target) THEN ids[len(ids) - ({MAX_LENGTH} - len(target)) + 1:] ELSE ids END AS kept
-          FROM (SELECT sample_id, [1] || range(2, 2 + len(regexp_extract_all(prompt, '\S+'))) AS ids,
-              (range(2, 2 + len(regexp_extract_all(rationale, '\S+'))) || [0])[1:{MAX_LENGTH}] AS target FROM prompts))""",
+          FROM (SELECT sample_id, [1] || list_transform(regexp_extract_all(prompt, '\S+'), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % {WORDS} + 2) AS ids,
+              (list_transform(regexp_extract_all(rationale, '\S+'), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % {WORDS} + 2) || [0])[1:{MAX_LENGTH}] AS target FROM prompts))""",
     dsnap=DSNAP, native=NATIVE, prompts=PROMPT_SQL,
 )
 def _(t: Logs):
     rows = _sound(t).select("sample_id", dataset.prompt().alias("prompt"), F.col("label")["reason"].alias("target"))
-    f = dataset.masked_features(dataset.word_ids(F.col("prompt"), True), dataset.word_ids(F.col("target"), False), 0, MAX_LENGTH)
+    f = dataset.masked_features(dataset.word_ids(F.col("prompt"), True, WORDS), dataset.word_ids(F.col("target"), False, WORDS), 0, MAX_LENGTH)
 
     def text(c):
         return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, hierarchy
 from .registry import query
-from .views import SEED, Logs
+from .views import Logs
 
 THETA = 0.06
-DENSITY = 0.02
 ROUNDS = 4
 
 
@@ -183,17 +182,17 @@ def _(t: Logs):
     return graph.shadow_summary(_evaluation(t))
 
 
-SEEDS = f"""SELECT community, user_id FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY
-      ('0x' || substr(md5('{SEED}|' || community || '|' || user_id), 1, 8))::BIGINT, user_id) AS r FROM users), cnt
-    WHERE r <= floor({DENSITY}::DOUBLE * n)"""
-COMMUNITIES = [f"community-{i}" for i in range(5)]
+# adopters logged in the first half of the steps; the rounds predict the others
+EARLY = 15
+SEEDS = f"""SELECT DISTINCT r.root_post_id, r.user_id, u.community FROM roots r JOIN post p ON r.post_id = p.post_id
+    JOIN users u ON r.user_id = u.user_id WHERE p.created_at < {EARLY}"""
 
 
 def _seeds(t: Logs):
-    return graph.initial_adopters(t.users, DENSITY, SEED, COMMUNITIES)
+    return graph.initial_adopters(t.roots, t.post, t.users, EARLY)
 
 
-@query("initial_adopters", "SELECT community, user_id FROM seeds", seeds=SEEDS)
+@query("initial_adopters", "SELECT root_post_id, community, user_id FROM seeds", seeds=SEEDS)
 def _(t: Logs):
     return _seeds(t)
 
@@ -204,7 +203,7 @@ def _round_views() -> dict[str, str]:
         "labelled": """SELECT c.user_id, c.neighbor_id, a.community = b.community AS same FROM contacts c
             JOIN users a ON c.user_id = a.user_id JOIN users b ON c.neighbor_id = b.user_id""",
         "degrees": "SELECT user_id, count(*) AS degree FROM contacts GROUP BY 1",
-        "round_0": "SELECT user_id, right(community, 1)::BIGINT AS root_post_id, 0 AS round FROM seeds",
+        "round_0": "SELECT user_id, root_post_id, 0 AS round FROM seeds",
     }
     for i in range(1, ROUNDS + 1):
         views[f"round_{i}"] = f"""SELECT * FROM round_{i - 1} UNION ALL
@@ -217,9 +216,8 @@ def _round_views() -> dict[str, str]:
 
 
 def _rounds(t: Logs):
-    seeds = _seeds(t).select("user_id", F.substring_index("community", "-", -1).cast("bigint").alias("root_post_id"))
     return graph.threshold_rounds(
-        t.follow, t.users, seeds, threshold=THETA, weight_intra=1.0, weight_inter=0.5, rounds=ROUNDS
+        t.follow, t.users, _seeds(t), threshold=THETA, weight_intra=1.0, weight_inter=0.5, rounds=ROUNDS
     )
 
 
@@ -246,19 +244,30 @@ def _(t: Logs):
 @query(
     "adoption_summary",
     f"""SELECT a.root_post_id, count(*)::BIGINT AS final_adopters, round(count(*)::DOUBLE / any_value(n), 6) AS final_fraction,
-          (count(*) FILTER (right(community, 1)::BIGINT = a.root_post_id))::BIGINT AS intra_adoptions,
-          (count(*) FILTER (right(community, 1)::BIGINT <> a.root_post_id))::BIGINT AS inter_adoptions,
+          (count(*) FILTER (community = root_community))::BIGINT AS intra_adoptions,
+          (count(*) FILTER (community <> root_community))::BIGINT AS inter_adoptions,
           round(count(DISTINCT community)::DOUBLE / (SELECT count(DISTINCT community) FROM users), 6) AS coverage,
           count(DISTINCT CASE WHEN round > 0 THEN round END)::BIGINT AS generations
-        FROM round_{ROUNDS} a JOIN users u ON a.user_id = u.user_id, cnt GROUP BY 1""",
+        FROM round_{ROUNDS} a JOIN users u ON a.user_id = u.user_id LEFT JOIN (SELECT DISTINCT root_post_id, root_community FROM adopters) l
+          ON a.root_post_id = l.root_post_id, cnt GROUP BY 1""",
     **_round_views(),
 )
 def _(t: Logs):
-    labels = t.users.select(
-        F.substring_index("community", "-", -1).cast("bigint").alias("root_post_id"), F.col("community").alias("root_community")
-    ).distinct()
+    labels = hierarchy.root_adopters(t.roots, t.users).select("root_post_id", "root_community").distinct()
     return (
         graph.adoption_summary(_rounds(t), t.users, labels)
         .withColumn("final_fraction", F.round("final_fraction", 6))
         .withColumn("coverage", F.round("coverage", 6))
     )
+
+
+@query(
+    "adoption_predicted_observed",
+    f"""SELECT root_post_id, count(r)::BIGINT AS predicted, count(o)::BIGINT AS observed, (count(*) FILTER (r IS NOT NULL AND o IS NOT NULL))::BIGINT AS both
+        FROM (SELECT coalesce(a.root_post_id, b.root_post_id) AS root_post_id, a.round AS r, b.o
+          FROM round_{ROUNDS} a FULL JOIN (SELECT DISTINCT root_post_id, user_id, true AS o FROM roots) b
+            ON a.root_post_id = b.root_post_id AND a.user_id = b.user_id) WHERE coalesce(r, 1) > 0 GROUP BY 1""",
+    **_round_views(),
+)
+def _(t: Logs):
+    return graph.predicted_against_observed(_rounds(t), t.roots)

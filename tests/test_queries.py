@@ -36,3 +36,14 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["feed_comments", "threshold_evaluation", "threshold_rounds", "scan_examples_jsonl", "following_topk", "teacher_audit", "bootstrap_ci"])
+def test_large_side_equals_sql(spark, duck, name):
+    """The same with no table small enough to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_query_equals_sql(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

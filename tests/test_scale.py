@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 
 from sluiceway.functions import ordered, skew
 from sluiceway.functions.draw import uniform
-from sluiceway.operators import dataset, exposure, graph
+from sluiceway.operators import dataset, exposure, graph, stats
 
 
 @pytest.fixture(scope="module")
@@ -154,11 +154,72 @@ def test_settle_brute_force(spark, rows_of):
     assert rows_of(dataset.settle(df, kind_df), "rowid") == want
 
 
-def test_initial_adopters_quota(spark):
-    users = spark.range(500).select(F.col("id").alias("user_id"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("community"))
-    got = graph.initial_adopters(users, 0.1, 3, ["c0", "c1"]).collect()
-    assert sorted(r.community for r in got) == ["c0"] * 50 + ["c1"] * 50
-    assert len({r.user_id for r in got}) == 100
+def test_adoption_starts_from_the_log(spark, rows_of):
+    users = spark.createDataFrame([(1, "c0"), (2, "c1"), (3, "c0")], "user_id bigint, community string")
+    roots = spark.createDataFrame([(10, 10, 1), (11, 10, 2), (12, 10, 3), (13, 10, 1)], "post_id bigint, root_post_id bigint, user_id bigint")
+    posts = spark.createDataFrame([(10, 0), (11, 5), (12, 20), (13, 3)], "post_id bigint, created_at bigint")
+    seeds = graph.initial_adopters(roots, posts, users, 15)
+    assert rows_of(seeds, "root_post_id", "user_id", "community") == [(10, 1, "c0"), (10, 2, "c1")]
+    predicted = spark.createDataFrame([(1, 10, 0), (2, 10, 0), (3, 10, 1), (9, 10, 2)], "user_id bigint, root_post_id bigint, round int")
+    assert rows_of(graph.predicted_against_observed(predicted, roots)) == [(10, 2, 1, 1)]
+
+
+def test_long_dependency_chain_settles(spark, rows_of):
+    """Each repost falls to the derivation the one before it made; 160 in a row alternate."""
+    data = [(i, 1, "repost", i, i + 1) for i in range(160)]
+    df = spark.createDataFrame(data, "rowid bigint, user_id bigint, action string, target_post_id bigint, created_parent bigint")
+    kinds = spark.createDataFrame([(i, i, False) for i in range(162)], "post_id bigint, root_post_id bigint, is_repost boolean")
+    assert rows_of(dataset.settle(df, kinds), "rowid") == [(i,) for i in range(0, 160, 2)]
+
+
+def test_late_step_is_reported():
+    from sluiceway.streaming.controller import CONTROLLER_OUTPUT, Controller
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    import pandas as pd
+
+    from sluiceway.operators.governance import LATE_STEP
+
+    names = ["risk_adoption_rate", "recent_reposts", "community_coverage_ratio", "cross_community_exposure_ratio", "report_rate", "benign_exposure_loss"]
+    control = Controller(dict(interval=2, step=5, risk_target=0.25, cross_target=0.3, report_target=0.1, loss_limit=0.1, budget=1.2, omega_intra=1.5, omega_inter=1.0))
+    control.state = State()
+    batch = lambda steps: iter([pd.DataFrame([[t, *[0.5] * 6] for t in steps], columns=["timestep", *names])])
+    first = pd.concat(control.handleInputRows(("run-0",), batch([0, 2]), None))
+    second = pd.concat(control.handleInputRows(("run-0",), batch([1, 3]), None))
+    assert list(first.columns) == CONTROLLER_OUTPUT.fieldNames() and first.omega_intra.between(0, 1).all()
+    assert list(second.timestep) == [1, 3] and list(second.reason == LATE_STEP) == [True, False]
+
+
+def test_shared_folder_is_required():
+    from sluiceway.session import shared_dir
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Bare)
+
+
+def test_bootstrap_of_a_large_group(spark):
+    """A group of 10^5 members is drawn by its own rows."""
+    values = spark.range(100_000).select(F.lit("g").alias("k"), F.col("id").alias("seed"), (F.col("id") % 2).cast("double").alias("value"))
+    row = stats.bootstrap_ci(values, ["k"], resamples=5, seed=1).first()
+    assert row.n == 100_000 and 0.49 < row.ci_low <= row.ci_high < 0.51
 
 
 def test_topk_is_cut_before_the_shuffle(spark):
