@@ -12,11 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import WHITE, distinct_words
+from .common import WHITE, distinct_words, gather
 
 #: The pattern of the byte-level vocabulary. Fixed value.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -116,14 +117,17 @@ class ChunkCache:
         parted = [t.partition(" ") if simple else ("", "", "") for t, simple in zip(texts, plain)]
         lists = pc.split_pattern(pa.array([rest if space else None for _, space, rest in parted], pa.string()), " ")
         code, words = distinct_words(lists)
-        known, code = self._spaced.look_up(words.to_pylist()), code.tolist()
+        known = self._spaced.look_up(words.to_pylist())
+        size = np.array([len(k) for k in known], np.int32) >> 2
+        start = np.cumsum(size, dtype=np.int32) - size
+        sizes = size[code]
+        tail = np.frombuffer(b"".join(known), np.uint32)[gather(start[code], sizes)].tobytes()
+        words_to = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        ends = (4 * np.r_[0, np.cumsum(sizes, dtype=np.int64)][words_to]).tolist()
         heads = [PATTERN.findall(head) for head, _, _ in parted]
         first = self._known([p for ps in heads for p in ps])
         out, at = [], 0
-        for t, simple, head, n in zip(texts, plain, heads, pc.list_value_length(lists).fill_null(0).to_pylist()):
-            if simple:
-                out.append(b"".join([*[first[p] for p in head], *map(known.__getitem__, code[at : at + n])]))
-                at += n
-            else:
-                out.append(self._ids_by_pattern(t))
+        for t, simple, head, end in zip(texts, plain, heads, ends):
+            out.append(b"".join([*[first[p] for p in head], tail[at:end]]) if simple else self._ids_by_pattern(t))
+            at = end
         return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def distinct_words(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[i], ..., starts[i] + sizes[i] - 1 for all i, one after the other (32 bits: for parts of a task)."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 _KEPT: dict[str, object] = {}
 
 
