@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkCache
-from .common import per_slice, whole_text
+from .common import once_per_worker, per_slice, whole_text
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 #: No merge has this rank.
@@ -129,7 +129,6 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def worker_bpe(path: str) -> tuple[PrefixBPE, ChunkCache]:
     bpe = PrefixBPE(path)
     return bpe, ChunkCache(bpe.encode_all)
@@ -144,7 +143,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, cache = worker_bpe(path)
+        bpe, cache = once_per_worker(f"bpe {path}", lambda: worker_bpe(path))
         ids = cache.ids_of(part.column(1).to_pylist())
         return pa.record_batch(
             [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],

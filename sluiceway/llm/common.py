@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,18 @@ def distinct_words(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions starts[i], ..., starts[i] + sizes[i] - 1 for all i, one after the other (32 bits: for parts of a task)."""
     ends = np.cumsum(sizes, dtype=np.int32)
@@ -72,7 +85,10 @@ _KEPT: dict[str, object] = {}
 
 
 def once_per_worker(key: str, make: Callable[[], object]):
-    """The object of the latest ``key``, made once in each Python worker."""
+    """The object of the latest ``key``, made once in each Python worker.
+
+    Workers serve one operator after the other; what the one before kept is let go.
+    """
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = make()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
 from .chunks import Recent
-from .common import slices, whole_text
+from .common import batch_rows, once_per_worker, slices, whole_text
 from .components import components
 
 WORDS = 5
@@ -46,6 +46,8 @@ BROADCAST_IDS = 2_000_000
 #: Blocks of the product for each partition of the input.
 BLOCKS = 4
 PACK_ROWS = 50_000
+#: Bytes of text and rows handled at once, and word hashes kept, in a worker.
+SLICE, TEXT_ROWS, KEPT_WORDS = 2 << 20, 1000, 120_000
 #: Pairs with their sets handed to Python at once.
 PAIR_ROWS = 500
 
@@ -63,19 +65,15 @@ def _hash_words(words: list[bytes]) -> list[bytes]:
     return [xxhash.xxh3_64_digest(w) for w in words]
 
 
-_words: list[Recent] = []
-
-
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The n-grams of each text as sorted 64-bit hashes; empty without words.
 
     Only A-Z are lowered and only ASCII white space separates words, which is what
     bytes.lower() and bytes.split() do. A text of fewer words is one n-gram of its own kind.
     """
-    if not _words:
-        _words.append(Recent(_hash_words))
+    hashes = once_per_worker("word hashes", lambda: Recent(_hash_words, KEPT_WORDS))
     words = [t.lower().split() for t in texts]
-    flat = np.frombuffer(b"".join(_words[0].look_up([w for ws in words for w in ws])), ">u8").astype(np.uint64)
+    flat = np.frombuffer(b"".join(hashes.look_up([w for ws in words for w in ws])), ">u8").astype(np.uint64)
     sums = np.zeros(max(0, len(flat) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         sums += flat[k : k + len(sums)] * _FACTORS[k]
@@ -108,7 +106,7 @@ def sketch(docs: DataFrame, partitions: int) -> bytes:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column(1).to_pylist())
                 if sets:
                     total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
@@ -132,7 +130,9 @@ def sketch(docs: DataFrame, partitions: int) -> bytes:
         lots = lots // FAN_IN
     rows = rows.repartitionById(SKETCH_ROWS, F.col("part")).mapInArrow(add, schema)
     classes = np.zeros((SKETCH_ROWS, width), np.uint8)
-    for r in rows.collect():  # SKETCH_ROWS rows, of a size that does not depend on the data
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        found = rows.collect()  # SKETCH_ROWS rows, of a size that does not depend on the data
+    for r in found:
         classes[r["part"]] = (2 * np.log2(1 + np.frombuffer(r["counts"], np.int64))).astype(np.uint8)
     return classes.tobytes()
 
@@ -166,7 +166,7 @@ def leading(docs: DataFrame, classes: bytes, blocks: int) -> DataFrame:
         gs, ss, ns = [], [], []
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = part.column(0)
                 sets = shingle_sets(part.column(1).to_pylist())
                 own = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
@@ -260,11 +260,12 @@ def decide(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield pa.record_batch([part.column(1), pa.array([h.tobytes() for h in shingle_sets(part.column(0).to_pylist())], pa.binary())], names=["s", "h"])
 
     # a repeated document gives a set twice, hence the distinct
-    sets = cut(texts_of(docs).join(wanted, "doc_id").select("text", "s").mapInArrow(build, "s long, h binary").dropDuplicates(["s"]))
+    with batch_rows(spark, TEXT_ROWS):
+        sets = cut(texts_of(docs).join(wanted, "doc_id").select("text", "s").mapInArrow(build, "s long, h binary").dropDuplicates(["s"]))
 
     def overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,14 +279,8 @@ def decide(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("s").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("s").alias("b"), F.col("h").alias("hb"))
-    # rows hold two whole sets: small batches while the table is written
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(PAIR_ROWS))
-    try:
+    with batch_rows(spark, PAIR_ROWS):  # rows hold two whole sets
         return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(overlaps, "a long, b long"))
-    finally:
-        spark.conf.set(rows, before)
 
 
 def reachable(small, large, count):
@@ -312,7 +307,8 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     partitions = max(1, texts_of(docs).rdd.getNumPartitions())
     blocks = BLOCKS * partitions
     classes = sketch(docs, partitions)
-    found = cut(leading(docs, classes, blocks).repartitionById(blocks, F.col("block")).mapInArrow(keep_shared, SHARED))
+    with batch_rows(spark, TEXT_ROWS):
+        found = cut(leading(docs, classes, blocks).repartitionById(blocks, F.col("block")).mapInArrow(keep_shared, SHARED))
     members = found.where("kind = 0").select("doc_id", "n", "s")
     nodes = cut(members.where("n > 0 and doc_id is not null").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id")))
     rows = cut(found.where("kind = 1").select("g", "s", "n").distinct().join(nodes.select("s", "n"), ["s", "n"], "left_semi"))

@@ -10,12 +10,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import per_slice, whole_text
+from .common import once_per_worker, per_slice, whole_text
 
 THRESHOLD = 0.8
 SCHEMA = "doc_id long, passage int, kind string, license string, dice double, text string"
@@ -112,11 +111,6 @@ class Scanner:
         return out
 
 
-@lru_cache(4)
-def worker_scanner(threshold: float) -> Scanner:
-    return Scanner(threshold)
-
-
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Licence passages of all texts: (doc_id, passage, kind, license, dice, text).
 
@@ -126,7 +120,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(doc, *hit) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for hit in worker_scanner(threshold).scan(text)]
+        scanner = once_per_worker(f"licences {threshold}", lambda: Scanner(threshold))
+        found = [(doc, *hit) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for hit in scanner.scan(text)]
         cols = list(zip(*found)) if found else [()] * 6
         types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "passage", "kind", "license", "dice", "text"])

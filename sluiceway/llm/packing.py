@@ -12,7 +12,6 @@ ranks of each length, so a piece finds its sequence from its own rank, by arithm
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from tokenizers import Tokenizer
 from ..session import cut
 from .bpe import byte_letters
 from .chunks import ChunkCache
-from .common import per_slice, whole_text
+from .common import once_per_worker, per_slice, whole_text
 
 CAPACITY = 1024
 #: The program ends when no plan can need fewer sequences than this share below the present one.
@@ -157,7 +156,6 @@ def lengths(total: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[in
     return [*out, rest] if rest else out
 
 
-@lru_cache(1)
 def worker_tokenizer(path: str) -> ChunkCache:
     model = Tokenizer.from_file(path).model
     letter = {b: c for c, b in byte_letters().items()}
@@ -175,7 +173,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
     def run(batches):
         seen = np.zeros(capacity + 1, np.int64).tolist()
         partition = TaskContext.get().partitionId()
-        cache = worker_tokenizer(path)
+        cache = once_per_worker(f"packing {path}", lambda: worker_tokenizer(path))
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(6)]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import byte_letters
 from .chunks import Recent
-from .common import distinct_words, per_slice, whole_text
+from .common import distinct_words, once_per_worker, per_slice, whole_text
 
 LIMIT = 2048
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -115,11 +114,6 @@ class Counter:
         return np.diff(np.r_[0, sums[ends]])
 
 
-@lru_cache(1)
-def worker_counter(path: str) -> Counter:
-    return Counter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Size and tokens of each text: (doc_id, n_bytes, n_tokens, over_limit).
 
@@ -131,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(1)
         n_bytes = pc.binary_length(texts).cast(pa.int64())
-        counts = worker_counter(path).counts(texts)
+        counts = once_per_worker(f"counts {path}", lambda: Counter(path)).counts(texts)
         return pa.record_batch([part.column(0), n_bytes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     flat = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
