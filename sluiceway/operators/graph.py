@@ -218,12 +218,26 @@ def threshold_evaluation(
     )
 
 
-def shadow_summary(evaluations: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
-    return evaluations.groupBy(*(keys or [])).agg(
-        F.count(F.lit(1)).alias("evaluations"),
+def shadow_summary(evaluations: DataFrame, users: DataFrame, adopters: DataFrame) -> DataFrame:
+    """Totals over every (user, root), and over those where the user has not adopted (``open_``).
+
+    ``evaluations`` has the pairs with an adopted neighbour; all others have no signal, so
+    they are below the threshold and need not be written: totals are users x roots.
+    """
+    count = F.count(F.lit(1))
+    total = users.agg(count).scalar() * adopters.agg(F.countDistinct("root_post_id")).scalar()
+    own = adopters.select("root_post_id", "user_id").distinct().join(users.select("user_id"), "user_id", "left_semi").agg(count).scalar()
+    fresh = ~F.col("already_adopted")
+    found = evaluations.agg(
         F.count_if("should_attempt").alias("potential_adoptions"),
         F.count_if("blocked").alias("blocked"),
-        F.count_if(~F.col("observable_satisfied")).alias("below_threshold"),
+        F.count_if("observable_satisfied").alias("met"),
+        F.count_if(F.col("blocked") & fresh).alias("open_blocked"),
+        F.count_if(F.col("observable_satisfied") & fresh).alias("open_met"),
+    )
+    return found.select(
+        total.alias("evaluations"), "potential_adoptions", "blocked", (total - F.col("met")).alias("below_threshold"),
+        (total - own).alias("open_evaluations"), "open_blocked", (total - own - F.col("open_met")).alias("open_below_threshold"),
     )
 
 

@@ -114,27 +114,14 @@ def _(t: Logs):
 
 @query(
     "policy_variants",
-    """SELECT policy, source_rows, round(keep_sum, 4) AS keep_sum, round(cost, 4) AS cost, full_keep FROM (
-         SELECT policy, count(*)::BIGINT AS source_rows, sum(keep)::DOUBLE AS keep_sum, sum(1.0::DOUBLE - keep)::DOUBLE AS cost,
-           (count(*) FILTER (keep >= 1.0))::BIGINT AS full_keep
-         FROM (SELECT policy, CASE WHEN kind = 'uniform' THEN a ELSE 1.0::DOUBLE - risk_score * (1.0::DOUBLE -
-             CASE WHEN user_community = author_community THEN a ELSE b END) END AS keep
-           FROM impressions, (VALUES ('none', 'weighted', 1.0::DOUBLE, 1.0::DOUBLE), ('global', 'weighted', 0.6, 0.6),
-             ('static', 'weighted', 0.65, 0.3), ('uniform', 'uniform', 0.6, 0.6)) p(policy, kind, a, b)) GROUP BY policy)""",
+    """SELECT impression_id, policy, round(CASE WHEN kind = 'uniform' THEN a ELSE 1.0::DOUBLE - risk_score * (1.0::DOUBLE -
+           CASE WHEN user_community = author_community THEN a ELSE b END) END, 9) AS keep_probability
+       FROM impressions, (VALUES ('none', 'weighted', 1.0::DOUBLE, 1.0::DOUBLE), ('global', 'weighted', 0.6, 0.6),
+         ('static', 'weighted', 0.65, 0.3), ('uniform', 'uniform', 0.6, 0.6)) p(policy, kind, a, b)""",
 )
 def _(t: Logs):
-    rows = t.impressions.select("user_community", "author_community", "risk_score")
-    keep = F.col("keep_probability")
-    return (
-        exposure.policy_variants(rows, POLICIES)
-        .groupBy("policy")
-        .agg(
-            F.count(F.lit(1)).alias("source_rows"),
-            F.round(F.sum(keep), 4).alias("keep_sum"),
-            F.round(F.sum(1.0 - keep), 4).alias("cost"),
-            F.count_if(keep >= 1.0).alias("full_keep"),
-        )
-    )
+    rows = t.impressions.select("impression_id", "user_community", "author_community", "risk_score")
+    return exposure.policy_variants(rows, POLICIES).select("impression_id", "policy", F.round("keep_probability", 9).alias("keep_probability"))
 
 
 @query(

@@ -26,10 +26,10 @@ def _damaged(t: Logs):
 
 @query(
     "post_root_errors",
-    """SELECT error, count(*)::BIGINT AS posts, min(post_id) AS first_post, max(post_id) AS last_post FROM (
+    """SELECT post_id, error FROM (
          SELECT p.post_id, CASE WHEN a.post_id IS NOT NULL THEN 'absent' WHEN g.post_id IS NULL THEN 'cycle' END AS error
          FROM damaged p LEFT JOIN good g ON p.post_id = g.post_id LEFT JOIN lost a ON p.post_id = a.post_id)
-       WHERE error IS NOT NULL GROUP BY error""",
+       WHERE error IS NOT NULL""",
     damaged="""SELECT post_id, CASE WHEN post_id % 41 = 1 THEN post_id + 1 WHEN post_id % 41 = 2 THEN post_id - 1
          ELSE original_post_id END AS parent FROM post WHERE post_id % 37 <> 36""",
     good="""SELECT post_id FROM damaged WHERE parent IS NULL
@@ -39,9 +39,7 @@ def _damaged(t: Logs):
 )
 def _(t: Logs):
     bad = hierarchy.resolve_chains(_damaged(t)).where("error is not null")
-    return bad.groupBy(F.substring_index("error", " ", 1).alias("error")).agg(
-        F.count(F.lit(1)).alias("posts"), F.min("post_id").alias("first_post"), F.max("post_id").alias("last_post")
-    )
+    return bad.select("post_id", F.substring_index("error", " ", 1).alias("error"))
 
 
 @query(
@@ -172,14 +170,18 @@ def _(t: Logs):
 
 @query(
     "shadow_summary",
-    """SELECT count(*)::BIGINT AS evaluations, (count(*) FILTER (should_attempt))::BIGINT AS potential_adoptions,
-         (count(*) FILTER (blocked))::BIGINT AS blocked, (count(*) FILTER (NOT observable_satisfied))::BIGINT AS below_threshold
-       FROM evaluated""",
+    """SELECT total AS evaluations, potential_adoptions, blocked, total - met AS below_threshold, total - own AS open_evaluations, open_blocked,
+         total - own - open_met AS open_below_threshold
+       FROM (SELECT (count(*) FILTER (should_attempt))::BIGINT AS potential_adoptions, (count(*) FILTER (blocked))::BIGINT AS blocked,
+           (count(*) FILTER (observable_satisfied))::BIGINT AS met, (count(*) FILTER (blocked AND NOT already_adopted))::BIGINT AS open_blocked,
+           (count(*) FILTER (observable_satisfied AND NOT already_adopted))::BIGINT AS open_met FROM evaluated),
+         (SELECT (SELECT count(*) FROM users) * (SELECT count(DISTINCT root_post_id) FROM adopters) AS total,
+           (SELECT count(*) FROM (SELECT DISTINCT root_post_id, user_id FROM adopters) SEMI JOIN users USING (user_id)) AS own)""",
     evaluation=EVALUATION,
     evaluated=EVALUATED,
 )
 def _(t: Logs):
-    return graph.shadow_summary(_evaluation(t))
+    return graph.shadow_summary(_evaluation(t), t.users, t.roots)
 
 
 # adopters logged in the first half of the steps; the rounds predict the others

@@ -12,27 +12,35 @@ from .registry import query
 from .views import Logs
 
 
+# what the content of a table is compared by, one column list for both sides
+CONTENT = {
+    "post": ("post", "post_id, user_id, original_post_id, content, quote_content, num_likes"),
+    "follow": ("follow", "follower_id, followee_id"),
+    "rec": ("rec", "user_id, post_id"),
+    "trace": ("trace", "rowid, user_id, timestep, action, info"),
+    "impression": ("impressions", "impression_id, run_id, timestep, user_id, post_id, root_post_id, user_community, author_community, source"),
+    "snapshot": ("snapshots", "decision_id, run_id, user_id, timestep, decision_sequence, action_trace_rowid, action, target_post_id, selected_choice_id, refresh_id, community, profile, status"),
+}
+
+
 @query(
     "scan_tables",
-    """SELECT 'post' AS log, count(*)::BIGINT AS rows, count(original_post_id)::BIGINT AS second FROM post
-       UNION ALL SELECT 'follow', count(*), count(DISTINCT followee_id) FROM follow
-       UNION ALL SELECT 'rec', count(*), count(DISTINCT user_id) FROM rec
-       UNION ALL SELECT 'trace', count(*), count(DISTINCT action) FROM trace
-       UNION ALL SELECT 'impression', count(*), count(*) FILTER (shown) FROM impressions""",
+    " UNION ALL ".join(
+        f"SELECT '{log}' AS log, count(*)::BIGINT AS rows, sum(('0x' || substr(md5(concat_ws('|', {columns})), 1, 8))::BIGINT)::BIGINT AS content FROM {view}"
+        for log, (view, columns) in CONTENT.items()
+    ),
 )
 def _(t: Logs):
     """Log tables written as a platform would, read back through the typed reader."""
-    second = {
-        "post": F.count("original_post_id"), "follow": F.countDistinct("followee_id"), "rec": F.countDistinct("user_id"),
-        "trace": F.countDistinct("action"), "impression": F.count_if("shown"),
-    }
-    views = {"post": t.post, "follow": t.follow, "rec": t.rec, "trace": t.trace, "impression": t.impressions}
+    views = {"post": t.post, "follow": t.follow, "rec": t.rec, "trace": t.trace, "impression": t.impressions, "snapshot": t.snapshots}
     out = None
     for name, df in views.items():
         path = new_folder(t.spark, f"out/{name}")
         df.write.parquet(path)
-        row = readers.read_table(t.spark, path, name).agg(F.count(F.lit(1)).alias("rows"), second[name].alias("second"))
-        row = row.select(F.lit(name).alias("log"), "rows", "second")
+        columns = CONTENT[name][1].split(", ")
+        mark = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("bigint")
+        row = readers.read_table(t.spark, path, name).agg(F.count(F.lit(1)).alias("rows"), F.sum(mark).alias("content"))
+        row = row.select(F.lit(name).alias("log"), "rows", "content")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -18,6 +18,11 @@ SCHEMAS = {
         "user_community string, author_community string, base_score double, risk_score double, omega_intra double, "
         "omega_inter double, keep_probability double, shown boolean, source string"
     ),
+    "snapshot": (
+        "decision_id string, run_id string, user_id bigint, timestep bigint, decision_sequence bigint, action_trace_rowid bigint, "
+        "action string, target_post_id bigint, selected_choice_id string, refresh_id bigint, visible array<bigint>, "
+        "feed_message string, legal array<string>, history array<string>, community string, profile string, status string"
+    ),
 }
 EXAMPLE_SCHEMA = (
     "sample_id string, action_trace_rowid bigint, decision_sequence bigint, decision_timestep bigint, user_profile string, "
@@ -36,7 +41,7 @@ def read_table(spark: SparkSession, path: str, name: str, *, options: dict | Non
     """A log table with its declared columns; any format Spark reads, JDBC included."""
     reader = spark.read.format(fmt).options(**(options or {}))
     df = reader.load(path) if path else reader.load()
-    wanted = [c.strip().split(" ") for c in SCHEMAS[name].split(",")]
+    wanted = [c.strip().split(" ") for c in SCHEMAS[name].split(", ")]
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in wanted])
 
 
