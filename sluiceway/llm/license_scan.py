@@ -2,7 +2,7 @@
 
 Each line and each paragraph of a text is normalised and compared with the templates. A template
 is only compared where the number of bigrams allows the threshold, and only if it has a
-bigram of the passage.
+bigram of the passage. Texts without any word that a match cannot lack are passed over.
 """
 
 from __future__ import annotations
@@ -73,16 +73,29 @@ class Scanner:
         for i, (_, s) in enumerate(self._sets):
             for b in s:
                 self._having[b].add(i)
-        self._words = {w for pair in self._having for w in pair if len(w) > 3}
         sizes = [len(s) for _, s in self._sets]
         # 2 min(a, b) / (a + b) reaches t only if min >= t / (2 - t) max
         self._ratio = self.threshold / (2 - self.threshold)
+        self._signs = sorted({w for _, s in self._sets for w in self._signature(s)})
         self._least, self._most = min(sizes) * self._ratio, max(sizes) / self._ratio
 
+    def _signature(self, template: frozenset) -> list[str]:
+        """Words one of which every match has: without all of them more bigrams are missing than a match can lack."""
+        allowed = len(template) * (1 - self._ratio) + 1e-9
+        chosen: list[str] = []
+        for w in sorted({w for pair in template for w in pair} - {"^", "$"}, key=lambda w: (-len(w), w)):
+            chosen.append(w)
+            if sum(a in chosen or b in chosen for a, b in template) > allowed:
+                return chosen
+        return chosen
+
+    def may_match(self, lower: str) -> bool:
+        return any(w in lower for w in self._signs)
+
     def match(self, text: str) -> tuple[str, float] | None:
         """Best template at or over the threshold (ties: first name) and its coefficient."""
-        own = words(text)
-        if not own or not self._words.intersection(own):
+        own = words(text) if self.may_match(text.lower()) else []
+        if not own:
             return None
         pairs = bigrams(own)
         n = len(pairs)
@@ -101,6 +114,8 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, str, str, float, str]]:
         """(passage, kind, license, dice, text): lines, and paragraphs of several lines, numbered from 0 each."""
         out = []
+        if not self.may_match(text.lower()):
+            return out
         for i, line in enumerate(text.split("\n")):
             if line and (m := self.match(line)):
                 out.append((i, "line", *m, line))
