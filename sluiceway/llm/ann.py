@@ -3,7 +3,8 @@
 A neighbour graph of a bounded sample is cut into balanced parts with few edges between
 them. A small classifier learns the part of a vector; it files every vector of the table
 under its most probable part and sends each query to several. Within a part, queries meet
-vectors in blocks of bounded size and are ranked by the exact inner product.
+vectors in blocks of bounded size and are ranked by the exact inner product. The sample itself
+meets every query, which bounds from below what a neighbour must score.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
+from .common import batch_rows
 
 K = 20
 #: Vectors the index is fitted on, neighbours of each in the graph, and vectors of the table to a part (as long as the sample fills the parts).
@@ -151,6 +153,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1), dtype)
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(flat), -1)
 
@@ -173,23 +177,48 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     )
     asked = cut(rows.where(is_query).join(entries.select("v", "key"), "v").select(F.col("vec_id").alias("query_id"), "key"))
     total = entries.count()
-    sample = entries.orderBy(F.xxhash64("v"), "key").limit(SAMPLE).select("v").toArrow().column(0)
-    router = fit(matrix(sample), total) if len(sample) else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+    sample = entries.orderBy(F.xxhash64("v"), "key").limit(SAMPLE).toArrow().combine_chunks()
+    seen = matrix(sample.column("v")) if len(sample) else np.zeros((0, 1))
+    seen_keys, seen_ids = sample.column("key").to_numpy(), sample.column("ids").to_pylist()
+    router = fit(seen, total) if len(sample) else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
 
     def file(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(~np.isin(b.column(0).to_numpy(), seen_keys)))  # these meet every query
+            if not b.num_rows:
+                continue
             part = router.scores(matrix(b.column(1))).argmax(axis=1) if router.parts > 1 else np.zeros(len(b), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], names=["key", "v", "ids", "part"])
 
+    def bound(x: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The sample is part of the table: what scores below its k + 1 best is in no result."""
+        if scores.shape[1] <= k:
+            return np.full(len(x), -np.inf)
+        slack = 1e-9 * np.sqrt((x * x).sum(axis=1) * (seen * seen).sum(axis=1).max())
+        return np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] - slack
+
+    def meet_sample(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(1))
+            scores = x @ seen.T
+            who, place = np.nonzero(scores >= bound(x, scores)[:, None])
+            exact = [math.fsum(row) for row in (x[who] * seen[place]).tolist()]
+            ids = pa.array([seen_ids[j] for j in place.tolist()], pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(b.column(0).to_numpy()[who]), pa.array(exact, pa.float64()), ids], names=["key", "score", "ids"])
+
     def route(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = router.probes
-            to = np.argsort(-router.scores(matrix(b.column(1))), axis=1, kind="stable")[:, :p] if router.parts > 1 else np.zeros((len(b), 1), np.int64)
+            p, x = router.probes, matrix(b.column(1))
+            to = np.argsort(-router.scores(x), axis=1, kind="stable")[:, :p] if router.parts > 1 else np.zeros((len(b), 1), np.int64)
+            least = bound(x, x @ seen.T)
             rows_ = np.repeat(np.arange(len(b)), to.shape[1])
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows_)).columns, pa.array(to.ravel().astype(np.int32))], names=["key", "v", "part"])
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows_)).columns, pa.array(to.ravel().astype(np.int32)), pa.array(least[rows_])], names=["key", "v", "part", "least"])
 
     filed = cut(entries.select("key", "v", "ids").mapInArrow(file, "key long, v array<float>, ids array<long>, part int"))
-    routed = cut(entries.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(route, "key long, v array<float>, part int"))
+    queries = cut(entries.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v"))
+    with batch_rows(vectors.sparkSession, QUERIES):
+        sampled = cut(queries.mapInArrow(meet_sample, "key long, score double, ids array<long>"))
+    routed = cut(queries.mapInArrow(route, "key long, v array<float>, part int, least double"))
     # one row for each part: how many blocks its vectors and queries make
     blocks = filed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     lots = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq"))
@@ -197,7 +226,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     spread = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = filed.join(grid, "part").withColumn("block", spread(F.col("nb"))).withColumn("lot", every("nq")).select("part", "block", "lot", "key", "v", "ids")
-    asking = routed.join(grid, "part").withColumn("lot", spread(F.col("nq"))).withColumn("block", every("nb")).select("part", "block", "lot", "key", "v")
+    asking = routed.join(grid, "part").withColumn("lot", spread(F.col("nq"))).withColumn("block", every("nb")).select("part", "block", "lot", "key", "v", "least")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
@@ -207,14 +236,17 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         scores = want @ have.T
         m = min(len(have), k + 5)  # some more than can count, as these scores are rounded step by step
         top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
-        exact = [math.fsum((want[i] * have[j]).tolist()) for i, js in enumerate(top.tolist()) for j in js]
-        ids = left.column("ids").combine_chunks().take(pa.array(top.ravel()))
-        keys = np.repeat(right.column("key").to_numpy(), m)
+        least = right.column("least").to_numpy()
+        who, place = np.nonzero(np.take_along_axis(scores, top, axis=1) >= least[:, None])
+        found = top[who, place]
+        exact = [math.fsum(row) for row in (want[who] * have[found]).tolist()]
+        ids = left.column("ids").combine_chunks().take(pa.array(found))
+        keys = right.column("key").to_numpy()[who]
         return pa.table([pa.array(keys), pa.array(exact, pa.float64()), ids], schema=schema)
 
     on = ["part", "block", "lot"]
     met = base.groupBy(*on).cogroup(asking.groupBy(*on)).applyInArrow(rank, "key long, score double, ids array<long>")
-    candidates = met.select("key", "score", F.explode("ids").alias("vec_id"))
+    candidates = met.union(sampled).select("key", "score", F.explode("ids").alias("vec_id"))
     best = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = candidates.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = asked.join(best, "key").where("query_id <> vec_id")
