@@ -28,7 +28,7 @@ _BEFORE_SPACE = tuple(c + " " for c in WHITE)
 _BLURRED = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
 
 #: Most entries in one generation of a worker's cache, and the longest key that is kept.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 5 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
