@@ -51,7 +51,9 @@ def script(letter: str) -> str:
 
 
 def letters_of(chunk: str) -> str:
-    return "".join(LETTERS.findall(chunk)).lower()
+    """The letters of a chunk in lower case; digits of any kind, signs and marks are none."""
+    word = "".join(LETTERS.findall(chunk)).lower()
+    return word if word.isalpha() or not word else "".join(filter(str.isalpha, word))
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +188,7 @@ class Labeller:
 SPANS = "array<struct<lang string, first_word int, words int, letters int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32()), ("letters", pa.int32())]))
 
+
 def learn(documents: DataFrame, per_language: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the text and language of a bounded sample outside the held-out fold."""
     return train(labelled_sample(documents.select("doc_id", "lang"), documents, "lang", per_language, chars))

@@ -281,7 +281,7 @@ def test_language_spans_and_scripts(spark):
     rows = [(i, "the cat and the dog of this house with that", "en") for i in range(40)] + [(100 + i, "le chat et les chiens dans une maison avec", "fr") for i in range(40)]
     rows += [(200 + i, "кошка и собака в этом доме с этой", "ru") for i in range(40)]
     train = spark.createDataFrame([(i, t, lang, 1.0) for i, t, lang in rows], "doc_id long, text string, lang string, score double")
-    new = [(1, "the dog with the cat " * 5 + "avec les chiens dans une maison et le chat avec une maison", None, 1.0), (2, "собака в доме", None, 1.0), (3, "123 !!", None, 1.0), (4, None, None, 1.0), (None, "", None, 1.0), (2, "собака в доме", None, 1.0)]
+    new = [(1, "the dog with the cat " * 5 + "avec les chiens dans une maison et le chat avec une maison", None, 1.0), (2, "собака в доме", None, 1.0), (3, "123 ² Ⅷ !!", None, 1.0), (4, None, None, 1.0), (None, "", None, 1.0), (2, "собака в доме", None, 1.0)]
     got = {r.doc_id: r for r in language.predict(spark.createDataFrame(new, train.schema), train).collect()}
     assert got[1].lang_pred == "en" and [s.lang for s in got[1].spans] == ["en", "fr"] and 0.5 < got[1].score < 1
     assert (got[2].lang_pred, got[2].score) == ("ru", 1.0)
