@@ -3,8 +3,9 @@
 A neighbour graph of a bounded sample is cut into balanced parts with few edges between
 them. A small classifier learns the part of a vector; it files every vector of the table
 under its most probable part and sends each query to several. Within a part, queries meet
-vectors in blocks of bounded size and are ranked by the exact inner product. The sample itself
-meets every query, which bounds from below what a neighbour must score.
+vectors in blocks of bounded size and are ranked by the exact inner product. The sample is
+filed like all others; what it has in the parts of a query bounds from below what a
+neighbour out of these parts must score.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ SAMPLE = 6000
 NEIGHBOURS = 10
 PART_ROWS = 320
 LEAST_SAMPLE = 40
-#: Queries go to as many parts as the sample needs for this recall.
+#: Queries go to as many parts as this share of the neighbours needs among the one in HELD_BACK sample vectors that are not trained on.
 RECALL = 0.97
+HELD_BACK = 4
 HIDDEN, EPOCHS, SEED = 96, 40, 3
 #: Vectors and queries that meet in one task.
 BLOCK, QUERIES = 4096, 1024
@@ -95,7 +97,8 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, passes: int = 1
 
 
 def fit(x: np.ndarray, rows: int) -> Router:
-    """Learn a router from sample vectors ``x`` for a table of ``rows`` distinct vectors."""
+    """Learn a router from sample vectors ``x``, in random order, for a table of ``rows`` distinct vectors."""
+    held, x = x[::HELD_BACK], np.delete(x, np.s_[::HELD_BACK], axis=0) if len(x) > 1 else x
     n, dim = x.shape
     most = max(1, min(rows // PART_ROWS, n // LEAST_SAMPLE))
     parts = 1 << int(math.log2(most))
@@ -130,12 +133,13 @@ def fit(x: np.ndarray, rows: int) -> Router:
                 v[j] += 0.01 * (g * g - v[j])
                 p[j] -= rates[j] * (1 - epoch / EPOCHS) * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-12)
     router = Router(*p, probes=parts)
-    z = router.scores(x)
+    z = router.scores(held)
     filed = z.argmax(axis=1)
     ranked = np.argsort(-z, axis=1, kind="stable")
     place = np.empty_like(ranked)
     np.put_along_axis(place, ranked, np.broadcast_to(np.arange(parts), ranked.shape), axis=1)
-    found_at = place[np.repeat(np.arange(n), k), filed[graph].ravel()]  # how many parts a neighbour needs
+    k = min(NEIGHBOURS, len(held) - 1)
+    found_at = place[np.repeat(np.arange(len(held)), k), filed[neighbour_graph(held, k)].ravel()]  # how many parts a neighbour needs
     router.probes = min(parts, int(np.quantile(found_at, RECALL, method="higher")) + 1)
     return router
 
@@ -179,46 +183,37 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     total = entries.count()
     sample = entries.orderBy(F.xxhash64("v"), "key").limit(SAMPLE).toArrow().combine_chunks()
     seen = matrix(sample.column("v")) if len(sample) else np.zeros((0, 1))
-    seen_keys, seen_ids = sample.column("key").to_numpy(), sample.column("ids").to_pylist()
     router = fit(seen, total) if len(sample) else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
 
+    seen_part = router.scores(seen).argmax(axis=1) if router.parts > 1 else np.zeros(len(seen), np.int64)
+
     def file(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(~np.isin(b.column(0).to_numpy(), seen_keys)))  # these meet every query
-            if not b.num_rows:
-                continue
             part = router.scores(matrix(b.column(1))).argmax(axis=1) if router.parts > 1 else np.zeros(len(b), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], names=["key", "v", "ids", "part"])
 
-    def bound(x: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """The sample is part of the table: what scores below its k + 1 best is in no result."""
-        if scores.shape[1] <= k:
+    def bound(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The k + 1 best of the sample in the parts of a query are among what it meets: what scores below them is in no result."""
+        if len(seen) <= k:
             return np.full(len(x), -np.inf)
+        open_ = np.zeros((len(x), router.parts), bool)
+        np.put_along_axis(open_, to, True, axis=1)
+        scores = np.where(open_[:, seen_part], x @ seen.T, -np.inf)
         slack = 1e-9 * np.sqrt((x * x).sum(axis=1) * (seen * seen).sum(axis=1).max())
         return np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] - slack
 
-    def meet_sample(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column(1))
-            scores = x @ seen.T
-            who, place = np.nonzero(scores >= bound(x, scores)[:, None])
-            exact = [math.fsum(row) for row in (x[who] * seen[place]).tolist()]
-            ids = pa.array([seen_ids[j] for j in place.tolist()], pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(b.column(0).to_numpy()[who]), pa.array(exact, pa.float64()), ids], names=["key", "score", "ids"])
-
     def route(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, x = router.probes, matrix(b.column(1))
             to = np.argsort(-router.scores(x), axis=1, kind="stable")[:, :p] if router.parts > 1 else np.zeros((len(b), 1), np.int64)
-            least = bound(x, x @ seen.T)
+            least = bound(x, to)
             rows_ = np.repeat(np.arange(len(b)), to.shape[1])
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows_)).columns, pa.array(to.ravel().astype(np.int32)), pa.array(least[rows_])], names=["key", "v", "part", "least"])
 
     filed = cut(entries.select("key", "v", "ids").mapInArrow(file, "key long, v array<float>, ids array<long>, part int"))
     queries = cut(entries.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v"))
     with batch_rows(vectors.sparkSession, QUERIES):
-        sampled = cut(queries.mapInArrow(meet_sample, "key long, score double, ids array<long>"))
-    routed = cut(queries.mapInArrow(route, "key long, v array<float>, part int, least double"))
+        routed = cut(queries.mapInArrow(route, "key long, v array<float>, part int, least double"))
     # one row for each part: how many blocks its vectors and queries make
     blocks = filed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     lots = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq"))
@@ -246,7 +241,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     on = ["part", "block", "lot"]
     met = base.groupBy(*on).cogroup(asking.groupBy(*on)).applyInArrow(rank, "key long, score double, ids array<long>")
-    candidates = met.union(sampled).select("key", "score", F.explode("ids").alias("vec_id"))
+    candidates = met.select("key", "score", F.explode("ids").alias("vec_id"))
     best = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = candidates.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = asked.join(best, "key").where("query_id <> vec_id")

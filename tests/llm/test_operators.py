@@ -249,6 +249,42 @@ def test_neighbours(spark):
     assert ann.search(few.where("vec_id > 9"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_come_from_routed_parts_alone(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    # two parts by the sign of the first component, one of them asked
+    sign = np.zeros((8, 2))
+    sign[0] = [1, -1]
+    monkeypatch.setattr(ann, "fit", lambda *_: ann.Router(sign, np.zeros(2), np.eye(2), np.zeros(2), 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    wide = x.astype(float)
+    for q in range(0, 400, 20):
+        own = [i for i in range(400) if i != q and (x[i, 0] > 0) == (x[q, 0] > 0)]
+        assert got[q] == sorted(own, key=lambda i: -math.fsum((wide[q] * wide[i]).tolist()))[:20]
+
+
+def test_neighbours_of_a_table_larger_than_the_sample(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16))
+    n = 4 * ann.SAMPLE
+    x = (centres[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, 16))).astype(np.float32)
+    router = ann.fit(x[: ann.SAMPLE].astype(float), n)
+    assert router.parts > 8 and router.probes < router.parts
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for r in ann.search(table, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    wide, hit = x.astype(float), 0
+    for q in range(0, n, 100):
+        scores = wide @ wide[q]
+        scores[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert all(len(v) == 20 for v in got.values()) and hit / (20 * len(got)) >= 0.93
+
+
 def test_line_dedup(spark):
     page = "<html><head><title>t</title></head><body><nav>Menu | Home</nav><p>own {}</p><p>Read  more</p><script>x</script><div>rare</div></body></html>"
     rows = [(i, f"https://User@WWW.a.org:80/{i}", page.format(i)) for i in range(20)]
