@@ -3,11 +3,15 @@
 Each line and each paragraph of a text is normalised and compared with the templates. A template
 is only compared where the number of bigrams allows the threshold, and only if it has a
 bigram of the passage. Texts without any word that a match cannot lack are passed over.
+
+Notices inside a longer line or paragraph are found by windows of words: around each place of a
+bigram that a match cannot lack, all spans of a size that allows the threshold are compared.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -78,6 +82,12 @@ class Scanner:
         self._ratio = self.threshold / (2 - self.threshold)
         self._signs = sorted({w for _, s in self._sets for w in self._signature(s)})
         self._least, self._most = min(sizes) * self._ratio, max(sizes) / self._ratio
+        texts = [words(t) for _, ts in sorted(TEMPLATES.items()) for t in ts]
+        self._ends = [(own[0], own[-1]) for own in texts]
+        self._anchors = defaultdict(list)
+        for i, own in enumerate(texts):
+            for b in self._anchor_pairs(own, len(self._sets[i][1])):
+                self._anchors[b].append(i)
 
     def _signature(self, template: frozenset) -> list[str]:
         """Words one of which every match has: without all of them more bigrams are missing than a match can lack."""
@@ -89,6 +99,11 @@ class Scanner:
                 return chosen
         return chosen
 
+    def _anchor_pairs(self, own: list[str], size: int) -> list[tuple[str, str]]:
+        """Bigrams one of which every match has, those in the fewest templates first."""
+        inner = sorted(set(zip(own, own[1:])), key=lambda b: (len(self._having[b]), -len(b[0]) - len(b[1]), b))
+        return inner[: int(size * (1 - self._ratio) + 1e-9) + 1]
+
     def may_match(self, lower: str) -> bool:
         return any(w in lower for w in self._signs)
 
@@ -111,18 +126,84 @@ class Scanner:
                     best = (name, d)
         return best
 
+    def _best_in(self, i: int, own: list[str], lo: int, hi: int) -> tuple[float, int, int] | None:
+        """(dice, start, end) of the best span of words lo to hi - 1 for template i; of equal ones the first and shortest."""
+        template, (first, last) = self._sets[i][1], self._ends[i]
+        size = len(template)
+        inner = [(a, b) in template for a, b in zip(own[lo : hi - 1], own[lo + 1 : hi])]
+        if len({(own[lo + j], own[lo + j + 1]) for j, hit in enumerate(inner) if hit}) < size * self._ratio - 2 - 1e-9:
+            return None  # the marks at both ends make two at most
+        n = hi - lo
+        # a span that starts or ends elsewhere is no worse without its outer word
+        starts = [j for j in range(n) if (j < n - 1 and inner[j]) or own[lo + j] == first]
+        stops = [(j > 0 and inner[j - 1]) or own[lo + j] == last for j in range(n)]
+        best = None
+        for j in starts:
+            pairs: set[tuple[str, str]] = set()
+            common, most = own[lo + j] == first, size / self._ratio + 1e-9
+            for k in range(j, n):
+                if k > j and (b := (own[lo + k - 1], own[lo + k])) not in pairs:
+                    pairs.add(b)
+                    if len(pairs) + 2 > most:
+                        break
+                    common += b in template
+                if stops[k]:
+                    d = 2 * (common + (own[lo + k] == last)) / (len(pairs) + 2 + size)
+                    if d >= self.threshold and (best is None or d > best[0]):
+                        best = (d, lo + j, lo + k + 1)
+        return best
+
+    def spans(self, text: str) -> list[tuple[float, str, int, int, int]]:
+        """(dice, license, first word, start, end): the best spans of words that do not overlap, by place."""
+        if not self.may_match(text.lower()):
+            return []
+        at = [m.span() for m in _WORD.finditer(text)]
+        own = [text[a:b].lower() for a, b in at]
+        places = defaultdict(list)
+        for p, b in enumerate(zip(own, own[1:])):
+            for i in self._anchors.get(b, ()):
+                places[i].append(p)
+        found = []
+        for i, held in places.items():
+            name, template = self._sets[i]
+            reach = int(len(template) / self._ratio + 1e-9) + 2
+            todo = [(max(0, p + 2 - reach), min(len(own), p + reach)) for p in held]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo > 1 and (best := self._best_in(i, own, lo, hi)):
+                    found.append((best[0], name, best[1], best[2]))
+                    todo += [(lo, best[1]), (best[2], hi)]
+        chosen: list[tuple[int, int, float, str]] = []
+        for d, name, a, b in sorted(set(found), key=lambda f: (-f[0], f[2] - f[3], f[1], f[2])):
+            k = bisect_left(chosen, (a,))
+            if (k == 0 or chosen[k - 1][1] <= a) and (k == len(chosen) or b <= chosen[k][0]):
+                chosen.insert(k, (a, b, d, name))
+        return [(d, name, a, at[a][0], at[b - 1][1]) for a, b, d, name in chosen]
+
     def scan(self, text: str) -> list[tuple[int, str, str, float, str]]:
-        """(passage, kind, license, dice, text): lines, and paragraphs of several lines, numbered from 0 each."""
-        out = []
+        """(passage, kind, license, dice, text): lines, and paragraphs of several lines, numbered from 0 each,
+        and spans, numbered by their first word, that neither lie in one of these nor overlap one that matches as well."""
+        out, known = [], []
         if not self.may_match(text.lower()):
             return out
+        start = 0
         for i, line in enumerate(text.split("\n")):
             if line and (m := self.match(line)):
                 out.append((i, "line", *m, line))
+                known.append((start, start + len(line), m[1]))
+            start += len(line) + 1
         if "\n" in text:
-            for i, paragraph in enumerate(_GAP.split(text)):
+            ends = [*((g.start(), g.end()) for g in _GAP.finditer(text)), (len(text), len(text))]
+            start = 0
+            for i, (end, after) in enumerate(ends):
+                paragraph = text[start:end]
                 if "\n" in paragraph.strip() and (m := self.match(paragraph)):
                     out.append((i, "paragraph", *m, paragraph))
+                    known.append((start, end, m[1]))
+                start = after
+        for d, name, word, a, b in self.spans(text):
+            if not any((x <= a and b <= y) or (a < y and x < b and best >= d) for x, y, best in known):
+                out.append((word, "span", name, d, text[a:b]))
         return out
 
 
@@ -131,7 +212,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Texts without one, null and empty texts give no rows; a null doc_id stays null; repeated
     rows give repeated results; other columns are not read. Of equal coefficients the first
-    name counts. One narrow pass over whole texts.
+    name counts. A notice inside a longer line or paragraph is a row of kind ``span`` with just
+    its own words. One narrow pass over whole texts.
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:

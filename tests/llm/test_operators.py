@@ -390,6 +390,40 @@ def test_license_scan(spark):
     assert sorted(got, key=str) == sorted([(1, 1, "line", "MIT")] * 2 + [(None, 0, "line", "CC-BY-NC-4.0"), (4, 1, "paragraph", "MIT")], key=str)
 
 
+def test_license_spans(spark):
+    scanner = license_scan.Scanner()
+    filler = " ".join(f"word{k} of a text" for k in range(20)) + " "
+    long = " ".join(f"word{k} of the text" for k in range(300)) + " "
+    mit, apache = license_scan.TEMPLATES["MIT"][1], license_scan.TEMPLATES["Apache-2.0"][1]
+    rows = [
+        (1, "This project is released under the MIT License. See LICENSE."),
+        (2, long + mit + " " + long),  # one line
+        (3, "a\n\n" + (filler + "\n") * 9 + apache.replace(" you may", "\nyou may") + "\n" + (filler + "\n") * 9 + "\nend"),
+        (4, filler + "Licensed under CC BY 4.0. " + filler + "Released under the MIT License. " + filler),
+        (5, long + "a license of permission to use"),
+        (6, "Released under the MIT License.\nmore"),
+    ]
+    got = defaultdict(list)
+    for r in license_scan.scan(docs_of(spark, rows)).collect():
+        got[r.doc_id].append((r.kind, r.license, r.text))
+    assert got[1] == [("span", "MIT", "released under the MIT License")] and got[4] == [("span", "CC-BY-4.0", "Licensed under CC BY 4.0"), ("span", "MIT", "Released under the MIT License")]
+    assert [g[:2] for g in got[2]] == [("span", "MIT")] and got[2][0][2] == mit.rstrip(":")
+    assert ("span", "Apache-2.0") in [g[:2] for g in got[3]] and max(len(g[2]) for g in got[3]) > 150
+    assert 5 not in got and [g[0] for g in got[6]] == ["line"]
+    # the best window over all windows of a text, by brute force
+    rnd = random.Random(4)
+    pool = [w for ts in license_scan.TEMPLATES.values() for t in ts for w in t.split()]
+    for _ in range(60):
+        t = rnd.choice([t for ts in license_scan.TEMPLATES.values() for t in ts if len(t) < 100]).split()
+        for _ in range(rnd.randint(0, 4)):
+            t[rnd.randrange(len(t))] = rnd.choice(pool)
+        text = " ".join([*rnd.choices(pool, k=rnd.randint(0, 12)), *t, *rnd.choices(pool, k=rnd.randint(0, 12))])
+        own = license_scan.words(text)
+        best = max(license_scan.dice(license_scan.bigrams(own[a:b]), s) for _, s in scanner._sets for a in range(len(own)) for b in range(a + 1, min(len(own), a + 30) + 1))
+        found = scanner.spans(text)
+        assert max((f[0] for f in found), default=0) == (best if best >= 0.8 else 0)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [(1, "x")]).where("doc_id > 1")
     for out in (bpe.round_trip(none, BYTE), token_count.count_tokens(none, WORD), packing.pack(none, BYTE), exact_dedup.exact_groups(none), exact_dedup.drop_copies(none), jaccard.linked_groups(none), license_scan.scan(none)):
