@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut
 
 #: A line is boilerplate if more than this share of the pages of its host have it, on at least MIN_PAGES pages.
-RATIO = 0.2
+#: A site with page templates of its sections shows the menu and footer of each on a part of its pages only;
+#: this finds them with up to a hundred templates of equal use, and leaves what a few articles of a large site share.
+RATIO = 0.01
 MIN_PAGES = 3
 
 #: Elements whose content is no text, tags that end a line, and other tags. Fixed values.

@@ -299,6 +299,16 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_line_dedup_of_a_host_with_many_templates(spark):
+    page = "<nav>Menu {0}</nav><article><p>own {1}</p>{2}</article><footer>&copy; a.org, section {0}</footer>"
+    rows = [(i, f"https://a.org/{i}", page.format(i % 40, i, "<p>quoted by three</p>" if i < 3 else "")) for i in range(400)]
+    rows += [(1000 + i, "https://small.org/", page.format(0, i, "")) for i in range(2)]
+    got = {r.page_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"own {i}" and got[i].n_dropped == 2 for i in range(3, 400))
+    assert [got[i].text for i in range(3)] == [f"own {i}\nquoted by three" for i in range(3)]
+    assert all(got[1000 + i].n_dropped == 0 for i in range(2))
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(0)
     lengths = np.array([0, 5, 1, 7, 3])
