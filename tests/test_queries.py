@@ -38,6 +38,11 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_label_source_reads_the_rationales(spark):
+    errors = {r.error for r in entry.queries()["label_source_credentials"](spark, SF).collect()}
+    assert errors == {"sample id is missing", "sample id is not unique", "credential-like pattern"}
+
+
 @pytest.mark.parametrize("name", ["feed_comments", "threshold_evaluation", "threshold_rounds", "scan_examples_jsonl", "following_topk", "teacher_audit", "bootstrap_ci"])
 def test_large_side_equals_sql(spark, duck, name):
     """The same with no table small enough to broadcast."""
