@@ -1,11 +1,10 @@
-"""Contact graph: mixing, degrees and threshold adoption."""
+"""Contact graph: mixing, degrees, pressure of adopters and cascades of adoption."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.skew import lookup, salted_join, is_small
-from ..session import cut
 
 
 def contact_edges(arcs: DataFrame, src: str = "follower_id", dst: str = "followee_id") -> DataFrame:
@@ -153,136 +152,6 @@ def pressure(contacts: DataFrame, adopters: DataFrame) -> DataFrame:
     )
 
 
-def threshold_evaluation(
-    arcs: DataFrame,
-    users: DataFrame,
-    adopters: DataFrame,
-    observable: DataFrame,
-    *,
-    threshold: float,
-    weight_intra: float = 1.0,
-    weight_inter: float = 1.0,
-    gate: bool = True,
-) -> DataFrame:
-    """Threshold state of every (user, root) with at least one adopted neighbour.
-
-    ``observable``: (user_id, root_post_id, adopter_id) the user could see. Pairs
-    without an adopted neighbour have signal 0 and satisfy nothing, so leaving them
-    out loses no adoption.
-    """
-    contacts = labelled_contacts(arcs, users)
-    if not is_small(arcs):
-        contacts = cut(contacts)
-    degrees = contacts.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_degree"), F.count_if("same").alias("intra_degree"))
-    native = pressure(contacts, adopters)
-    seen = (
-        observable.select("user_id", "root_post_id", F.col("adopter_id").alias("neighbor_id"))
-        .distinct()
-        .join(contacts, ["user_id", "neighbor_id"])
-        .join(adopters.select("root_post_id", F.col("user_id").alias("neighbor_id")), ["root_post_id", "neighbor_id"], "left_semi")
-        .groupBy("user_id", "root_post_id")
-        .agg(F.count_if("same").alias("seen_intra"), F.count_if(~F.col("same")).alias("seen_inter"))
-    )
-    own = adopters.select("user_id", "root_post_id", F.lit(True).alias("adopted"))
-    rows = native.join(seen, ["user_id", "root_post_id"], "left").join(own, ["user_id", "root_post_id"], "left")
-    rows = lookup(rows, degrees, "user_id", "left")
-    zero = F.lit(0).cast("bigint")
-    signal = F.lit(weight_intra) * F.col("intra") + F.lit(weight_inter) * F.col("inter")
-    seen_signal = F.lit(weight_intra) * F.coalesce("seen_intra", zero) + F.lit(weight_inter) * F.coalesce("seen_inter", zero)
-    boundary = F.lit(threshold) * F.col("total_degree")
-    rows = rows.select(
-        "user_id",
-        "root_post_id",
-        F.col("intra").alias("adopted_intra"),
-        F.col("inter").alias("adopted_inter"),
-        F.coalesce("seen_intra", zero).alias("observable_intra"),
-        F.coalesce("seen_inter", zero).alias("observable_inter"),
-        "total_degree",
-        "intra_degree",
-        (F.col("total_degree") - F.col("intra_degree")).alias("inter_degree"),
-        boundary.alias("boundary"),
-        signal.alias("native_signal"),
-        seen_signal.alias("observable_signal"),
-        (signal > boundary).alias("native_satisfied"),
-        (seen_signal > boundary).alias("observable_satisfied"),
-        F.coalesce("adopted", F.lit(False)).alias("already_adopted"),
-    )
-    satisfied = F.col("observable_satisfied") if gate else F.col("native_satisfied")
-    blocked = (F.col("native_satisfied") & ~F.col("observable_satisfied")) if gate else F.lit(False)
-    passed = ((F.col("observable_intra") + F.col("observable_inter")) > 0) if gate else F.lit(True)
-    return (
-        rows.withColumn("threshold_satisfied", satisfied)
-        .withColumn("gate_passed", passed)
-        .withColumn("blocked", blocked)
-        .withColumn("should_attempt", satisfied & ~F.col("already_adopted"))
-    )
-
-
-def shadow_summary(evaluations: DataFrame, users: DataFrame, adopters: DataFrame) -> DataFrame:
-    """Totals over every (user, root), and over those where the user has not adopted (``open_``).
-
-    ``evaluations`` has the pairs with an adopted neighbour; all others have no signal, so
-    they are below the threshold and need not be written: totals are users x roots.
-    """
-    count = F.count(F.lit(1))
-    total = users.agg(count).scalar() * adopters.agg(F.countDistinct("root_post_id")).scalar()
-    own = adopters.select("root_post_id", "user_id").distinct().join(users.select("user_id"), "user_id", "left_semi").agg(count).scalar()
-    fresh = ~F.col("already_adopted")
-    found = evaluations.agg(
-        F.count_if("should_attempt").alias("potential_adoptions"),
-        F.count_if("blocked").alias("blocked"),
-        F.count_if("observable_satisfied").alias("met"),
-        F.count_if(F.col("blocked") & fresh).alias("open_blocked"),
-        F.count_if(F.col("observable_satisfied") & fresh).alias("open_met"),
-    )
-    return found.select(
-        total.alias("evaluations"), "potential_adoptions", "blocked", (total - F.col("met")).alias("below_threshold"),
-        (total - own).alias("open_evaluations"), "open_blocked", (total - own - F.col("open_met")).alias("open_below_threshold"),
-    )
-
-
-def initial_adopters(roots: DataFrame, posts: DataFrame, users: DataFrame, before: int) -> DataFrame:
-    """Logged adopters of each root before a step: (root_post_id, user_id, community)."""
-    early = roots.join(posts.select("post_id", "created_at"), "post_id").where(F.col("created_at") < before)
-    return lookup(early.select("root_post_id", "user_id").distinct(), users, "user_id", "inner")
-
-
-def threshold_rounds(
-    arcs: DataFrame,
-    users: DataFrame,
-    seeds: DataFrame,
-    *,
-    threshold: float,
-    weight_intra: float = 1.0,
-    weight_inter: float = 1.0,
-    rounds: int,
-) -> DataFrame:
-    """Synchronous irreversible adoption: (user_id, root_post_id, round), seeds in round 0.
-
-    Each round only joins the adopters of the round before and adds their pressure to
-    what earlier rounds left, so no contact is counted twice.
-    """
-    contacts = cut(labelled_contacts(arcs, users))
-    degrees = contacts.groupBy("user_id").agg(F.count(F.lit(1)).alias("degree"))
-    fresh = cut(seeds.select("user_id", "root_post_id").distinct())
-    adopted = fresh.withColumn("round", F.lit(0))
-    felt = None
-    keys = ["user_id", "root_post_id"]
-    signal = F.lit(weight_intra) * F.col("intra") + F.lit(weight_inter) * F.col("inter")
-    for step in range(1, rounds + 1):
-        new = pressure(contacts, fresh)
-        if felt is not None:
-            new = felt.unionByName(new).groupBy(*keys).agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
-        waiting = new.join(adopted.select(*keys), keys, "left_anti").join(degrees, "user_id")
-        judged = cut(waiting.select(*keys, "intra", "inter", (signal > F.lit(threshold) * F.col("degree")).alias("met")))
-        fresh = judged.where("met").select(*keys)
-        felt = judged.where("not met").drop("met")
-        if fresh.isEmpty():
-            break
-        adopted = adopted.unionByName(fresh.withColumn("round", F.lit(step)))
-    return adopted
-
-
 def adoption_summary(adopted: DataFrame, users: DataFrame, root_community: DataFrame) -> DataFrame:
     """Per root: adopters, fraction, intra/inter adoptions, community coverage, generations."""
     total = users.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -8,6 +8,7 @@ its own logs, and read back with column pruning.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ from ..functions.ordered import prefix_scan, trailing_list
 from ..functions import text as tx
 from ..functions.scalar import choice_id, decision_id, mapped_action, trace_target
 from ..functions.skew import lookup
-from ..operators import choices, exposure, hierarchy
+from ..operators import choices, exposure, hierarchy, threshold
 from ..session import shared_dir, tune
 
 CREATED_BASE = 1_000_000_000_000
@@ -46,6 +47,7 @@ def forget(spark: SparkSession, sf_dir: str) -> None:
 class Logs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._derived: dict[str, DataFrame] = {}
 
     # ---- driver tables ----
     def table(self, name: str) -> DataFrame:
@@ -61,6 +63,12 @@ class Logs:
     def _store(self, name: str, df: DataFrame) -> DataFrame:
         return self.spark.read.parquet(self.store(name, df))
 
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several queries read: made by the first of them, stored, and read back."""
+        if name not in self._derived:
+            self._derived[name] = self._store(name, make())
+        return self._derived[name]
+
     @cached_property
     def n_users(self) -> Column:
         return self.table("customer").agg(F.count(F.lit(1))).scalar()
@@ -207,6 +215,16 @@ class Logs:
     def roots(self) -> DataFrame:
         return self._store("roots", hierarchy.post_roots(self.post))
 
+    @cached_property
+    def adoptions(self) -> DataFrame:
+        """(root_post_id, user_id, step): the first post of a user in the tree of a root."""
+        return threshold.first_adoptions(self.roots, self.post)
+
+    @cached_property
+    def refreshes(self) -> DataFrame:
+        """Who decided at which step: (user_id, timestep)."""
+        return self.trace.where("action = 'refresh'").select("user_id", "timestep").distinct()
+
     @cached_property
     def candidates(self) -> DataFrame:
         """One row per refresh and post of its feed: (refresh_id, run_id, timestep, user_id, rank, post_id, ...)."""

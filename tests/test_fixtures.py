@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluiceway.functions import scalar as sc, text as tx
-from sluiceway.operators import audit, choices, dataset, evaluation, exposure, governance, graph, hierarchy, linking, reliability, stats
+from sluiceway.operators import audit, choices, dataset, evaluation, exposure, governance, graph, hierarchy, linking, reliability, stats, threshold
 
 
 @pytest.fixture(scope="module")
@@ -74,47 +74,89 @@ def test_allocation_direction(spark):
     assert {(r.condition, r.omega_intra) for r in strict} == {("s", 0.2), ("w", 1.0), ("m", 0.6)}
 
 
-def adopters(spark, pairs):
-    return spark.createDataFrame(pairs, "root_post_id bigint, user_id bigint")
+def adoptions(spark, rows):
+    return spark.createDataFrame(rows, "root_post_id bigint, user_id bigint, step bigint")
 
 
-NOBODY = "user_id bigint, root_post_id bigint, adopter_id bigint"
+def sightings(spark, rows):
+    return spark.createDataFrame(rows, "user_id bigint, root_post_id bigint, adopter_id bigint, step bigint")
+
+
+@pytest.fixture(scope="module")
+def root_labels(spark):
+    return spark.createDataFrame([(10, "a")], "root_post_id bigint, root_community string")
+
+
+def at(states, user, step):
+    """State of a user and root 10 at a step, by interval lookup; None if no neighbour has adopted."""
+    found = states.where(f"user_id = {user} and root_post_id = 10 and timestep <= {step} and (until is null or until > {step})").collect()
+    assert len(found) <= 1
+    return found[0] if found else None
 
 
 @pytest.mark.parametrize("theta, met", [(0.5, False), (0.49, True)])
-def test_threshold_is_strict(spark, people, theta, met):
+def test_threshold_is_strict(spark, people, root_labels, theta, met):
     follow = arcs(spark, [(0, 1), (1, 2)])
-    out = graph.threshold_evaluation(
-        follow, people, adopters(spark, [(10, 0)]), spark.createDataFrame([], NOBODY), threshold=theta, gate=False
-    ).where("user_id = 1").first()
+    states = threshold.threshold_states(follow, people, adoptions(spark, [(10, 0, 0)]), sightings(spark, []), root_labels, threshold=theta, gate=False)
+    out = at(states, 1, 1)
     assert out.native_signal == 1.0 and out.native_satisfied is met and out.should_attempt is met
+    assert (out.threshold, out.boundary, out.user_community, out.root_community) == (theta, theta * 2, "a", "a")
 
 
-def test_threshold_star(spark, people):
+def test_threshold_star(spark, people, root_labels):
     follow = arcs(spark, [(0, 1), (0, 2), (0, 3)])
-    out = graph.threshold_evaluation(
-        follow, people, adopters(spark, [(10, 1), (10, 2)]), spark.createDataFrame([], NOBODY),
+    states = threshold.threshold_states(
+        follow, people, adoptions(spark, [(10, 1, 0), (10, 2, 0)]), sightings(spark, []), root_labels,
         threshold=0.1, weight_intra=0.5, weight_inter=0.25, gate=False,
-    ).where("user_id = 0").first()
+    )
+    out = at(states, 0, 1)
     assert (out.adopted_intra, out.adopted_inter, out.total_degree, out.intra_degree, out.inter_degree) == (1, 1, 3, 1, 2)
     assert out.native_signal == 0.75
 
 
-def test_threshold_gate_blocks(spark, people):
+def test_threshold_gate_blocks(spark, people, root_labels):
     follow = arcs(spark, [(0, 1), (1, 2)])
-    out = graph.threshold_evaluation(
-        follow, people, adopters(spark, [(10, 0)]), spark.createDataFrame([], NOBODY), threshold=0.0
-    ).where("user_id = 1").first()
+    one = adoptions(spark, [(10, 0, 0)])
+    out = at(threshold.threshold_states(follow, people, one, sightings(spark, []), root_labels, threshold=0.0), 1, 1)
     assert out.native_satisfied and not out.observable_satisfied and out.blocked and not out.should_attempt
-    seen = spark.createDataFrame([(1, 10, 0), (1, 10, 3)], NOBODY)
-    out = graph.threshold_evaluation(follow, people, adopters(spark, [(10, 0)]), seen, threshold=0.0).where("user_id = 1").first()
+    # user 3 is no contact of user 1
+    seen = sightings(spark, [(1, 10, 0, 1), (1, 10, 0, 1), (1, 10, 3, 1)])
+    out = at(threshold.threshold_states(follow, people, one, seen, root_labels, threshold=0.0), 1, 1)
     assert out.observable_intra == 1 and out.should_attempt
 
 
+def test_threshold_changes_with_the_steps(spark, people, root_labels):
+    """Merged over all steps user 1 sees an adopter of root 10 and should attempt; step by step the feed comes too early or too late."""
+    follow = arcs(spark, [(0, 1), (1, 2)])
+    log = adoptions(spark, [(10, 0, 3), (10, 2, 5), (10, 1, 6)])
+    seen = sightings(spark, [(1, 10, 0, 3), (1, 10, 0, 5), (1, 10, 0, 6), (1, 10, 2, 5)])
+    states = threshold.threshold_states(follow, people, log, seen, root_labels, threshold=0.0)
+    assert at(states, 1, 3) is None  # who adopts at step 3 counts from step 4 on, and their post of step 3 does not
+    four, five, six, seven = (at(states, 1, k) for k in (4, 5, 6, 7))
+    assert (four.adopted_intra, four.observable_intra, four.blocked, four.should_attempt) == (1, 0, True, False)
+    assert (five.adopted_intra + five.adopted_inter, five.observable_intra, five.observable_inter, five.should_attempt) == (1, 1, 0, True)
+    assert (six.adopted_intra + six.adopted_inter, six.observable_intra, six.already_adopted, six.should_attempt) == (2, 1, False, True)
+    assert (seven.observable_intra, seven.already_adopted, seven.until) == (0, True, None)
+    # every user decides at steps 4 and 6; the only root is there from step 4 on
+    asked = spark.createDataFrame([(u, k) for u in (0, 1, 2, 2, 99) for k in (3, 4, 6)], "user_id bigint, timestep bigint")
+    rows = {r.timestep: r for r in threshold.shadow_summary(states, log, people, asked).collect()}
+    assert [rows[k].evaluations for k in (3, 4, 6)] == [0, 3, 3]
+    assert [rows[k].open_evaluations for k in (3, 4, 6)] == [0, 2, 1]
+    assert [(rows[k].potential_adoptions, rows[k].blocked, rows[k].below_threshold) for k in (4, 6)] == [(0, 1, 3), (1, 0, 2)]
+    looked_up = threshold.evaluations_at(states, asked).where("user_id = 1").collect()
+    assert sorted((r.timestep, r.should_attempt) for r in looked_up) == [(4, False), (6, True)]
+
+
+def test_first_adoption_counts_once(spark, rows_of):
+    roots = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (3, 1, 6), (4, 4, 6)], "post_id bigint, root_post_id bigint, user_id bigint")
+    posts = spark.createDataFrame([(1, 0), (2, 9), (3, 4), (4, 2)], "post_id bigint, created_at bigint")
+    assert rows_of(threshold.first_adoptions(roots, posts), "root_post_id", "user_id", "step") == [(1, 5, 0), (1, 6, 4), (4, 6, 2)]
+
+
 def test_threshold_rounds_are_synchronous(spark, rows_of):
     people = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a")], "user_id bigint, community string")
     seeds = spark.createDataFrame([(0, 7)], "user_id bigint, root_post_id bigint")
-    out = graph.threshold_rounds(arcs(spark, [(0, 1), (1, 2)]), people, seeds, threshold=0.0, rounds=3)
+    out = threshold.threshold_rounds(arcs(spark, [(0, 1), (1, 2)]), people, seeds, threshold=0.0, rounds=3)
     assert rows_of(out, "user_id", "round") == [(0, 0), (1, 1), (2, 2)]
     counts = rows_of(graph.round_counts(out), "round", "new_adopters", "total_adopters")
     assert counts == [(0, 1, 1), (1, 1, 2), (2, 1, 3)]

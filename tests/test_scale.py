@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 
 from sluiceway.functions import ordered, skew
 from sluiceway.functions.draw import uniform
-from sluiceway.operators import dataset, exposure, graph, stats
+from sluiceway.operators import dataset, exposure, graph, stats, threshold
 
 
 @pytest.fixture(scope="module")
@@ -158,7 +158,7 @@ def test_adoption_starts_from_the_log(spark, rows_of):
     users = spark.createDataFrame([(1, "c0"), (2, "c1"), (3, "c0")], "user_id bigint, community string")
     roots = spark.createDataFrame([(10, 10, 1), (11, 10, 2), (12, 10, 3), (13, 10, 1)], "post_id bigint, root_post_id bigint, user_id bigint")
     posts = spark.createDataFrame([(10, 0), (11, 5), (12, 20), (13, 3)], "post_id bigint, created_at bigint")
-    seeds = graph.initial_adopters(roots, posts, users, 15)
+    seeds = threshold.initial_adopters(roots, posts, users, 15)
     assert rows_of(seeds, "root_post_id", "user_id", "community") == [(10, 1, "c0"), (10, 2, "c1")]
     predicted = spark.createDataFrame([(1, 10, 0), (2, 10, 0), (3, 10, 1), (9, 10, 2)], "user_id bigint, root_post_id bigint, round int")
     assert rows_of(graph.predicted_against_observed(predicted, roots)) == [(10, 2, 1, 1)]
@@ -228,3 +228,80 @@ def test_topk_is_cut_before_the_shuffle(spark):
     posts = spark.createDataFrame([(2, 5, 1)], "user_id bigint, post_id bigint, num_likes bigint")
     plan = exposure.following_topk(follow, posts, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 4
+
+
+def plain_rounds(pairs, community, seeds, theta, intra, inter):
+    near = {u: set() for u in community}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    found = {k: 0 for k in seeds}
+    step = 0
+    while True:
+        step += 1
+        new = set()
+        for root in {r for _, r in seeds}:
+            for u in community:
+                held = [v for v in near[u] if (v, root) in found]
+                signal = sum(intra if community[v] == community[u] else inter for v in held)
+                if held and (u, root) not in found and signal > theta * len(near[u]):
+                    new.add((u, root))
+        if not new:
+            return sorted((u, r, k) for (u, r), k in found.items())
+        found.update(dict.fromkeys(new, step))
+
+
+def test_threshold_rounds_reach_the_fixpoint(spark, rows_of):
+    """A chain that needs more rounds than layers are kept, and a random graph where pressure adds up over rounds."""
+    schema = "follower_id bigint, followee_id bigint"
+    chain = [(i, i + 1) for i in range(12)]
+    rng = random.Random(8)
+    web = [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(170)]
+    community = {u: "abc"[u % 3] for u in [*range(13), *range(100, 160)]}
+    people = spark.createDataFrame(sorted(community.items()), "user_id bigint, community string")
+    seeds = [(0, 1), (101, 1), (105, 1), (107, 2), (108, 2), (109, 2), (131, 2)]
+    start = spark.createDataFrame(seeds + seeds[:2], "user_id bigint, root_post_id bigint")
+    for theta in (0.2, 0.35):
+        out = threshold.threshold_rounds(spark.createDataFrame(chain + web, schema), people, start, threshold=theta, weight_intra=1.0, weight_inter=0.5)
+        want = plain_rounds(chain + web, community, seeds, theta, 1.0, 0.5)
+        assert rows_of(out, "user_id", "root_post_id", "round") == want
+        if theta == 0.2:
+            assert max(r for _, _, r in want) > threshold.LAYERS + 2
+
+
+def test_states_equal_every_step(spark):
+    """Change points against an evaluation of each step on its own."""
+    rng = random.Random(9)
+    community = {u: "ab"[u % 2] for u in range(25)}
+    pairs = [(rng.randrange(25), rng.randrange(25)) for _ in range(60)]
+    near = {u: {b if a == u else a for a, b in pairs if u in (a, b) and a != b} for u in community}
+    log = {(r, u): rng.randrange(8) for r in (1, 2, 3) for u in community if rng.random() < 0.4}
+    seen = {(rng.randrange(25), rng.choice((1, 2, 3)), rng.randrange(25), rng.randrange(9)) for _ in range(900)}
+    states = threshold.threshold_states(
+        spark.createDataFrame(pairs, "follower_id bigint, followee_id bigint"),
+        spark.createDataFrame(sorted(community.items()), "user_id bigint, community string"),
+        spark.createDataFrame([(r, u, k) for (r, u), k in log.items()], "root_post_id bigint, user_id bigint, step bigint"),
+        spark.createDataFrame(sorted(seen), "user_id bigint, root_post_id bigint, adopter_id bigint, step bigint"),
+        spark.createDataFrame([(1, "a"), (2, "b")], "root_post_id bigint, root_community string"),
+        threshold=0.25, weight_intra=1.0, weight_inter=0.5,
+    ).collect()
+    held = {}
+    for r in states:
+        for k in range(r.timestep, 12 if r.until is None else r.until):
+            assert (r.user_id, r.root_post_id, k) not in held
+            held[r.user_id, r.root_post_id, k] = r
+    for u in community:
+        for root in (1, 2, 3):
+            for k in range(12):
+                frozen = {v for v in near[u] if log.get((root, v), 99) < k}
+                shown = {v for v in frozen if (u, root, v, k) in seen}
+                r = held.get((u, root, k))
+                assert (r is not None) == bool(frozen)
+                if r:
+                    split = lambda vs: (sum(community[v] == community[u] for v in vs), sum(community[v] != community[u] for v in vs))
+                    assert ((r.adopted_intra, r.adopted_inter), (r.observable_intra, r.observable_inter)) == (split(frozen), split(shown))
+                    assert r.already_adopted == (log.get((root, u), 99) < k)
+                    i, j = split(shown)
+                    assert r.should_attempt == (i + 0.5 * j > 0.25 * len(near[u]) and not r.already_adopted)
+    assert len(states) == sum(1 for (u, root, k), r in held.items() if r.timestep == k)
