@@ -37,14 +37,15 @@ COSTS = """SELECT *, sum(step_cost) OVER (PARTITION BY run_id ORDER BY timestep)
     FROM (SELECT *, lag(omega_intra + omega_inter) OVER (PARTITION BY run_id ORDER BY timestep) AS prev FROM omegas))"""
 
 
+def omega_columns() -> dict:
+    return {
+        "omega_intra": F.lit(1.0) - (F.col("timestep") % 7) * 0.05,
+        "omega_inter": F.lit(1.0) - (F.col("timestep") % 5) * 0.1,
+    }
+
+
 def _omegas(t: Logs):
-    steps = t.impressions.select("run_id", "timestep").distinct()
-    return steps.select(
-        "run_id",
-        "timestep",
-        (F.lit(1.0) - (F.col("timestep") % 7) * 0.05).alias("omega_intra"),
-        (F.lit(1.0) - (F.col("timestep") % 5) * 0.1).alias("omega_inter"),
-    )
+    return t.impressions.select("run_id", "timestep").distinct().withColumns(omega_columns())
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.governance import step_axis
 from ..session import new_folder
 from ..streaming import (
     controller_stream,
@@ -18,13 +17,15 @@ from ..streaming import (
     run_to_table,
 )
 from ..streaming.jobs import IMPRESSION_SCHEMA
-from .q_governance import BUDGET, STATE, WINDOW
+from .q_governance import BUDGET, COSTS, OMEGAS, STATE, STATE_COLUMNS, WINDOW, omega_columns
 from .registry import query
 from .views import OMEGA_INTER, OMEGA_INTRA, SEED, Logs, second_post
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-COMMUNITIES = [f"community-{i}" for i in range(5)]
+ORIGIN = "2024-01-01"
 DELAY_HOURS = 1
+#: The events arrive in so many deliveries; a job runs over each of them and keeps its state in between.
+DELIVERIES = 2
 
 
 def _events(t: Logs):
@@ -44,9 +45,14 @@ def _refreshes(t: Logs):
 
 
 def _governed(t: Logs) -> str:
-    sink = new_folder(t.spark, "stream/exposure")
-    govern_stream(_refreshes(t), sink, t.roots, t.users, t.post_risk, OMEGA_INTRA, OMEGA_INTER, seed=SEED)
-    return sink
+    """The impression log of the stream, governed once per session like the stored facts."""
+
+    def govern() -> str:
+        sink = new_folder(t.spark, "stream/exposure")
+        govern_stream(_refreshes(t), sink, t.roots, t.users, t.post_risk, OMEGA_INTRA, OMEGA_INTER, seed=SEED)
+        return sink
+
+    return t.once("stream exposure", govern)
 
 
 def _exposed(t: Logs):
@@ -77,37 +83,52 @@ def _(t: Logs):
     return rows.select("run_id", step.alias("timestep"), "candidates", "shown", "suppressed")
 
 
-FIRST_COST = (1 - OMEGA_INTRA) + (1 - OMEGA_INTER)
-STATE_NAMES = ("risk_adoption_rate", "community_coverage_ratio", "cross_community_exposure_ratio", "report_rate", "benign_exposure_loss", "remaining_budget")
+STATE_NAMES = (*STATE_COLUMNS, "remaining_budget")
+# steps end with the day; the watermark has passed those whose end lies a delay before the last event
+CLOSED = f"(SELECT max(ts) - INTERVAL {DELAY_HOURS} HOUR FROM trace0) >= DATE '{ORIGIN}' + (timestep + 1)::INTEGER * INTERVAL 1 DAY"
+BUDGETS = f"""SELECT s.*, greatest(0.0::DOUBLE, {BUDGET}::DOUBLE - coalesce(last_value(c.cumulative_cost IGNORE NULLS) OVER (
+    PARTITION BY s.run_id ORDER BY s.timestep), 0)) AS remaining_budget
+  FROM state s LEFT JOIN costs c ON c.run_id = s.run_id AND c.timestep = s.timestep"""
+
+
+def _deliver(t: Logs, folder: str, k: int) -> None:
+    """One more delivery into the folders of a job: impressions and actions of the next days.
+
+    The omegas of the log move with the step, as in the batch queries, so the budget has something to follow.
+    """
+    bounds = F.col("timestep").between(k * 30 // DELIVERIES, (k + 1) * 30 // DELIVERIES - 1) if k < DELIVERIES - 1 else F.col("timestep") >= k * 30 // DELIVERIES
+    log = t.spark.read.schema(IMPRESSION_SCHEMA).parquet(f"{_governed(t)}/log").drop("omega_intra", "omega_inter").withColumns(omega_columns())
+    log.where(bounds).select(*[f.split(" ")[0] for f in IMPRESSION_SCHEMA.split(", ")]).write.parquet(f"{folder}/log/{k}")
+    t.run_trace.where(bounds).select("ts", "run_id", "action").write.parquet(f"{folder}/actions/{k}")
+
+
+def _over_deliveries(t: Logs, name: str, job):
+    """The rows of a streaming job that is started anew for each delivery, on the state it left."""
+    folder = new_folder(t.spark, f"stream/{name}")
+    for k in range(DELIVERIES):
+        _deliver(t, folder, k)
+        seen = t.spark.readStream.schema(IMPRESSION_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{folder}/log").withWatermark("ts", f"{DELAY_HOURS} hour")
+        acts = t.spark.readStream.schema("ts timestamp, run_id string, action string").option("recursiveFileLookup", "true").parquet(f"{folder}/actions").withWatermark("ts", f"{DELAY_HOURS} hour")
+        rows = run_to_table(job(seen, acts), name, f"{folder}/job")
+    return rows
 
 
-def _state(t: Logs, window: str):
-    """The streamed state by first step of its window."""
-    run = F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string"))
-    action = F.when(F.col("event_type") == "click", "repost").when(F.col("event_type") == "purchase", "quote_post").when(F.col("event_type") == "error", "report_post").otherwise(F.col("event_type"))
-    actions = _events(t).select("ts", run.alias("run_id"), action.alias("action")).withWatermark("ts", f"{DELAY_HOURS} hour")
-    state = governance_state_stream(_exposed(t), actions, COMMUNITIES, window, remaining_budget=max(0.0, BUDGET - FIRST_COST))
-    rows = run_to_latest(state, "state", ["run_id", "window_start"])
-    step = F.datediff(F.to_date("window_start"), F.lit("2024-01-01").cast("date")).cast("bigint")
-    return rows.select("run_id", step.alias("first_step"), "recent_reposts", *STATE_NAMES)
+def _states(t: Logs):
+    communities = t.users.agg(F.countDistinct("community").alias("n")).first()["n"]  # one number
+    return lambda seen, acts: governance_state_stream(seen, acts, window=WINDOW, communities=communities, budget=BUDGET, origin=ORIGIN)
 
 
 @query(
     "stream_governance_state",
-    f"""SELECT run_id, t AS first_step, round(coalesce((count(*) FILTER (shown AND risk_score > 0))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0), 6) AS risk_adoption_rate,
-          round(count(DISTINCT CASE WHEN shown AND risk_score > 0 THEN user_community END) / 5.0::DOUBLE, 6) AS community_coverage_ratio,
-          round(coalesce((count(*) FILTER (shown AND user_community <> author_community))::DOUBLE / nullif(count(*) FILTER (shown), 0), 0), 6) AS cross_community_exposure_ratio,
-          round(coalesce((count(*) FILTER (risk_score = 0 AND NOT shown))::DOUBLE / nullif(count(*) FILTER (risk_score = 0), 0), 0), 6) AS benign_exposure_loss,
-          (count(*) FILTER (action IN ('repost', 'quote_post')))::BIGINT AS recent_reposts,
-          round(coalesce((count(*) FILTER (action = 'report_post'))::DOUBLE / nullif(count(action), 0), 0), 6) AS report_rate,
-          round(greatest(0.0::DOUBLE, {BUDGET}::DOUBLE - {FIRST_COST!r}::DOUBLE), 6) AS remaining_budget
-        FROM happened, (SELECT unnest(range(-2, 1 + max(timestep))) AS t FROM trace0) WHERE timestep BETWEEN t AND t + 2 GROUP BY 1, 2""",
-    happened="""SELECT run_id, timestep, shown, risk_score, user_community, author_community, NULL::VARCHAR AS action FROM impressions
-      UNION ALL SELECT 'run-' || (user_id % 4), timestep, NULL::BOOLEAN, NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR, action FROM trace0""",
+    f"""SELECT run_id, timestep, recent_reposts, {", ".join(f"round({c}, 6) AS {c}" for c in STATE_NAMES)} FROM budgets WHERE {CLOSED}""",
+    state=STATE,
+    omegas=OMEGAS,
+    costs=COSTS,
+    budgets=BUDGETS,
 )
 def _(t: Logs):
-    rows = _state(t, "3 days")
-    return rows.select("run_id", "first_step", "recent_reposts", *[F.round(n, 6).alias(n) for n in STATE_NAMES])
+    rows = _over_deliveries(t, "state", _states(t)).where("not late")
+    return rows.select("run_id", "timestep", "recent_reposts", *[F.round(n, 6).alias(n) for n in STATE_NAMES])
 
 
 @query("stream_decision_dedup", "SELECT rowid AS event_id, action FROM trace0 WHERE action <> 'refresh'")
@@ -130,8 +151,9 @@ CONFIG = dict(
 
 @query(
     "stream_controller",
-    """SELECT run_id, timestep, round(a, 6) AS omega_intra, round(b, 6) AS omega_inter, round(cost, 6) AS cumulative_cost, reason FROM carried WHERE timestep >= 0""",
-    step_state=STATE.replace(f"t - {WINDOW - 1}", "t").replace("a.t - 2", "a.t"),
+    f"""SELECT run_id, timestep, round(a, 6) AS omega_intra, round(b, 6) AS omega_inter, round(cost, 6) AS cumulative_cost, reason FROM carried
+        WHERE timestep >= 0 AND {CLOSED}""",
+    state=STATE,
     carried="""SELECT DISTINCT run_id, -1::BIGINT AS timestep, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS cost, '' AS reason FROM impressions
       UNION ALL SELECT run_id, t, CASE WHEN hold THEN a WHEN spend > remaining THEN least(1, greatest(0, a + (a1 - a) * remaining / spend)) ELSE a1 END,
         CASE WHEN hold THEN b WHEN spend > remaining THEN least(1, greatest(0, b + (b1 - b) * remaining / spend)) ELSE b1 END,
@@ -144,13 +166,10 @@ CONFIG = dict(
           SELECT c.run_id, s.timestep AS t, c.a, c.b, c.cost, greatest(0.0, 1.2 - c.cost) AS remaining, s.recent_reposts, s.community_coverage_ratio,
             greatest(s.risk_adoption_rate - 0.25, s.report_rate - 0.1, 0.0) AS pressure, greatest(s.cross_community_exposure_ratio - 0.3, 0.0) AS cr,
             CASE WHEN s.benign_exposure_loss > 0.1 THEN 0.2 ELSE 0.0 END AS relax
-          FROM carried c JOIN step_state s ON s.run_id = c.run_id AND s.timestep = c.timestep + 1)))""",
+          FROM carried c JOIN state s ON s.run_id = c.run_id AND s.timestep = c.timestep + 1)))""",
 )
 def _(t: Logs):
-    """Controller over the streamed state of each step; steps without any event have a row of zeros."""
-    axis = step_axis(t.impressions, t.trace)
-    state = axis.join(_state(t, "1 day").withColumnRenamed("first_step", "timestep"), ["run_id", "timestep"], "left").fillna(0)
-    stored = t.store("step-state", state)
-    stream = read_events(t.spark, stored, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema))
-    out = run_to_table(controller_stream(stream, CONFIG), "controller")
+    """Controller over the state of each closed step, in the same job that closes it."""
+    state = _states(t)
+    out = _over_deliveries(t, "controller", lambda seen, acts: controller_stream(state(seen, acts), CONFIG))
     return out.select("run_id", "timestep", *[F.round(c, 6).alias(c) for c in ("omega_intra", "omega_inter", "cumulative_cost")], "reason")

@@ -47,7 +47,7 @@ def forget(spark: SparkSession, sf_dir: str) -> None:
 class Logs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self._derived: dict[str, DataFrame] = {}
+        self._made: dict[str, object] = {}
 
     # ---- driver tables ----
     def table(self, name: str) -> DataFrame:
@@ -65,9 +65,13 @@ class Logs:
 
     def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that several queries read: made by the first of them, stored, and read back."""
-        if name not in self._derived:
-            self._derived[name] = self._store(name, make())
-        return self._derived[name]
+        return self.once(name, lambda: self._store(name, make()))
+
+    def once(self, name: str, make: Callable[[], object]):
+        """What several queries of a session share; the first of them makes it."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     @cached_property
     def n_users(self) -> Column:

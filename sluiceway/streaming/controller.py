@@ -37,9 +37,10 @@ class Controller(StatefulProcessor):
     """Omegas and spent budget of one run, carried from step to step.
 
     One small state row per run; input is one row per run and step, already aggregated.
-    Steps should arrive in order over the batches. One that comes after a later step changes
-    nothing any more; it is reported with a reason of its own. (A batch that is replayed
-    after a failure finds the state from before it, so it is no late step.)
+    Steps arrive in order over the batches, as closed steps do. One that comes after a later step
+    changes nothing any more; it is reported with a reason of its own. (A batch that is replayed
+    after a failure finds the state from before it, so it is no late step.) ``late`` rows carry no
+    state and never move the run.
     """
 
     def __init__(self, config: dict):
@@ -57,10 +58,10 @@ class Controller(StatefulProcessor):
             intra, inter, last = clip(c["omega_intra"]), clip(c["omega_inter"]), -1
             cost = (1.0 - intra) + (1.0 - inter)
         most = min(1.0, float(c["step"]))  # as in the batch recommendation
-        steps = pd.concat(list(rows)).sort_values("timestep")
+        steps = pd.concat(list(rows)).sort_values("timestep", kind="stable")
         out = []
         for row in steps.itertuples(index=False):
-            if row.timestep <= last:
+            if row.timestep <= last or getattr(row, "late", False):
                 out.append((key[0], int(row.timestep), float(intra), float(inter), float(cost), LATE_STEP))
                 continue
             last = int(row.timestep)

@@ -7,17 +7,19 @@ the caller picks sink and trigger.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.scalar import ratio0
 from ..operators.exposure import govern
 from ..session import new_folder
 from .controller import CONTROLLER_OUTPUT, Controller
+from .panes import STATE_OUTPUT, StepStates, partial_panes
 
 STEP = "1 day"
 IMPRESSION_SCHEMA = (
     "refresh_id bigint, rank int, ts timestamp, run_id string, timestep bigint, user_id bigint, post_id bigint, root_post_id bigint, "
-    "user_community string, author_community string, risk_score double, keep_probability double, shown boolean"
+    "user_community string, author_community string, risk_score double, omega_intra double, omega_inter double, keep_probability double, shown boolean"
 )
 
 
@@ -121,35 +123,17 @@ def exposure_by_step(impressions: DataFrame, step: str = STEP) -> DataFrame:
 
 
 def governance_state_stream(
-    impressions: DataFrame, actions: DataFrame, communities: list[str], window: str = "3 days", step: str = STEP, *, remaining_budget: float | None = None,
+    impressions: DataFrame, actions: DataFrame, *, window: int, communities: int, budget: float, origin: str,
 ) -> DataFrame:
-    """Sliding-window state per run from the streams of impressions and of actions (ts, run_id, action).
-
-    Both go through one aggregation, an action as a row without exposure. Omegas do not
-    change within the stream, so the budget left is that after the cost of the first ones.
+    """State of every closed step per run over the trailing ``window`` steps; see panes.StepStates.
 
-    A stream allows no exact distinct count, but the communities are a fixed set: one
-    conditional maximum per community gives exact coverage with constant state.
+    ``actions``: ts, run_id, action. ``communities``: how many there are. The cost follows the
+    omegas that the impressions were governed by, as in the batch path. Events of a step that is
+    closed already come out as one row each batch, marked ``late``.
     """
-    risky = F.col("shown") & (F.col("risk_score") > 0)
-    seen = [F.max(F.when(risky & (F.col("user_community") == c), 1).otherwise(0)).alias(f"c{i}") for i, c in enumerate(communities)]
-    acts = [
-        F.count("action").alias("traces"),
-        F.count_if(F.col("action").isin("repost", "quote_post")).alias("reposts"),
-        F.count_if(F.col("action") == "report_post").alias("reports"),
-    ]
-    both = impressions.unionByName(actions.select("ts", "run_id", "action"), allowMissingColumns=True)
-    out = both.groupBy("run_id", F.window("ts", window, step).alias("w")).agg(*_exposure_counts(), *seen, *acts)
-    covered = sum((F.col(f"c{i}") for i in range(len(communities))), F.lit(0))
-    return out.select(
-        "run_id", F.col("w")["start"].alias("window_start"), F.col("w")["end"].alias("window_end"),
-        ratio0("risky_shown", "shown").alias("risk_adoption_rate"),
-        F.col("reposts").alias("recent_reposts"),
-        (covered / F.lit(max(1, len(communities)))).alias("community_coverage_ratio"),
-        ratio0("cross_shown", "shown").alias("cross_community_exposure_ratio"),
-        ratio0("reports", "traces").alias("report_rate"),
-        ratio0("benign_hidden", "benign").alias("benign_exposure_loss"),
-        F.lit(remaining_budget).cast("double").alias("remaining_budget"),
+    start = int(datetime.fromisoformat(origin).replace(tzinfo=timezone.utc).timestamp() * 1000)
+    return partial_panes(impressions, actions, origin).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=StepStates(start, window, communities, budget), outputStructType=STATE_OUTPUT, outputMode="append", timeMode="eventTime"
     )
 
 
@@ -159,7 +143,7 @@ def decision_dedup(decisions: DataFrame, keys: list[str], delay: str = "2 days")
 
 
 def controller_stream(steps: DataFrame, config: dict) -> DataFrame:
-    """Controller decisions over a stream of (run_id, timestep, state ratios)."""
+    """Controller decisions over a stream of (run_id, timestep, state ratios), such as governance_state_stream."""
     return steps.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=Controller(config), outputStructType=CONTROLLER_OUTPUT, outputMode="append", timeMode="none"
     )

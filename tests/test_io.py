@@ -1,13 +1,18 @@
 """Sources, sinks and streams."""
 
+import datetime
+import functools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.operators import exposure
+from sluiceway.operators import exposure, governance
 from sluiceway.sources import readers, sinks
-from sluiceway.streaming import controller_stream, decision_dedup, govern_stream, run_to_table
+from sluiceway.operators.governance import LATE_STEP
+from sluiceway.streaming import controller_stream, decision_dedup, govern_stream, governance_state_stream, run_to_table
+from sluiceway.streaming.jobs import IMPRESSION_SCHEMA
 
 
 def test_examples_lines_and_errors(spark, tmp_path):
@@ -105,3 +110,70 @@ def test_dedup_and_controller_streams(spark, tmp_path):
     out = run_to_table(controller_stream(spark.readStream.schema(schema).parquet(str(steps)), config), "c").orderBy("timestep").collect()
     assert [round(r.cumulative_cost, 6) for r in out] == [0.2, 0.2, 0.2, 0.2]
     assert out[1].reason == "between control intervals" and out[2].reason == "budget exhausted"
+
+
+CONTROL = dict(interval=2, step=0.3, risk_target=0.1, cross_target=0.1, report_target=0.1, loss_limit=0.5, budget=1.2, omega_intra=1.0, omega_inter=1.0)
+
+
+def test_state_and_controller_over_deliveries(spark, tmp_path):
+    """Days out of order inside the watermark give the batch result; a day that comes after its step was closed is late."""
+    rng = random.Random(2)
+    names = [f.split(" ")[0] for f in IMPRESSION_SCHEMA.split(", ")]
+    day0 = datetime.datetime(2024, 1, 1)
+
+    def impressions(days):
+        out = []
+        for d in days:
+            for _ in range(12):
+                run, shown, risk = rng.choice("pqq"), rng.random() < 0.7, rng.choice([0.0, 0.0, 0.9])
+                ts = day0 + datetime.timedelta(days=d, hours=rng.randint(0, 23))
+                out.append((1, 0, ts, run, d, 1, 1, 1, rng.choice(["a", "b", "c", "new"][: 2 + d // 3]), rng.choice("ab"), risk, 1 - d * 0.05, 1 - (d % 3) * 0.1, 0.5, shown))
+        return spark.createDataFrame(out, IMPRESSION_SCHEMA)
+
+    def actions(days):
+        out = [(day0 + datetime.timedelta(days=d, hours=rng.randint(0, 23)), rng.choice("pq"), rng.choice(["repost", "report_post", "do_nothing"])) for d in days for _ in range(9)]
+        return spark.createDataFrame(out, "ts timestamp, run_id string, action string")
+
+    # steps 0 to 3 are closed when the third delivery comes: its day 1 is late, its day 6 is not
+    deliveries = [[0, 1, 3], [2, 5, 7], [6, 1, 11]]
+    on_time, counted = [], []
+    for k, days in enumerate(deliveries):
+        seen, acts = impressions(days).persist(), actions(days).persist()
+        seen.coalesce(1).write.parquet(str(tmp_path / "log" / str(k)))
+        acts.coalesce(1).write.parquet(str(tmp_path / "act" / str(k)))
+        keep = F.col("timestep") != 1 if k == 2 else F.lit(True)
+        on_time.append(seen.where(keep))
+        day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint")
+        counted.append(acts.withColumn("timestep", day).where(keep))
+
+        def stream(folder, schema):
+            return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / folder)).withWatermark("ts", "2 days")
+
+        state = governance_state_stream(stream("log", IMPRESSION_SCHEMA), stream("act", "ts timestamp, run_id string, action string"), window=3, communities=4, budget=1.2, origin="2024-01-01")
+        got = run_to_table(state, "s", str(tmp_path / "job-state")).collect()
+        decided = run_to_table(controller_stream(state, CONTROL), "c", str(tmp_path / "job-control")).collect()
+
+    log, trace = (functools.reduce(lambda a, b: a.unionByName(b), x) for x in (on_time, counted))
+    assert names == log.columns
+    costs = governance.cumulative_cost(log.select("run_id", "timestep", "omega_intra", "omega_inter").distinct())
+    want = {(r.run_id, r.timestep): r for r in governance.governance_state(log, trace, F.lit(4), window=3).collect()}
+    cost = {(r.run_id, r.timestep): r.cumulative_cost for r in costs.collect()}
+    closed = {(r.run_id, r.timestep): r for r in got if not r.late}
+    assert sorted(closed) == [(run, k) for run in "pq" for k in range(9)] and len(closed) == sum(not r.late for r in got)
+    spent = {"p": 0.0, "q": 0.0}
+    for key in sorted(closed, key=lambda x: x[1]):
+        a, b = closed[key], want[key]
+        for c in ("risk_adoption_rate", "community_coverage_ratio", "cross_community_exposure_ratio", "report_rate", "benign_exposure_loss", "recent_reposts"):
+            assert getattr(a, c) == pytest.approx(getattr(b, c)), (key, c)
+        spent[key[0]] = cost.get(key, spent[key[0]])
+        assert a.cumulative_cost == pytest.approx(spent[key[0]]) and a.remaining_budget == pytest.approx(max(0.0, 1.2 - spent[key[0]]))
+    late = sorted((r.run_id, r.timestep) for r in got if r.late)
+    assert set(late) <= {("p", 1), ("q", 1)} and ("q", 1) in late
+    assert [(r.run_id, r.timestep) for r in sorted(decided) if r.reason == LATE_STEP] == late
+    moved = {(r.run_id, r.timestep): r for r in decided if r.reason != LATE_STEP}
+    assert sorted(moved) == sorted(closed)
+    # the decisions equal those over the closed steps as one finished table
+    spark.createDataFrame([r for r in got if not r.late]).coalesce(1).write.parquet(str(tmp_path / "steps"))
+    table = spark.read.parquet(str(tmp_path / "steps"))
+    at_once = run_to_table(controller_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "steps")), CONTROL), "c").collect()
+    assert sorted(at_once) == sorted(moved.values())
