@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..functions.scalar import choice_action, choice_error, choice_target, mapped_action, trace_target, choice_id
@@ -177,45 +177,87 @@ def export_status(snapshots: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- reconstruction
 
 
+def _settle_reports(reports: DataFrame) -> DataFrame:
+    """The first report of each (user, post); nothing else stands against a report."""
+    first = reports.groupBy("user_id", "target_post_id").agg(F.min("rowid").alias("__first"))
+    found = reports.join(first, ["user_id", "target_post_id"], "left")
+    return found.where(F.coalesce("__first", "rowid") == F.col("rowid")).select(*reports.columns)
+
+
+def _first_by_slot(derivations: DataFrame) -> DataFrame:
+    """(user_id, slot, at): the earliest derivation of each post a user derived from."""
+    return derivations.where("slot is not null").groupBy("user_id", "slot").agg(F.min("rowid").alias("at"))
+
+
+def _follow(pointers: DataFrame) -> DataFrame:
+    """Pointer doubling: each row's pointer leads to the first decision that has none; ``odd``: an odd number of steps away."""
+    while True:
+        ahead = pointers.select(F.col("rowid").alias("via"), F.col("via").alias("to"), F.col("odd").alias("more"))
+        joined = cut(pointers.join(ahead, "via", "left"))
+        found = F.col("to").isNotNull()
+        pointers = joined.select("rowid", F.coalesce("to", "via").alias("via"), F.when(found, F.col("odd") != F.col("more")).otherwise(F.col("odd")).alias("odd"))
+        if joined.where(found).isEmpty():
+            return pointers
+
+
 def settle(decisions: DataFrame, kinds: DataFrame) -> DataFrame:
     """Decisions accepted when each is judged against the accepted ones before it.
 
     ``decisions``: rowid, user_id, action, target_post_id, created_parent (parent of the
     post it created, NULL when none counts). A repost falls to an accepted earlier
     derivation of its target, or of the root of a pure repost; a report to an accepted
-    earlier report of the same post.
-
-    Two bounds close in on the answer. Judged against too many decisions too few pass,
-    judged against too few too many do; each round feeds one bound into the other.
-    Each round settles at least the next decision of every chain of dependent decisions, so
-    the bounds meet at the latest after as many rounds as the longest chain has, usually
-    after two.
+    earlier report of the same post; nothing else falls.
+
+    A round looks at the open reposts. One falls if a derivation accepted already stands before
+    it; it is accepted if no open repost could derive its posts before it; and if exactly one
+    could, its fate is the opposite of that one's. These opposites form chains, which pointer doubling
+    follows to a settled end: a chain of any length takes one round and the logarithm of its
+    length in joins. Only a repost with two or more open ones before it waits for the next
+    round, so there are as many rounds as such reposts depend on each other.
     """
-    rows = lookup(decisions, kinds.select(F.col("post_id").alias("target_post_id"), "root_post_id", "is_repost"), "target_post_id", "left")
-    rows = cut(rows)
-
-    def passing(against: DataFrame) -> DataFrame:
-        derived = against.where("created_parent is not null").groupBy("user_id", "created_parent").agg(F.min("rowid").alias("f"))
-        reported = against.where("action = 'report'").groupBy("user_id", "target_post_id").agg(F.min("rowid").alias("r"))
-        out = rows.join(derived.select("user_id", F.col("created_parent").alias("target_post_id"), F.col("f").alias("own")), ["user_id", "target_post_id"], "left")
-        out = out.join(derived.select("user_id", F.col("created_parent").alias("root_post_id"), F.col("f").alias("root_first")), ["user_id", "root_post_id"], "left")
-        out = out.join(reported, ["user_id", "target_post_id"], "left")
+    keep = decisions.columns
+    is_repost = F.col("action") == "repost"
+    reposts = lookup(
+        decisions.where(is_repost), kinds.select(F.col("post_id").alias("target_post_id"), "root_post_id", "is_repost"), "target_post_id", "left"
+    )
+    root = F.when(F.col("is_repost") & (F.col("root_post_id") != F.col("target_post_id")), F.col("root_post_id"))
+    open_ = cut(reposts.select(*keep, root.alias("__root")))
+    others = cut(
+        decisions.where(~is_repost & (F.col("action") != "report")).unionByName(_settle_reports(decisions.where("action = 'report'")))
+        .unionByName(decisions.where("action is null"))
+    )
+    accepted = others
+    first = cut(_first_by_slot(others.select("user_id", F.col("created_parent").alias("slot"), "rowid")))
+    while not open_.isEmpty():
+        # the two earliest open reposts of each post tell whether a later one has none, one or more before it
+        earliest = W.partitionBy("user_id", "created_parent").orderBy("rowid")
+        two = open_.where("created_parent is not null").select("user_id", "created_parent", "rowid").withColumn("__r", F.row_number().over(earliest)).where("__r <= 2")
+        two = cut(two.groupBy("user_id", F.col("created_parent").alias("slot")).agg(F.min("rowid").alias("one"), F.max(F.when(F.col("__r") == 2, F.col("rowid"))).alias("two")))
+        rows = open_
+        for name, post in (("t", "target_post_id"), ("r", "__root")):
+            rows = rows.join(first.select("user_id", F.col("slot").alias(post), F.col("at").alias(f"at_{name}")), ["user_id", post], "left")
+            rows = rows.join(two.select("user_id", F.col("slot").alias(post), F.col("one").alias(f"one_{name}"), F.col("two").alias(f"two_{name}")), ["user_id", post], "left")
 
         def before(c: str) -> Column:
             return F.coalesce(F.col(c) < F.col("rowid"), F.lit(False))
 
-        blocked = ((F.col("action") == "repost") & (before("own") | (F.coalesce("is_repost", F.lit(False)) & before("root_first")))) | (
-            (F.col("action") == "report") & before("r")
-        )
-        return cut(out.where(~blocked).select(*rows.columns))
-
-    most = rows
-    while True:
-        least = passing(most)
-        wider = passing(least)
-        if wider.count() == least.count():
-            return least.select(*decisions.columns)
-        most = wider
+        waits = sum((before(c).cast("int") for c in ("one_t", "two_t", "one_r", "two_r")), F.lit(0))
+        verdict = F.when(before("at_t") | before("at_r"), "falls").when(waits == 0, "stands").when(waits == 1, "opposite").otherwise("waits")
+        via = F.when(before("one_t"), F.col("one_t")).otherwise(F.col("one_r"))
+        rows = cut(rows.select(*keep, "__root", verdict.alias("__verdict"), via.alias("__via")))
+        chained = rows.where("__verdict = 'opposite'").select("rowid", F.col("__via").alias("via"), F.lit(True).alias("odd"))
+        if not chained.isEmpty():
+            ends = rows.where("__verdict <> 'opposite'").select(F.col("rowid").alias("via"), F.col("__verdict").alias("end"))
+            fate = _follow(chained).join(ends, "via")
+            stands = (F.col("end") == "stands") != F.col("odd")
+            fate = fate.select("rowid", F.when(F.col("end") == "waits", "waits").when(stands, "stands").otherwise("falls").alias("__fate"))
+            rows = cut(rows.join(fate, "rowid", "left").withColumn("__verdict", F.coalesce("__fate", "__verdict")).drop("__fate"))
+        new = rows.where("__verdict = 'stands'").select(*keep)
+        accepted = accepted.unionByName(new)
+        made = new.select("user_id", F.col("created_parent").alias("slot"), "rowid")
+        first = cut(first.withColumnRenamed("at", "rowid").unionByName(made).groupBy("user_id", "slot").agg(F.min("rowid").alias("at")).where("slot is not null"))
+        open_ = cut(rows.where("__verdict = 'waits'").select(*keep, "__root"))
+    return accepted.select(*keep)
 
 
 def reconstruct_legacy(

@@ -164,12 +164,54 @@ def test_adoption_starts_from_the_log(spark, rows_of):
     assert rows_of(graph.predicted_against_observed(predicted, roots)) == [(10, 2, 1, 1)]
 
 
-def test_long_dependency_chain_settles(spark, rows_of):
-    """Each repost falls to the derivation the one before it made; 160 in a row alternate."""
-    data = [(i, 1, "repost", i, i + 1) for i in range(160)]
-    df = spark.createDataFrame(data, "rowid bigint, user_id bigint, action string, target_post_id bigint, created_parent bigint")
-    kinds = spark.createDataFrame([(i, i, False) for i in range(162)], "post_id bigint, root_post_id bigint, is_repost boolean")
-    assert rows_of(dataset.settle(df, kinds), "rowid") == [(i,) for i in range(0, 160, 2)]
+def settled_in_order(data, kinds):
+    derived, reported, out = set(), set(), []
+    for rowid, user, action, target, parent in data:
+        targets = {target} | ({kinds[target][0]} if target in kinds and kinds[target][1] else set())
+        if action == "repost" and any((user, x) in derived for x in targets if x is not None):
+            continue
+        if action == "report" and target is not None and (user, target) in reported:
+            continue
+        out.append((rowid,))
+        if parent is not None:
+            derived.add((user, parent))
+        if action == "report":
+            reported.add((user, target))
+    return out
+
+
+DECISIONS = "rowid bigint, user_id bigint, action string, target_post_id bigint, created_parent bigint"
+KINDS = "post_id bigint, root_post_id bigint, is_repost boolean"
+
+
+def test_long_dependency_chain_settles(spark, rows_of, monkeypatch):
+    """Each repost falls to the derivation the one before it made; 10,000 in a row alternate, beside a hot post that everyone reposts again."""
+    n = 10_000
+    data = [(i, 1, "repost", i, i + 1) for i in range(n)] + [(n + i, 2, "repost", 7, 7) for i in range(3000)]
+    kinds = spark.createDataFrame([(i, i, False) for i in range(n + 2)], KINDS)
+    joins = []
+    inner = dataset.cut
+    monkeypatch.setattr(dataset, "cut", lambda df: (joins.append(1), inner(df))[1])
+    found = rows_of(dataset.settle(spark.createDataFrame(data, DECISIONS), kinds), "rowid")
+    assert found == [(i,) for i in range(0, n, 2)] + [(n,)]
+    # fourteen doublings and the fixed steps of at most two rounds
+    assert len(joins) <= 30
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_settle_random_dependencies(spark, rows_of, seed):
+    """Reposts that derive from any post, so that several open ones stand before another."""
+    rng = random.Random(seed)
+    kinds = {p: (rng.randrange(1, 9), rng.random() < 0.5) for p in range(1, 16)}
+    data = []
+    for i in range(260):
+        action = rng.choice(["repost"] * 6 + ["quote", "report", "ignore"])
+        target = None if action == "ignore" or rng.random() < 0.03 else rng.randrange(1, 18)
+        parent = rng.choice([target, rng.randrange(1, 18), None]) if action in ("repost", "quote") else None
+        data.append((i, rng.randrange(3), action, target, parent))
+    df = spark.createDataFrame(data, DECISIONS).repartition(3)
+    kind_df = spark.createDataFrame([(p, r, k) for p, (r, k) in kinds.items()], KINDS)
+    assert rows_of(dataset.settle(df, kind_df), "rowid") == settled_in_order(data, kinds)
 
 
 def test_late_step_is_reported():
