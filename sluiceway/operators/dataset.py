@@ -22,6 +22,8 @@ PROMPT_FIELDS = (
 RESULT_KEYS = ("new_post_id", "quoted_id", "reposted_id", "report_id")
 HISTORY_TOKEN = r"^trace-(\d+):[a-z_]+$"
 FAILURE_PATTERN = "^[a-z0-9_]{1,64}$"
+REJECTS = ("choice is not legal", "action trace does not exist", "action trace does not match", "failure category is not a stable name")
+NO_LONGER_PENDING = "decision is missing or no longer pending"
 PROVENANCES = ("decision_snapshot", "legacy_refresh_trace_reconstruction")
 NOT_UNIQUE = "legacy_refresh_match_is_not_unique"
 NO_LABEL = "teacher_sample_missing"
@@ -76,11 +78,11 @@ def resolve_lifecycle(pending: DataFrame, outcomes: DataFrame, trace: DataFrame)
     won, lost = F.col("outcome") == "succeeded", F.col("outcome") == "failed"
     reject = (
         F.when(F.col("outcomes") > 1, "more than one outcome")
-        .when(won & ~F.coalesce(F.array_contains("legal", F.col("choice")), F.lit(False)), "choice is not legal")
-        .when(won & F.col("trace_user").isNull(), "action trace does not exist")
+        .when(won & ~F.coalesce(F.array_contains("legal", F.col("choice")), F.lit(False)), REJECTS[0])
+        .when(won & F.col("trace_user").isNull(), REJECTS[1])
         .when(won & ((F.col("trace_user") != F.col("user_id")) | ~mapped_action("trace_action").eqNullSafe(choice_action("choice"))),
-              "action trace does not match")
-        .when(lost & ~F.coalesce(F.col("failure_category").rlike(FAILURE_PATTERN), F.lit(False)), "failure category is not a stable name")
+              REJECTS[2])
+        .when(lost & ~F.coalesce(F.col("failure_category").rlike(FAILURE_PATTERN), F.lit(False)), REJECTS[3])
     )
     rows = rows.withColumn("reject_reason", reject)
     status = F.when(F.col("outcome").isNull() | F.col("reject_reason").isNotNull(), "pending").otherwise(F.col("outcome"))

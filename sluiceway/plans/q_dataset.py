@@ -113,6 +113,18 @@ OUTCOMES = """SELECT decision_id, CASE WHEN s % 11 = 0 THEN 'failed' ELSE 'succe
   FROM (SELECT *, decision_sequence AS s FROM snapshots) WHERE s % 13 <> 0"""
 
 
+def outcomes_of(snapshots):
+    s = F.col("decision_sequence")
+    lost = s % 11 == 0
+    return snapshots.where(s % 13 != 0).select(
+        "decision_id",
+        F.when(lost, "failed").otherwise("succeeded").alias("outcome"),
+        F.when(lost, F.lit(None)).when(s % 31 == 0, "quote:77777").otherwise(F.col("selected_choice_id")).alias("choice"),
+        F.when(lost, F.lit(None)).when(s % 37 == 0, s + 1).when(s % 41 == 0, F.lit(-5).cast("bigint")).otherwise(s).alias("action_trace_rowid"),
+        F.when(~lost, F.lit(None)).when(s % 2 == 0, "timeout").otherwise("Timeout: host 1").alias("failure_category"),
+    )
+
+
 @query(
     "decision_lifecycle",
     """SELECT decision_id, user_id, CASE WHEN outcome IS NULL OR reject_reason IS NOT NULL THEN 'pending' ELSE outcome END AS status, reject_reason
@@ -126,16 +138,7 @@ OUTCOMES = """SELECT decision_id, CASE WHEN s % 11 = 0 THEN 'failed' ELSE 'succe
     outcomes=OUTCOMES,
 )
 def _(t: Logs):
-    s = F.col("decision_sequence")
-    lost = s % 11 == 0
-    outcomes = t.snapshots.where(s % 13 != 0).select(
-        "decision_id",
-        F.when(lost, "failed").otherwise("succeeded").alias("outcome"),
-        F.when(lost, F.lit(None)).when(s % 31 == 0, "quote:77777").otherwise(F.col("selected_choice_id")).alias("choice"),
-        F.when(lost, F.lit(None)).when(s % 37 == 0, s + 1).when(s % 41 == 0, F.lit(-5).cast("bigint")).otherwise(s).alias("action_trace_rowid"),
-        F.when(~lost, F.lit(None)).when(s % 2 == 0, "timeout").otherwise("Timeout: host 1").alias("failure_category"),
-    )
-    return dataset.resolve_lifecycle(t.snapshots.select("decision_id", "user_id", "legal"), outcomes, t.trace)
+    return dataset.resolve_lifecycle(t.snapshots.select("decision_id", "user_id", "legal"), outcomes_of(t.snapshots), t.trace)
 
 
 # ---- reconstruction -----------------------------------------------------

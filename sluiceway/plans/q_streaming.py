@@ -12,11 +12,13 @@ from ..streaming import (
     govern_stream,
     governance_state_stream,
     impression_stream,
+    lifecycle_stream,
     read_events,
     run_to_latest,
     run_to_table,
 )
 from ..streaming.jobs import IMPRESSION_SCHEMA
+from .q_dataset import OUTCOMES, outcomes_of
 from .q_governance import BUDGET, COSTS, OMEGAS, STATE, STATE_COLUMNS, WINDOW, omega_columns
 from .registry import query
 from .views import OMEGA_INTER, OMEGA_INTRA, SEED, Logs, second_post
@@ -131,6 +133,47 @@ def _(t: Logs):
     return rows.select("run_id", "timestep", "recent_reposts", *[F.round(n, 6).alias(n) for n in STATE_NAMES])
 
 
+# a decision is announced with its action and told after 90 minutes; it stays pending for 6 hours at most
+TOLD_MINUTES, TIMEOUT_HOURS, HORIZON_HOURS = 90, 6, 24
+
+
+@query(
+    "stream_decision_lifecycle",
+    f"""SELECT decision_id, user_id, status, reject_reason FROM (
+          SELECT *, CASE WHEN outcome IS NULL OR reject_reason IS NOT NULL THEN 'pending' ELSE outcome END AS status FROM judged)
+        WHERE status <> 'pending' OR announced + INTERVAL {TIMEOUT_HOURS} HOUR < (SELECT max(announced) - INTERVAL {DELAY_HOURS} HOUR FROM judged)""",
+    outcomes=OUTCOMES,
+    judged=f"""SELECT p.decision_id, p.user_id, a.ts AS announced, o.outcome, CASE
+         WHEN outcome = 'succeeded' AND NOT list_contains(p.legal, o.choice) THEN 'choice is not legal'
+         WHEN outcome = 'succeeded' AND t.rowid IS NULL THEN 'action trace does not exist'
+         WHEN outcome = 'succeeded' AND (t.user_id <> p.user_id OR CASE t.action WHEN 'repost' THEN 'repost' WHEN 'quote_post' THEN 'quote'
+           WHEN 'report_post' THEN 'report' WHEN 'do_nothing' THEN 'ignore' END IS DISTINCT FROM split_part(o.choice, ':', 1)) THEN 'action trace does not match'
+         WHEN outcome = 'failed' AND NOT regexp_matches(failure_category, '^[a-z0-9_]{{1,64}}$') THEN 'failure category is not a stable name' END AS reject_reason
+       FROM snapshots p JOIN trace0 a ON a.rowid = p.decision_sequence LEFT JOIN outcomes o ON o.decision_id = p.decision_id
+       LEFT JOIN trace0 t ON t.rowid = o.action_trace_rowid AND t.ts <= a.ts + INTERVAL {TOLD_MINUTES} MINUTE
+         AND t.ts >= a.ts + INTERVAL {TOLD_MINUTES} MINUTE - INTERVAL {HORIZON_HOURS} HOUR""",
+)
+def _(t: Logs):
+    """Decisions, outcomes and traces as three streams, in deliveries by the day they happened."""
+    folder = new_folder(t.spark, "stream/lifecycle")
+    log = t.trace.withColumn("ts", F.col("ts").cast("timestamp"))
+    when = log.select(F.col("rowid").alias("decision_sequence"), "ts")
+    pending = t.snapshots.join(when, "decision_sequence").select("ts", "decision_id", "user_id", "legal")
+    told = outcomes_of(t.snapshots).join(pending.select("decision_id", (F.col("ts") + F.expr(f"INTERVAL {TOLD_MINUTES} MINUTE")).alias("ts")), "decision_id")
+    sides = {"pending": pending, "outcomes": told, "trace": log.select("ts", "rowid", "user_id", "action")}
+    day = F.datediff(F.to_date("ts"), F.lit(ORIGIN).cast("date"))
+    for k in range(DELIVERIES):
+        first, last = k * 30 // DELIVERIES, (k + 1) * 30 // DELIVERIES
+        streams = {}
+        for name, rows in sides.items():
+            rows.where((day >= first) & ((day < last) if k < DELIVERIES - 1 else F.lit(True))).write.parquet(f"{folder}/{name}/{k}")
+            read = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{name}")
+            streams[name] = read.withWatermark("ts", f"{DELAY_HOURS} hour")
+        job = lifecycle_stream(streams["pending"], streams["outcomes"], streams["trace"], timeout_ms=TIMEOUT_HOURS * 3_600_000, horizon_ms=HORIZON_HOURS * 3_600_000)
+        rows = run_to_table(job, "lifecycle", f"{folder}/job")
+    return rows.where("final").select("decision_id", "user_id", "status", "reject_reason")
+
+
 @query("stream_decision_dedup", "SELECT rowid AS event_id, action FROM trace0 WHERE action <> 'refresh'")
 def _(t: Logs):
     """Every decision event arrives twice, once more with another attempt number."""

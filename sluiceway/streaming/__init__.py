@@ -11,6 +11,7 @@ from .jobs import (
     run_to_latest,
     run_to_table,
 )
+from .lifecycle import lifecycle_stream
 
 __all__ = [
     "controller_stream",
@@ -19,6 +20,7 @@ __all__ = [
     "govern_stream",
     "governance_state_stream",
     "impression_stream",
+    "lifecycle_stream",
     "read_events",
     "run_to_latest",
     "run_to_table",

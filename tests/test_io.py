@@ -8,10 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.operators import exposure, governance
+from sluiceway.operators import dataset, exposure, governance
 from sluiceway.sources import readers, sinks
 from sluiceway.operators.governance import LATE_STEP
-from sluiceway.streaming import controller_stream, decision_dedup, govern_stream, governance_state_stream, run_to_table
+from sluiceway.streaming import controller_stream, decision_dedup, govern_stream, governance_state_stream, lifecycle_stream, run_to_table
 from sluiceway.streaming.jobs import IMPRESSION_SCHEMA
 
 
@@ -177,3 +177,45 @@ def test_state_and_controller_over_deliveries(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "steps"))
     at_once = run_to_table(controller_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "steps")), CONTROL), "c").collect()
     assert sorted(at_once) == sorted(moved.values())
+
+
+def test_lifecycle_stream_equals_the_batch(spark, tmp_path):
+    """Outcomes before their decision, twice, too late and unannounced; the job restarts between deliveries."""
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda hours: start + datetime.timedelta(hours=hours)
+    schemas = {
+        "pending": "ts timestamp, decision_id string, user_id bigint, legal array<string>",
+        "outcomes": "ts timestamp, decision_id string, outcome string, choice string, action_trace_rowid bigint, failure_category string",
+        "trace": "ts timestamp, rowid bigint, user_id bigint, action string",
+    }
+    legal = ["ignore", "repost:1"]
+    pending = [(at(1), f"d{i}", i, legal) for i in range(10)] + [(at(1), "d0", 0, legal), (at(50), "end", 99, legal)]
+    trace = [(at(1), 100 + i, i, "repost") for i in range(7)] + [(at(40), 109, 9, "repost"), (at(50), 999, 99, "repost")]
+    won = lambda h, d, row, choice="repost:1": (at(h), d, "succeeded", choice, row, None)
+    told = [
+        won(2, "d0", 100), won(2, "d0", 100), won(2, "d1", 101, "quote:1"), won(2, "d2", 103), won(2, "d3", 555),
+        (at(2), "d4", "failed", None, None, "timeout"), (at(2), "d5", "failed", None, None, "Host 1"),
+        won(2, "d6", 106), (at(3), "d6", "failed", None, None, "late_one"),  # the first outcome decides
+        won(2, "d9", 109),  # its trace comes a day later than the outcome
+        won(2, "nobody", 100), won(50, "end", 999),
+    ]  # d7 and d8 are never told
+    late = [won(30, "d7", 106)]
+    # the outcomes of a delivery come before the decisions they belong to
+    deliveries = [{"outcomes": told[:11], "pending": pending[:2] + pending[10:11], "trace": trace[:7]}, {"pending": pending[2:10]}, {"outcomes": told[11:] + late, "pending": pending[11:], "trace": trace[7:]}, {}]
+    for k, delivery in enumerate(deliveries):
+        for name, schema in schemas.items():
+            spark.createDataFrame(delivery.get(name, []), schema).coalesce(1).write.parquet(str(tmp_path / name / str(k)))
+        s = {n: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / n)).withWatermark("ts", "3 hours") for n, schema in schemas.items()}
+        out = run_to_table(lifecycle_stream(s["pending"], s["outcomes"], s["trace"], timeout_ms=24 * 3_600_000, horizon_ms=24 * 3_600_000), "l", str(tmp_path / "job")).collect()
+    final = sorted((r.decision_id, r.status, r.reject_reason) for r in out if r.final)
+    once = [o for o in told if o[1] not in ("d0", "d6", "d9", "nobody")] + [told[0], told[7]]
+    batch = dataset.resolve_lifecycle(
+        spark.createDataFrame(pending[:10] + pending[11:], schemas["pending"]).drop("ts"), spark.createDataFrame(once, schemas["outcomes"]).drop("ts"),
+        spark.createDataFrame(trace, schemas["trace"]).drop("ts"),
+    ).collect()
+    want = {r.decision_id: (r.decision_id, r.status, r.reject_reason) for r in batch}
+    want["d9"] = ("d9", "pending", "action trace does not exist")
+    assert final == sorted(want.values())
+    assert ("d6", "succeeded", None) in final and ("d7", "pending", None) in final
+    gone = sorted(r.decision_id for r in out if r.reject_reason == dataset.NO_LONGER_PENDING)
+    assert gone == ["d0", "d6", "d7", "nobody"] or gone == ["d0", "d6", "nobody"]
