@@ -165,5 +165,14 @@ def canonical_json(**fields) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
+def canonical_text(raw) -> Column:
+    """A JSON text of any depth in one spelling: keys sorted at every level, no blanks, numbers by value.
+
+    Null and empty text count as an empty object. What is no JSON, or names a key twice, stays as it is.
+    """
+    text = _c(raw)
+    return F.when(text.isNull() | (text == ""), F.lit("{}")).otherwise(F.coalesce(F.to_json(F.try_parse_json(text)), text))
+
+
 def canonical_hash(**fields) -> Column:
     return F.sha2(canonical_json(**fields), 256)

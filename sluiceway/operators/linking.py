@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordered import first_items, next_value, prefix_scan, trailing_list
+from ..functions.scalar import canonical_text
 from ..functions.skew import lookup
 
 REFRESH = "refresh"
@@ -115,9 +116,13 @@ def trace_label_diff(actions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def duplicate_actions(trace: DataFrame) -> DataFrame:
-    """Identical (user, time, action, info) rows: one row per group, of any size."""
+    """Identical (user, time, action, info) rows: one row per group, of any size.
+
+    Two infos are the same if their JSON says the same, in whatever order and spacing; the canonical text is returned.
+    """
     return (
         trace.where(F.col("action") != REFRESH)
+        .withColumn("info", canonical_text("info"))
         .groupBy("user_id", "timestep", "action", "info")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("rowid").alias("first_rowid"), F.max("rowid").alias("last_rowid"))
         .where("copies > 1")

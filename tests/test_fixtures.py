@@ -1,6 +1,8 @@
 """Small tables with known answers."""
 
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -405,3 +407,31 @@ def test_lifecycle(spark):
     assert out["d0"] == ("succeeded", None) and out["d3"] == ("failed", None)
     assert {k: v[0] for k, v in out.items() if k in ("d1", "d2", "d4", "d5")} == dict.fromkeys(("d1", "d2", "d4", "d5"), "pending")
     assert out["d5"][1] == "more than one outcome"
+
+
+def test_canonical_text_of_any_depth(spark):
+    """Equal to a key-sorted compact print, whatever the spelling; numbers count by value."""
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 6:
+            return {rng.choice(["b", "a", "Z", "é", "aa", "_", "k 1", "漢"]): value(depth - 1) for _ in range(rng.randrange(5))}
+        return [None, True, rng.randrange(-9, 10**12), rng.choice(["", 'q"\\\\', "é\\n\\t\\x01/", "漢"]), False][kind]
+
+    objects = [{"k": value(4), "a": value(3)} for _ in range(200)]
+    rows = []
+    for i, o in enumerate(objects):
+        shuffled = dict(sorted(o.items(), key=lambda kv: rng.random()))
+        rows.append((i, json.dumps(shuffled, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5), json.dumps(o, ensure_ascii=False, sort_keys=True, separators=(",", ":"))))
+    rows += [(900, None, "{}"), (901, "", "{}"), (902, "{bad", "{bad"), (903, '{"a":1,"a":2}', '{"a":1,"a":2}'), (904, '{"a":1.0}', '{"a":1}')]
+    df = spark.createDataFrame(rows, "id int, raw string, want string")
+    assert df.where(~sc.canonical_text("raw").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_duplicates_in_other_spellings(spark, rows_of):
+    data = [(1, 7, 0, "repost", '{"a":1,"b":2}'), (2, 7, 0, "repost", '{ "b":2, "a":1}'), (3, 7, 0, "repost", '{"a":1,"b":3}'), (4, 7, 0, "do_nothing", None), (5, 7, 0, "do_nothing", "{}")]
+    trace = spark.createDataFrame(data, "rowid bigint, user_id bigint, timestep bigint, action string, info string")
+    assert rows_of(linking.duplicate_actions(trace), "action", "info", "copies", "first_rowid") == [("do_nothing", "{}", 2, 4), ("repost", '{"a":1,"b":2}', 2, 1)]
