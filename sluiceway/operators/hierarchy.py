@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.skew import lookup
+from ..functions.skew import is_small, lookup
 from ..session import cut
 
+CYCLE = "cycle"
 
-def resolve_chains(posts: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """Pointer doubling over parent links.
 
-    Returns (post_id, user_id, root_post_id, depth, error). Every round halves the
-    remaining distance, so log2(depth) rounds suffice; rows already at a root leave
-    the working set. A chain of any depth has ancestors at every smaller depth, so while
-    a chain is open each round resolves some row: a round that resolves none leaves
-    only rows on, or leading into, a cycle.
-    """
-    nodes = posts.select("post_id", "user_id", F.col("original_post_id").alias("parent"))
-    # (post_id -> ptr, hops); a root points at itself
-    jump = nodes.select(
+def _pointers(posts: DataFrame) -> DataFrame:
+    """(post_id, user_id, ptr, hops, done, error): each post points at its parent, a root at itself."""
+    parent = F.col("original_post_id")
+    return posts.select(
         "post_id",
         "user_id",
-        F.coalesce("parent", "post_id").alias("ptr"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
-        F.col("parent").isNull().alias("done"),
+        F.coalesce(parent, "post_id").alias("ptr"),
+        F.when(parent.isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
+        parent.isNull().alias("done"),
         F.lit(None).cast("string").alias("error"),
     )
+
+
+def _double(jump: DataFrame, limit: int | None) -> DataFrame:
+    """Pointer doubling: (post_id, user_id, ptr, hops, error), ``ptr`` the root or the absent post a chain ends at.
+
+    Every round halves the remaining distance, so log2(depth) rounds suffice; rows already at
+    a root leave the working set. A chain of any depth has ancestors at every smaller depth, so while
+    a chain is open each round resolves some row: a round that resolves none leaves
+    only rows on, or leading into, a cycle.
+    """
     jump = cut(jump)
     finished = jump.where("done")
     open_rows = jump.where("not done")
@@ -58,14 +62,56 @@ def resolve_chains(posts: DataFrame, *, limit: int | None = None) -> DataFrame:
         open_rows = stepped.where("not done")
         if open_rows.isEmpty() or resolved.isEmpty():
             break
-    cyclic = open_rows.withColumn("error", F.lit("cycle"))
-    return finished.unionByName(cyclic).select(
-        "post_id",
-        "user_id",
-        F.when(F.col("error").isNull(), F.col("ptr")).alias("root_post_id"),
-        F.when(F.col("error").isNull(), F.col("hops")).alias("depth"),
-        "error",
+    return finished.unionByName(open_rows.withColumn("error", F.lit(CYCLE))).drop("done")
+
+
+def resolve_chains(posts: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Pointer doubling over parent links: (post_id, user_id, root_post_id, depth, error)."""
+    sound = F.col("error").isNull()
+    return _double(_pointers(posts), limit).select(
+        "post_id", "user_id", F.when(sound, F.col("ptr")).alias("root_post_id"), F.when(sound, F.col("hops")).alias("depth"), "error"
+    )
+
+
+def _asked(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of a large table with one of a few keys."""
+    wanted = ids.select(F.col("ptr").alias(key)).distinct()
+    return table.join(F.broadcast(wanted) if is_small(wanted) else wanted, key, "left_semi")
+
+
+def extend_forest(rooted: DataFrame, waiting: DataFrame, batch: DataFrame, *, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """New posts against the roots known so far: (newly rooted, all that wait now).
+
+    ``rooted``: post_id, user_id, root_post_id, root_author_id, depth; a row never changes.
+    ``waiting``: post_id, user_id, ptr, hops, error; posts whose chain ends at an absent post ``ptr``,
+    ``hops`` above them, or in a cycle. ``batch``: post_id, user_id, original_post_id, none of
+    them known before.
+
+    Posts that wait for one of the batch are opened again, from where their chain ended; all
+    other rows are left alone. Of ``rooted`` only the rows that the batch points at are looked up.
+    """
+    here = cut(_pointers(batch))
+    arrived = here.select(F.col("post_id").alias("ptr"))
+    again = waiting.where(f"error <> '{CYCLE}'").join(arrived, "ptr", "left_semi").select(
+        "post_id", "user_id", "ptr", "hops", F.lit(False).alias("done"), F.lit(None).cast("string").alias("error")
+    )
+    met = cut(_double(here.unionByName(again), limit))
+    inside = with_root_author(
+        met.where("error is null").select("post_id", "user_id", F.col("ptr").alias("root_post_id"), F.col("hops").alias("depth")), met.where("hops = 0"), limit=limit
+    )
+    # chains that leave the batch end at a post known before, or at one that is still absent
+    leaving = met.where(F.col("error").isNotNull() & (F.col("error") != CYCLE))
+    known = _asked(rooted, leaving, "post_id").select(F.col("post_id").alias("ptr"), "root_post_id", "root_author_id", F.col("depth").alias("more"))
+    halted = _asked(waiting, leaving, "post_id").select(F.col("post_id").alias("ptr"), F.col("ptr").alias("next"), F.col("hops").alias("next_hops"), F.col("error").alias("next_error"))
+    ended = cut(leaving.join(known, "ptr", "left").join(halted, "ptr", "left"))
+    through = ended.where("root_post_id is not null").select("post_id", "user_id", "root_post_id", "root_author_id", (F.col("hops") + F.col("more")).alias("depth"))
+    still = ended.where("root_post_id is null").select(
+        "post_id", "user_id", F.coalesce("next", "ptr").alias("ptr"), (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"), F.coalesce("next_error", "error").alias("error")
     )
+    untouched = waiting.join(again.select("post_id"), "post_id", "left_anti")
+    circles = met.where(f"error = '{CYCLE}'")
+    columns = ["post_id", "user_id", "root_post_id", "root_author_id", "depth"]
+    return inside.select(*columns).unionByName(through.select(*columns)), untouched.unionByName(still).unionByName(circles.select(*untouched.columns))
 
 
 def post_roots(posts: DataFrame, *, limit: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from ..streaming import (
     impression_stream,
     lifecycle_stream,
     read_events,
+    roots_stream,
     run_to_latest,
     run_to_table,
 )
@@ -133,6 +134,18 @@ def _(t: Logs):
     return rows.select("run_id", "timestep", "recent_reposts", *[F.round(n, 6).alias(n) for n in STATE_NAMES])
 
 
+@query("stream_post_roots", "SELECT post_id, root_post_id, root_author_id, depth FROM roots")
+def _(t: Logs):
+    """Roots kept over deliveries in which many parents come after their descendants."""
+    folder = new_folder(t.spark, "stream/roots")
+    posts = t.post.select("post_id", "user_id", "original_post_id")
+    for k in range(3):
+        posts.where((F.col("post_id") * 7 + F.floor(F.col("post_id") / 50)) % 3 == k).write.parquet(f"{folder}/posts/{k}")
+        arriving = t.spark.readStream.schema(posts.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/posts")
+        rooted, _ = roots_stream(arriving, f"{folder}/sink")
+    return rooted.select("post_id", "root_post_id", "root_author_id", "depth")
+
+
 # a decision is announced with its action and told after 90 minutes; it stays pending for 6 hours at most
 TOLD_MINUTES, TIMEOUT_HOURS, HORIZON_HOURS = 90, 6, 24
 

@@ -8,6 +8,7 @@ from .jobs import (
     governance_state_stream,
     impression_stream,
     read_events,
+    roots_stream,
     run_to_latest,
     run_to_table,
 )
@@ -22,6 +23,7 @@ __all__ = [
     "impression_stream",
     "lifecycle_stream",
     "read_events",
+    "roots_stream",
     "run_to_latest",
     "run_to_table",
 ]

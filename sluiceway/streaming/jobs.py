@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.exposure import govern
+from ..operators.hierarchy import extend_forest
 from ..session import new_folder
 from .controller import CONTROLLER_OUTPUT, Controller
 from .panes import STATE_OUTPUT, StepStates, partial_panes
@@ -96,6 +97,45 @@ def govern_stream(
     query.awaitTermination()
 
 
+ROOTED = "post_id bigint, user_id bigint, root_post_id bigint, root_author_id bigint, depth bigint"
+WAITING = "post_id bigint, user_id bigint, ptr bigint, hops bigint, error string"
+
+
+def roots_stream(posts: DataFrame, sink: str) -> tuple[DataFrame, DataFrame]:
+    """Keep the roots of a stream of posts (post_id, user_id, original_post_id) under ``sink``: (rooted, waiting).
+
+    Each batch adds the rows it could root as one folder and writes anew those that wait for an
+    absent post, which are few. A batch that is replayed starts from the state of the batch
+    before it and is skipped once its folder is complete. Posts are expected once each.
+    """
+    spark = posts.sparkSession
+
+    def rooted_by(batches: list[int]) -> DataFrame:
+        return spark.read.schema(ROOTED).parquet(*[f"{sink}/rooted/batch={k}" for k in batches]) if batches else spark.createDataFrame([], ROOTED)
+
+    def done() -> list[int]:
+        found = []
+        while _exists(spark, f"{sink}/waiting/batch={len(found)}/_SUCCESS"):
+            found.append(len(found))
+        return found
+
+    def waits_after(batches: list[int]) -> DataFrame:
+        return spark.read.schema(WAITING).parquet(f"{sink}/waiting/batch={batches[-1]}") if batches else spark.createDataFrame([], WAITING)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if _exists(spark, f"{sink}/waiting/batch={batch_id}/_SUCCESS"):
+            return
+        before = list(range(batch_id))
+        new, waiting = extend_forest(rooted_by(before), waits_after(before), batch.select("post_id", "user_id", "original_post_id"))
+        new.write.mode("overwrite").parquet(f"{sink}/rooted/batch={batch_id}")
+        # the batch counts once this is complete
+        waiting.write.mode("overwrite").parquet(f"{sink}/waiting/batch={batch_id}")
+
+    query = posts.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rooted_by(done()), waits_after(done())
+
+
 def impression_stream(spark: SparkSession, sink: str, delay: str) -> DataFrame:
     """The impression log as a stream with a watermark on the refresh time."""
     return spark.readStream.schema(IMPRESSION_SCHEMA).parquet(f"{sink}/log").withWatermark("ts", delay)
