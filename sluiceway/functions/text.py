@@ -28,6 +28,12 @@ SAYS_HIGH = ("high-risk", "unverified", "risky")
 SAYS_LOW = ("verified benign", "benign update", "benign weather", "low-risk")
 SAYS_HIGH_STRICT = ("high-risk", "high‑risk", "unverified", "misinformation")
 SAYS_LOW_STRICT = ("verified benign", "benign weather")
+# {} stands for an action
+DECLARES = ("appropriate action is to {}", "appropriate action is {}", "action should be {}")
+OWN_POST = "own original post"
+POST_REFERENCE = r"(?:post\s*#?|repost:)\s*(\d+)"
+REPOST_REFERENCE = r"repost:\s*(\d+)"
+USER_REFERENCE = r"(?i)\buser[\s\u202f]+(\d+)\b"
 INTERNAL_TERMS = ("measured_mu", "paper_omega", "risk_score")
 INVALID = "__invalid__"
 # what Unicode counts as white space
@@ -108,32 +114,14 @@ def _features(text: Column, low: Column) -> Column:
     def numbers(pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("bigint"))
 
-    declared = F.filter(
-        F.array(
-            *[
-                F.when(
-                    contains_any(
-                        low,
-                        (
-                            f"appropriate action is to {a}",
-                            f"appropriate action is {a}",
-                            f"action should be {a}",
-                        ),
-                    ),
-                    F.lit(a),
-                )
-                for a in ACTIONS
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
+    declared = F.filter(F.array(*[F.when(contains_any(low, [d.format(a) for d in DECLARES]), F.lit(a)) for a in ACTIONS]), lambda x: x.isNotNull())
     return F.struct(
         (F.length(text) == 0).alias("empty"),
         ((F.length(text) > 0) & ((F.length(text) < 20) | (F.size(F.split(text, r"(?U)\s+")) < 4))).alias("too_short"),
         declared.alias("declared"),
-        F.array_sort(F.array_distinct(numbers(r"(?:post\s*#?|repost:)\s*(\d+)"))).alias("referenced"),
-        numbers(r"repost:\s*(\d+)").alias("reposts"),
-        F.contains(low, F.lit("own original post")).alias("own_post"),
+        F.array_sort(F.array_distinct(numbers(POST_REFERENCE))).alias("referenced"),
+        numbers(REPOST_REFERENCE).alias("reposts"),
+        F.contains(low, F.lit(OWN_POST)).alias("own_post"),
         _stance(low).alias("quote_stance"),
         contains_any(low, SAYS_HIGH).alias("says_high"),
         contains_any(low, SAYS_LOW).alias("says_low"),
@@ -178,7 +166,7 @@ def factual_reasons(action, risk, rationale, target_author) -> Column:
     """Sorted reasons why a rationale contradicts its target (strict variant)."""
     low, r = F.lower(_c(rationale)), _c(risk)
     users = F.transform(
-        F.regexp_extract_all(_c(rationale), F.lit(r"(?i)\buser[\s\u202f]+(\d+)\b"), F.lit(1)),
+        F.regexp_extract_all(_c(rationale), F.lit(USER_REFERENCE), F.lit(1)),
         lambda x: x.try_cast("bigint"),
     )
     hits = F.array(

@@ -56,6 +56,9 @@ def risk_crosscheck(impressions: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+# The names of categories and classes in the next two functions are fixed values.
+
+
 def ignore_category(buckets: Column) -> Column:
     has_high, has_low = F.array_contains(buckets, "high"), F.array_contains(buckets, "low")
     only_low = (F.size(buckets) > 0) & F.forall(buckets, lambda x: x == "low")
@@ -168,20 +171,19 @@ def action_distribution(samples: DataFrame) -> DataFrame:
     return counts.select(F.inline(pairs)).select("action", "count", ratio("count", "total").alias("proportion"))
 
 
-def action_crosstab(samples: DataFrame, by: str) -> DataFrame:
-    """Counts per action and value of ``by`` (risk bucket, relation or timestep), zeros included."""
-    if by == "risk_bucket":
-        value, values = F.when(F.col("target_post_id").isNull(), "not_applicable").otherwise(F.col("risk_bucket")), RISK_BUCKETS
-    elif by == "community_relation":
-        value, values = F.col("community_relation"), RELATIONS
-    else:
-        return samples.groupBy(F.col(by).cast("string").alias("value")).agg(
-            *[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS]
-        ).withColumn("dimension", F.lit(by))
-    counts = samples.groupBy(value.alias("value")).agg(*[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS])
-    axis = samples.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias("value"))
-    out = axis.join(counts, "value", "left")
-    return out.select("value", *[F.coalesce(a, F.lit(0)).alias(a) for a in ACTIONS], F.lit(by).alias("dimension"))
+def action_crosstabs(samples: DataFrame) -> DataFrame:
+    """All three tables in one pass: each sample is one row per table until it is counted, before the shuffle."""
+    bucket = F.when(F.col("target_post_id").isNull(), "not_applicable").otherwise(F.col("risk_bucket"))
+    values = {"risk_bucket": bucket, "community_relation": F.col("community_relation"), "timestep": F.col("timestep").cast("string")}
+    rows = samples.select("action", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in values.items()])))
+    counts = rows.groupBy("dimension", "value").agg(*[F.count_if(F.col("action") == a).alias(a) for a in ACTIONS])
+    named = {"risk_bucket": RISK_BUCKETS, "community_relation": RELATIONS}
+    # values that no sample has count zero; other values of these two are no part of the table
+    axis = samples.sparkSession.createDataFrame([(d, v) for d, vs in named.items() for v in vs], "dimension string, value string")
+    zero = axis.select("dimension", "value", *[F.lit(0).cast("long").alias(a) for a in ACTIONS], F.lit(True).alias("__axis"))
+    both = zero.unionByName(counts.withColumn("__axis", F.lit(False)))
+    out = both.groupBy("dimension", "value").agg(*[F.sum(a).alias(a) for a in ACTIONS], F.max("__axis").alias("__axis"))
+    return out.where(F.col("__axis") | (F.col("dimension") == "timestep")).select("value", *ACTIONS, "dimension")
 
 
 def classification_counts(samples: DataFrame) -> DataFrame:
@@ -315,6 +317,27 @@ def quality_summary(rows: DataFrame, strata: list[str]) -> DataFrame:
     )
 
 
+def backend_quality(rows: DataFrame, backends: DataFrame) -> DataFrame:
+    """Per backend: rates of the quality classes over its scored decisions, and its adverse actions.
+
+    ``rows``: backend, quality_class, action, root_post (low, intermediate or high risk). A backend of
+    ``backends`` without a scored decision has no rates; its counts are 0.
+    """
+    low, high = F.col("root_post") == "low", F.col("root_post") == "high"
+    per = rows.groupBy("backend").agg(
+        *[F.count_if(F.col("quality_class") == q).alias(q) for q in QUALITY_CLASSES],
+        F.count_if((F.col("action") == "repost") & high).alias("repost_high_risk_count"),
+        F.count_if((F.col("action") == "report") & low).alias("report_low_risk_count"),
+    )
+    counts = [*QUALITY_CLASSES, "repost_high_risk_count", "report_low_risk_count"]
+    out = backends.select("backend").distinct().join(per, "backend", "left").select("backend", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    scored = F.col("aligned") + F.col("acceptable") + F.col("concerning")
+    return out.select(
+        "backend", scored.alias("scored"), F.col("concerning").alias("concerning_count"),
+        *[ratio(q, scored).alias(f"{q}_rate") for q in QUALITY_CLASSES[:3]], "repost_high_risk_count", "report_low_risk_count",
+    )
+
+
 def shape_stats(decisions: DataFrame) -> DataFrame:
     """Legal-choice count and feed size for failed and succeeded decisions, as histograms and means."""
     shapes = decisions.select("status", F.size("legal").alias("legal_choices"), F.size("visible").alias("feed_size"))

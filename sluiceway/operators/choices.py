@@ -241,3 +241,16 @@ def semantic_metrics(checked: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(corrected & F.col("ends_well")).alias("corrections_succeeded"),
         F.count_if(corrected & ~F.col("ends_well")).alias("corrections_failed"),
     )
+
+
+def inconsistent_successes(decisions: DataFrame, checked: DataFrame) -> DataFrame:
+    """Per run: succeeded decisions, and those of them whose last response is not semantically consistent.
+
+    ``decisions``: decision_id, run_id, status. ``checked``: decision_id, attempt, failure (of
+    :func:`semantic_binding`). A success without any response on record counts as inconsistent.
+    """
+    last = checked.groupBy("decision_id").agg(F.max_by(F.col("failure").isNull(), "attempt").alias("consistent"))
+    done = decisions.where("status = 'succeeded'").select("decision_id", "run_id").join(last, "decision_id", "left")
+    return done.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("succeeded"), F.count_if(~F.coalesce("consistent", F.lit(False))).alias("semantic_inconsistent_successes")
+    )

@@ -119,8 +119,7 @@ _COUNTS = ", ".join(f"(count(*) FILTER (action = '{a}'))::BIGINT AS {a}" for a i
 )
 def _(t: Logs):
     s = samples(t).select("action", "target_post_id", "risk_bucket", "community_relation", "timestep")
-    out = audit.action_crosstab(s, "risk_bucket")
-    return out.unionByName(audit.action_crosstab(s, "community_relation")).unionByName(audit.action_crosstab(s, "timestep"))
+    return audit.action_crosstabs(s)
 
 
 @query(
@@ -308,6 +307,29 @@ def _(t: Logs):
     return out
 
 
+@query(
+    "backend_quality",
+    """SELECT b.backend, coalesce(scored, 0)::BIGINT AS scored, coalesce(concerning, 0)::BIGINT AS concerning_count,
+         round(aligned::DOUBLE / nullif(scored, 0), 6) AS aligned_rate, round(acceptable::DOUBLE / nullif(scored, 0), 6) AS acceptable_rate,
+         round(concerning::DOUBLE / nullif(scored, 0), 6) AS concerning_rate, coalesce(risky, 0)::BIGINT AS repost_high_risk_count,
+         coalesce(mild, 0)::BIGINT AS report_low_risk_count
+       FROM (SELECT DISTINCT run_id AS backend FROM snapshots UNION ALL SELECT 'idle') b LEFT JOIN (
+         SELECT split_part(decision_id, ':', 1) AS backend, count(*) FILTER (quality_class <> 'unscored') AS scored, count(*) FILTER (quality_class = 'aligned') AS aligned,
+           count(*) FILTER (quality_class = 'acceptable') AS acceptable, count(*) FILTER (quality_class = 'concerning') AS concerning,
+           count(*) FILTER (action = 'repost' AND root_kind = 'high') AS risky, count(*) FILTER (action = 'report' AND root_kind = 'low') AS mild
+         FROM rated GROUP BY 1) q ON q.backend = b.backend""",
+    **RUBRIC_SQL,
+)
+def _(t: Logs):
+    """Each run stands for the backend that decided in it; one backend decided nothing."""
+    rows = _rated(t).withColumn("backend", F.substring_index("decision_id", ":", 1))
+    backends = t.snapshots.select(F.col("run_id").alias("backend")).distinct().unionByName(t.spark.sql("SELECT 'idle' AS backend"))
+    out = audit.backend_quality(rows, backends)
+    for c in ("aligned_rate", "acceptable_rate", "concerning_rate"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
+
+
 @query(
     "shape_stats",
     """SELECT h.status, h.shape, h.size::INTEGER AS size, h.decisions, round(m.mean_size, 6) AS mean_size FROM (

@@ -415,6 +415,14 @@ CHECKED = """SELECT decision_id, run_id, attempt, CASE WHEN indexed_choice IS NU
       attempt = 2 AND right(r.decision_id, 6)::BIGINT % 3 = 0 AS fixed FROM responses r, (VALUES (1), (2)) v(attempt))"""
 
 
+def _attempts(t: Logs):
+    checked = choices.semantic_binding(_responses(t))
+    number = F.substring_index("decision_id", ":d", -1).cast("bigint")
+    tries = checked.select("decision_id", "failure", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    semantic = F.col("failure") != "invalid_choice_index"
+    return tries.withColumn("failure", F.when((F.col("attempt") == 2) & (number % 3 == 0) & semantic, F.lit(None)).otherwise(F.col("failure")))
+
+
 @query(
     "semantic_audit_metrics",
     """SELECT run_id, sum(a + b + c)::BIGINT AS semantic_failures, sum(a)::BIGINT AS choice_action_mismatch, sum(b)::BIGINT AS choice_target_mismatch,
@@ -428,9 +436,17 @@ CHECKED = """SELECT decision_id, run_id, attempt, CASE WHEN indexed_choice IS NU
     checked=CHECKED,
 )
 def _(t: Logs):
-    checked = choices.semantic_binding(_responses(t))
-    number = F.substring_index("decision_id", ":d", -1).cast("bigint")
-    tries = checked.select("decision_id", "failure", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
-    semantic = F.col("failure") != "invalid_choice_index"
-    tries = tries.withColumn("failure", F.when((F.col("attempt") == 2) & (number % 3 == 0) & semantic, F.lit(None)).otherwise(F.col("failure")))
-    return choices.semantic_metrics(tries.withColumn("run_id", F.substring_index("decision_id", ":", 1)), ["run_id"])
+    return choices.semantic_metrics(_attempts(t).withColumn("run_id", F.substring_index("decision_id", ":", 1)), ["run_id"])
+
+
+@query(
+    "semantic_inconsistent_successes",
+    """SELECT run_id, count(*)::BIGINT AS succeeded, (count(*) FILTER (NOT coalesce(ok, false)))::BIGINT AS semantic_inconsistent_successes
+       FROM snapshots s LEFT JOIN (SELECT decision_id, arg_max(failure IS NULL, attempt) AS ok FROM checked WHERE decision_id NOT LIKE '%7' GROUP BY 1) c
+         ON c.decision_id = s.decision_id WHERE s.status = 'succeeded' GROUP BY 1""",
+    responses=RESPONSES,
+    checked=CHECKED,
+)
+def _(t: Logs):
+    """Some successes have no response on record."""
+    return choices.inconsistent_successes(t.snapshots, _attempts(t).where("decision_id not like '%7'"))

@@ -217,39 +217,28 @@ def _(t: Logs):
     return dataset.unused_labels(_legacy_labels(t), _rebuilt(t))
 
 
-@query(
-    "label_source_errors",
-    """SELECT sample_id, unnest(list_filter([CASE WHEN sample_id IS NULL THEN 'sample id is missing' END,
-         CASE WHEN sample_id IS NOT NULL AND count(*) > 1 THEN 'sample id is not unique' END], lambda x: x IS NOT NULL)) AS error
-       FROM (SELECT CASE WHEN rowid % 301 = 0 THEN NULL ELSE 'trace-' || (rowid - CASE WHEN rowid % 97 = 0 THEN rowid % 5 ELSE 0 END) END AS sample_id FROM actions)
-       GROUP BY sample_id""",
-)
-def _(t: Logs):
-    r = F.col("rowid")
-    name = F.concat(F.lit("trace-"), (r - F.when(r % 97 == 0, r % 5).otherwise(0)).cast("string"))
-    rows = t.actions.select(F.when(r % 301 != 0, name).alias("sample_id"), F.lit("plain").alias("reason"))
-    return dataset.label_source_errors(rows)
+LABEL_SOURCE = """SELECT sample_id, unnest(list_filter([CASE WHEN sample_id IS NULL THEN 'sample id is missing' END,
+     CASE WHEN sample_id IS NOT NULL AND count(*) > 1 THEN 'sample id is not unique' END,
+     CASE WHEN count(*) FILTER (regexp_matches(reason, '(?i)(?:gsk_|sk-|hf_)[A-Za-z0-9_-]{12,}')) > 0 THEN 'credential-like pattern' END],
+     lambda x: x IS NOT NULL)) AS error
+   FROM (SELECT CASE WHEN decision_sequence % 301 = 0 THEN NULL
+   ELSE 'trace-' || (decision_sequence - CASE WHEN decision_sequence % 97 = 0 THEN decision_sequence % 5 ELSE 0 END) END AS sample_id,
+   rationale AS reason FROM dsnap)
+   GROUP BY sample_id"""
 
 
-@query(
-    "label_source_credentials",
-    """SELECT sample_id, unnest(list_filter([CASE WHEN sample_id IS NULL THEN 'sample id is missing' END,
-         CASE WHEN sample_id IS NOT NULL AND count(*) > 1 THEN 'sample id is not unique' END,
-         CASE WHEN count(*) FILTER (regexp_matches(reason, '(?i)(?:gsk_|sk-|hf_)[A-Za-z0-9_-]{12,}')) > 0 THEN 'credential-like pattern' END],
-         lambda x: x IS NOT NULL)) AS error
-       FROM (SELECT CASE WHEN decision_sequence % 301 = 0 THEN NULL
-           ELSE 'trace-' || (decision_sequence - CASE WHEN decision_sequence % 97 = 0 THEN decision_sequence % 5 ELSE 0 END) END AS sample_id,
-           rationale AS reason FROM dsnap)
-       GROUP BY sample_id""",
-    dsnap=DSNAP,
-)
-def _(t: Logs):
+def _label_source(t: Logs):
     s = F.col("decision_sequence")
     name = F.concat(F.lit("trace-"), (s - F.when(s % 97 == 0, s % 5).otherwise(0)).cast("string"))
     rows = dsnap(t).select(F.when(s % 301 != 0, name).alias("sample_id"), F.col("rationale").alias("reason"))
     return dataset.label_source_errors(rows)
 
 
+# the same check under both of its names
+for _name in ("label_source_errors", "label_source_credentials"):
+    query(_name, LABEL_SOURCE, dsnap=DSNAP)(_label_source)
+
+
 # ---- validation ---------------------------------------------------------
 # examples of all snapshots, sound or not, with further defects of their own
 EXAMPLES = f"""SELECT sample_id, decision_sequence AS seq, CASE WHEN decision_sequence % 107 <> 0 THEN decision_sequence END AS decision_sequence, action_trace_rowid,

@@ -18,13 +18,13 @@ RUNTIME_CONF = {
 }
 
 
-def build_session(app: str = "sluiceway", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "sluiceway", master: str | None = None, partitions: int | None = None, settings: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark import SparkConf
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -10,9 +11,9 @@ from sluiceway.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[8]", 8)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    # a running session refuses this setting, so it is given to the builder; a folder named by the defaults stays
+    folder = SparkConf().get("spark.checkpoint.dir", None) or str(tmp_path_factory.mktemp("shared"))
+    session = build_session("tests", "local[8]", 8, {"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -115,7 +115,16 @@ def test_dedup_and_controller_streams(spark, tmp_path):
 CONTROL = dict(interval=2, step=0.3, risk_target=0.1, cross_target=0.1, report_target=0.1, loss_limit=0.5, budget=1.2, omega_intra=1.0, omega_inter=1.0)
 
 
-def test_state_and_controller_over_deliveries(spark, tmp_path):
+@pytest.fixture
+def few_partitions(spark):
+    """Stateful jobs on small data: each partition keeps a state store of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_state_and_controller_over_deliveries(spark, tmp_path, few_partitions):
     """Days out of order inside the watermark give the batch result; a day that comes after its step was closed is late."""
     rng = random.Random(2)
     names = [f.split(" ")[0] for f in IMPRESSION_SCHEMA.split(", ")]
@@ -179,7 +188,7 @@ def test_state_and_controller_over_deliveries(spark, tmp_path):
     assert sorted(at_once) == sorted(moved.values())
 
 
-def test_lifecycle_stream_equals_the_batch(spark, tmp_path):
+def test_lifecycle_stream_equals_the_batch(spark, tmp_path, few_partitions):
     """Outcomes before their decision, twice, too late and unannounced; the job restarts between deliveries."""
     start = datetime.datetime(2024, 1, 1)
     at = lambda hours: start + datetime.timedelta(hours=hours)

@@ -198,7 +198,7 @@ def test_long_dependency_chain_settles(spark, rows_of, monkeypatch):
     assert len(joins) <= 30
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_settle_random_dependencies(spark, rows_of, seed):
     """Reposts that derive from any post, so that several open ones stand before another."""
     rng = random.Random(seed)
@@ -349,7 +349,7 @@ def test_states_equal_every_step(spark):
     assert len(states) == sum(1 for (u, root, k), r in held.items() if r.timestep == k)
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_forest_over_batches_equals_the_full_run(spark, rows_of, seed):
     """Parents that come late, never, or in a circle; after each batch the roots are those of all posts so far."""
     rng = random.Random(seed)
@@ -362,8 +362,8 @@ def test_forest_over_batches_equals_the_full_run(spark, rows_of, seed):
     rooted = spark.createDataFrame([], "post_id bigint, user_id bigint, root_post_id bigint, root_author_id bigint, depth bigint")
     waiting = spark.createDataFrame([], "post_id bigint, user_id bigint, ptr bigint, hops bigint, error string")
     so_far = []
-    for k in range(4):
-        rows = [(i, i % 7, parent[i]) for i in order[k * 37 : (k + 1) * 37]]
+    for k in range(3):
+        rows = [(i, i % 7, parent[i]) for i in order[k * 49 : (k + 1) * 49]]
         so_far += rows
         new, waiting = hierarchy.extend_forest(rooted, waiting, spark.createDataFrame(rows, schema))
         new, waiting = hierarchy.cut(new), hierarchy.cut(waiting)
