@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import extensions
 from ..operators import exposure
 from .registry import query
 from .views import OMEGA_INTER, OMEGA_INTRA, SEED, Logs
@@ -36,23 +37,38 @@ def _(t: Logs):
     return exposure.recommendation_sample(t.rec, K, SEED)
 
 
-@query(
-    "candidate_merge",
-    """SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY part, rank) - 1)::BIGINT AS position, post_id,
+MERGED = """SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY part, rank) - 1)::BIGINT AS position, post_id,
          base_score, source
        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, post_id ORDER BY part, rank) AS o FROM (
          SELECT user_id, post_id, 0 AS part, rank, base_score, 'recommendation' AS source FROM sampled
          UNION ALL SELECT user_id, post_id, 1, rank, num_likes::DOUBLE + 1.0::DOUBLE / (rank + 1), 'following' FROM following))
-       WHERE o = 1""",
-    following=FOLLOWING,
-    sampled=SAMPLED,
-)
+       WHERE o = 1"""
+
+
+@query("candidate_merge", MERGED, following=FOLLOWING, sampled=SAMPLED)
 def _(t: Logs):
     return exposure.merge_candidates(
         exposure.recommendation_sample(t.rec, K, SEED), exposure.following_topk(t.follow, t.post, K)
     )
 
 
+@query("generator_by_rows", MERGED, following=FOLLOWING, sampled=SAMPLED)
+def _(t: Logs):
+    """The same candidates from a table function, swapped in by its name."""
+    return extensions.call("generator", "merged_by_rows", rec=t.rec, follow=t.follow, posts=t.post, k=K, seed=SEED)
+
+
+@query(
+    "metrics_by_name",
+    """SELECT 'size' AS metric, root_post_id, count(*)::DOUBLE AS value FROM roots GROUP BY 2
+       UNION ALL SELECT 'depth', root_post_id, max(depth)::DOUBLE FROM roots GROUP BY 2
+       UNION ALL SELECT 'authors', root_post_id, count(DISTINCT user_id)::DOUBLE FROM roots GROUP BY 2""",
+)
+def _(t: Logs):
+    parts = [extensions.call("metric", n, posts=t.post, roots=t.roots).select(F.lit(n).alias("metric"), "root_post_id", "value") for n in ("size", "depth", "authors")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "joint_candidates",
     f"""SELECT user_id, position, post_id, 1.0::DOUBLE / (position + 1) AS base_score, source FROM (

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceway import extensions
 from sluiceway.functions import scalar as sc, text as tx
 from sluiceway.operators import audit, choices, dataset, evaluation, exposure, governance, graph, hierarchy, linking, reliability, stats, threshold
 
@@ -435,3 +436,40 @@ def test_duplicates_in_other_spellings(spark, rows_of):
     data = [(1, 7, 0, "repost", '{"a":1,"b":2}'), (2, 7, 0, "repost", '{ "b":2, "a":1}'), (3, 7, 0, "repost", '{"a":1,"b":3}'), (4, 7, 0, "do_nothing", None), (5, 7, 0, "do_nothing", "{}")]
     trace = spark.createDataFrame(data, "rowid bigint, user_id bigint, timestep bigint, action string, info string")
     assert rows_of(linking.duplicate_actions(trace), "action", "info", "copies", "first_rowid") == [("do_nothing", "{}", 2, 4), ("repost", '{"a":1,"b":2}', 2, 1)]
+
+
+def test_extensions_by_name(spark, rows_of):
+    rec = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 10)], "user_id bigint, post_id bigint")
+    posts = spark.createDataFrame([(10, 5, 3), (11, 5, 9), (12, 6, 1), (13, 6, 4)], "post_id bigint, user_id bigint, num_likes bigint")
+    given = dict(rec=rec, follow=arcs(spark, [(1, 5), (1, 6), (2, 6)]), posts=posts, k=3, seed=1)
+    built_in = rows_of(extensions.call("generator", "merged", **given))
+    assert built_in and rows_of(extensions.call("generator", "merged_by_rows", **given)) == built_in
+
+    class Newest:
+        """A deployment's own generator: the two newest posts of the pool."""
+
+        def __init__(self):
+            self.posts = []
+
+        def eval(self, row):
+            self.user = row["user_id"]
+            self.posts.append((row["post_id"], row["base_score"]))
+
+        def terminate(self):
+            for position, (post, score) in enumerate(sorted(self.posts, reverse=True)[:2]):
+                yield self.user, position, post, score, "own"
+
+    extensions.register_table_function("generator", "newest", Newest, extensions.ranked_pool, ["user_id"], ["part", "rank"])
+    own = rows_of(extensions.call("generator", "newest", **given), "user_id", "position", "post_id", "source")
+    assert own == [(1, 0, 13, "own"), (1, 1, 11, "own"), (2, 0, 13, "own"), (2, 1, 12, "own"), (3, 0, 10, "own")]
+    assert "newest" in extensions.names("generator")
+
+
+def test_extensions_are_checked(spark):
+    extensions.register("metric", "wrong", lambda **_: spark.range(1).select(F.col("id").alias("root_post_id"), F.lit("x").alias("value")))
+    with pytest.raises(TypeError, match="value is string, not double"):
+        extensions.call("metric", "wrong")
+    with pytest.raises(ValueError, match="no metric called nothing"):
+        extensions.call("metric", "nothing")
+    with pytest.raises(ValueError, match="no such kind"):
+        extensions.register("policy", "x", lambda: None)
