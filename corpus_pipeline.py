@@ -16,7 +16,7 @@ LANGUAGE_SHARE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that ``documents`` teaches; texts without letters and even mixtures of many languages go."""
     model = language.learn(table(spark, sf_dir, "documents"))
-    out = language.identify(docs, model)
+    out = language.identify(docs, model, with_spans=False)
     return out.where((F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import Recent
-from .common import fold, labelled_sample, once_per_worker, per_slice, whole_text
+from .common import fold, labelled_sample, once_per_worker, per_slice
 
 #: The training sample: texts of each language and characters of each text.
 SAMPLE_TEXTS = 400
@@ -158,8 +158,8 @@ class Labeller:
 
         self._chunks = Recent(look, 250_000)
 
-    def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int, int]]]]:
-        """Per text: language, its share of the letters, and spans (language, first word, words, letters)."""
+    def label(self, texts: list[str], with_spans: bool = True) -> list[tuple[str, float, list[tuple[str, int, int, int]]]]:
+        """Per text: language, its share of the letters, and, if asked for, spans (language, first word, words, letters)."""
         names, width = self.model.languages, len(self.model.languages)
         chunks = [t.split() for t in texts]
         lengths = np.array([len(c) for c in chunks], np.int64)
@@ -170,8 +170,8 @@ class Labeller:
         path = best_paths(rows[:, :width], lengths)
         text_of = np.repeat(np.arange(len(texts)), lengths)
         totals = np.bincount(text_of * width + path, letters, len(texts) * width).reshape(-1, width)
-        cuts = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (text_of[1:] != text_of[:-1])])
-        held, sizes = np.add.reduceat(letters, cuts), np.diff(np.r_[cuts, len(path)])
+        cuts = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (text_of[1:] != text_of[:-1])]) if with_spans else np.zeros(0, np.int64)
+        held, sizes = np.add.reduceat(letters, cuts) if with_spans else cuts, np.diff(np.r_[cuts, len(path)])
         starts = np.cumsum(lengths) - lengths
         spans: list[list] = [[] for _ in texts]
         for c, n, h in zip(cuts.tolist(), sizes.tolist(), held.tolist()):
@@ -194,24 +194,27 @@ def learn(documents: DataFrame, per_language: int = SAMPLE_TEXTS, chars: int = S
     return train(labelled_sample(documents.select("doc_id", "lang"), documents, "lang", per_language, chars))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``__lang_pred``, ``__score`` and ``__spans`` added.
+def identify(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
+    """All columns of ``docs`` with ``__lang_pred``, ``__score`` and, if asked for, ``__spans`` added.
 
     Null or empty texts and texts without a letter are ``und`` with score 0 and no span, as is
     every text when no language was learned. Ties go to the first language in order of name.
-    Repeated rows give repeated results; an empty table gives no rows. One narrow pass.
+    Repeated rows give repeated results; an empty table gives no rows. One narrow pass, to
+    which each text is sent once.
     """
-    columns, key = docs.columns, uuid.uuid4().hex
+    columns, key, at = docs.columns, uuid.uuid4().hex, docs.columns.index("text")
+    added = ["__lang_pred string", "__score double", *([f"__spans {SPANS}"] if with_spans else [])]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         own = once_per_worker(key, lambda: Labeller(model))
-        found = own.label(part.column(len(columns)).to_pylist())
-        spans = [[dict(zip(("lang", "first_word", "words", "letters"), s)) for s in spans] for _, _, spans in found]
-        new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _SPAN_TYPE)]
-        return pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*columns, "__lang_pred", "__score", "__spans"])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "__lang_pred string", "__score double", f"__spans {SPANS}"])
-    return docs.withColumn("__text", whole_text()).mapInArrow(per_slice(run, "__text", SLICE), schema)
+        found = own.label([t or "" for t in part.column(at).to_pylist()], with_spans)
+        new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+        if with_spans:
+            new.append(pa.array([[dict(zip(("lang", "first_word", "words", "letters"), s)) for s in spans] for _, _, spans in found], _SPAN_TYPE))
+        return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*columns, *[a.split(" ")[0] for a in added]])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *added])
+    return docs.mapInArrow(per_slice(run, "text", SLICE), schema)
 
 
 def predict(docs: DataFrame, documents: DataFrame) -> DataFrame:
