@@ -11,9 +11,11 @@ block, and pairs that cannot reach the threshold are discarded by bounds from th
    sends one row to its block, so a passage that everybody has does not fill a block.
 3. Each row of what is left is first compared with the row it shares most columns with as
    the first of a column; that joins most near copies at once.
-4. Only between different components the product is formed: overlap counts of pairs are
-   accumulated, and a pair goes on only if count and sizes can still reach the threshold.
-   Survivors are decided on their whole sets.
+4. Only between different components the product is formed. Each set carries a parity map of
+   fixed size; where two maps differ, one of the sets has an n-gram that the other lacks, so
+   sizes and maps bound the intersection, and pairs beyond the bound make no row. Overlap
+   counts of the others are accumulated, and a pair goes on only if count and sizes can
+   still reach the threshold. Survivors are decided on their whole sets.
 
 Nothing is capped: a pair that is not formed is joined already or provably too far apart.
 """
@@ -50,6 +52,9 @@ PACK_ROWS = 50_000
 SLICE, TEXT_ROWS, KEPT_WORDS = 2 << 20, 1000, 120_000
 #: Pairs with their sets handed to Python at once.
 PAIR_ROWS = 500
+#: 64-bit words of the parity map of a set.
+MAP_WORDS = 16
+MAPS = [f"map{k}" for k in range(MAP_WORDS)]
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 62, WORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,6 +97,12 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """For each residue of the hashes whether an odd number of them has it, as MAP_WORDS 64-bit words."""
+    odd = np.bincount((h % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
 
@@ -145,16 +156,16 @@ def needed(n):
     return -(-PERCENT * n // 100)
 
 
-LEADING = "kind int, block int, doc_id long, n int, s long, g binary, ss binary, ns binary, shared binary"
+LEADING = "kind int, block int, doc_id long, n int, s long, g binary, ss binary, ns binary, places binary, shared binary, maps binary"
+
+LEADING_NAMES = [c.split()[0] for c in LEADING.split(", ")]
 
 
-def _packed(kind: int, block: list[int], g, s, n, shared) -> pa.RecordBatch:
+def _packed(kind: int, block: list[int], g, s, n, place, shared) -> pa.RecordBatch:
     m = len(block)
     none = pa.nulls(m, pa.int64())
-    return pa.record_batch(
-        [pa.array([kind] * m, pa.int32()), pa.array(block, pa.int32()), none, pa.nulls(m, pa.int32()), none, *[pa.array([x.tobytes() for x in col], pa.binary()) for col in (g, s, n, shared)]],
-        names=["kind", "block", "doc_id", "n", "s", "g", "ss", "ns", "shared"],
-    )
+    lists = [pa.array([x.tobytes() for x in col], pa.binary()) for col in (g, s, n, place, shared)]
+    return pa.record_batch([pa.array([kind] * m, pa.int32()), pa.array(block, pa.int32()), none, pa.nulls(m, pa.int32()), none, *lists, pa.nulls(m, pa.binary())], names=LEADING_NAMES)
 
 
 def leading(docs: DataFrame, classes: bytes, blocks: int) -> DataFrame:
@@ -163,7 +174,7 @@ def leading(docs: DataFrame, classes: bytes, blocks: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(classes, np.uint8)
-        gs, ss, ns = [], [], []
+        gs, ss, ns, ps = [], [], [], []
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -174,10 +185,8 @@ def leading(docs: DataFrame, classes: bytes, blocks: int) -> DataFrame:
                 m = len(sets)
                 empty = pa.nulls(m, pa.binary())
                 spread = (own.view(np.uint64) % np.uint64(blocks)).astype(np.int32)
-                yield pa.record_batch(
-                    [pa.array(np.zeros(m, np.int32)), pa.array(spread), ids, pa.array(sizes), pa.array(own), empty, empty, empty, empty],
-                    names=["kind", "block", "doc_id", "n", "s", "g", "ss", "ns", "shared"],
-                )
+                maps = pa.array([parity_map(h).tobytes() for h in sets], pa.binary())
+                yield pa.record_batch([pa.array(np.zeros(m, np.int32)), pa.array(spread), ids, pa.array(sizes), pa.array(own), *[empty] * 5, maps], names=LEADING_NAMES)
                 for h, s, n in zip(sets, own.tolist(), sizes.tolist()):
                     if n and (s, n) not in seen:
                         seen.add((s, n))
@@ -186,20 +195,21 @@ def leading(docs: DataFrame, classes: bytes, blocks: int) -> DataFrame:
                         gs.append(h[rare_first[:lead]])
                         ss.append(np.full(lead, s, np.int64))
                         ns.append(np.full(lead, n, np.int32))
+                        ps.append(np.arange(lead, dtype=np.int32))
         if not gs:
             return
-        g, s, n = np.concatenate(gs), np.concatenate(ss), np.concatenate(ns)
-        del gs, ss, ns
+        g, s, n, place = np.concatenate(gs), np.concatenate(ss), np.concatenate(ns), np.concatenate(ps)
+        del gs, ss, ns, ps
         order = np.argsort(g, kind="stable")
-        g, s, n = g[order], s[order], n[order]
+        g, s, n, place = g[order], s[order], n[order], place[order]
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         count = np.diff(np.r_[first, len(g)])
         many = np.repeat(count > 1, count)  # the sets of a task are different ones
         partition = TaskContext.get().partitionId()
         for i, at in enumerate(range(0, int(many.sum()), PACK_ROWS)):
             rows = np.flatnonzero(many)[at : at + PACK_ROWS]
-            yield _packed(2, [(partition + i) % blocks], [g[rows]], [s[rows]], [n[rows]], [np.ones(len(rows), np.uint8)])
-        g, s, n, shared = g[first], s[first], n[first], (count > 1).astype(np.uint8)
+            yield _packed(2, [(partition + i) % blocks], [g[rows]], [s[rows]], [n[rows]], [place[rows]], [np.ones(len(rows), np.uint8)])
+        g, s, n, place, shared = g[first], s[first], n[first], place[first], (count > 1).astype(np.uint8)
         block = ((g & np.uint64(0xFFFFFFFF)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(block, kind="stable")
         bounds = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -207,16 +217,24 @@ def leading(docs: DataFrame, classes: bytes, blocks: int) -> DataFrame:
         for lot in range(0, len(full), 64):
             some = full[lot : lot + 64]
             cut_ = [order[bounds[b] : bounds[b + 1]] for b in some]
-            yield _packed(1, some, [g[c] for c in cut_], [s[c] for c in cut_], [n[c] for c in cut_], [shared[c] for c in cut_])
+            yield _packed(1, some, [g[c] for c in cut_], [s[c] for c in cut_], [n[c] for c in cut_], [place[c] for c in cut_], [shared[c] for c in cut_])
 
     return texts_of(docs).mapInArrow(run, LEADING)
 
 
-SHARED = "kind int, doc_id long, n int, s long, g long"
+SHARED = "kind int, doc_id long, n int, s long, g long, place int, map binary"
 
 
-def _shared(kind: int, doc, n, s, g) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), doc, pa.array(n, pa.int32()), pa.array(s, pa.int64()), g], names=["kind", "doc_id", "n", "s", "g"])
+def _shared(kind: int, doc, n, s, g, place, maps=None) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(n), kind, np.int32)), doc, pa.array(n, pa.int32()), pa.array(s, pa.int64()), g, place]
+    return pa.record_batch([*columns, pa.nulls(len(n), pa.binary()) if maps is None else maps], names=["kind", "doc_id", "n", "s", "g", "place", "map"])
+
+
+def map_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parity maps, in the last column, as 64-bit columns."""
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.int64).reshape(-1, MAP_WORDS)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names=[*batch.schema.names[:-1], *MAPS])
 
 
 def keep_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,23 +245,24 @@ def keep_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.flatnonzero(kinds == 0)
         if len(docs):
             d = batch.take(pa.array(docs))
-            yield _shared(0, d.column("doc_id"), d.column("n").to_numpy(), d.column("s").to_numpy(), pa.nulls(len(docs), pa.int64()))
+            yield _shared(0, d.column("doc_id"), d.column("n").to_numpy(), d.column("s").to_numpy(), pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32()), d.column("maps"))
         for i in np.flatnonzero(kinds > 0).tolist():
-            g, s, n, shared = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("g", np.int64), ("ss", np.int64), ("ns", np.int32), ("shared", np.uint8)))
+            packed = (("g", np.int64), ("ss", np.int64), ("ns", np.int32), ("places", np.int32), ("shared", np.uint8))
+            g, s, n, place, shared = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in packed)
             if kinds[i] == 2:
-                yield _shared(1, pa.nulls(len(g), pa.int64()), n, s, pa.array(g))
+                yield _shared(1, pa.nulls(len(g), pa.int64()), n, s, pa.array(g), pa.array(place))
             else:
-                held.append((g, s, n, shared))
+                held.append((g, s, n, place, shared))
     if held:
-        g, s, n, shared = (np.concatenate(c) for c in zip(*held))
+        g, s, n, place, shared = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((s, g))
-        g, s, n, shared = g[order], s[order], n[order], shared[order]
+        g, s, n, place, shared = g[order], s[order], n[order], place[order], shared[order]
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         size = np.diff(np.r_[first, len(g)])
         differ = np.add.reduceat(np.r_[False, (s[1:] != s[:-1]) & (g[1:] == g[:-1])].astype(np.int64), first) > 0
         flagged = np.maximum.reduceat(shared, first) > 0  # its task has sent all rows of a flagged one
         rows = np.flatnonzero(np.repeat(differ | flagged, size) & (shared == 0))
-        yield _shared(1, pa.nulls(len(rows), pa.int64()), n[rows], s[rows], pa.array(g[rows]))
+        yield _shared(1, pa.nulls(len(rows), pa.int64()), n[rows], s[rows], pa.array(g[rows]), pa.array(place[rows]))
 
 
 # ---- 3. and 4. pairs
@@ -294,6 +313,28 @@ def reachable(small, large, count):
     return f"100 * {small} >= {p} * {large} and {count} + {rest} >= ({p} * ({small} + {large}) + {q - 1}) div {q}"
 
 
+def within(x: str, y: str) -> str:
+    """Can two sets, rows ``x`` and ``y`` with size and map, link by sizes and maps alone? (SQL text)
+
+    Each place where the maps differ stands for at least one n-gram that only one of the sets has,
+    so the union has at least (n + m + differences) / 2 n-grams and the intersection at most (n + m - differences) / 2.
+    """
+    p, q = PERCENT, 100 + PERCENT
+    apart = " + ".join(f"bit_count({x}.{m} ^ {y}.{m})" for m in MAPS)
+    sizes = f"100 * least({x}.n, {y}.n) >= {p} * greatest({x}.n, {y}.n)"
+    return f"{sizes} and {q} * ({x}.n + {y}.n - ({apart})) >= {2 * p} * ({x}.n + {y}.n)"
+
+
+def early(n: str, place: str) -> str:
+    """Can an n-gram at this place be the first that a set shares with one of its size or larger? (SQL text)
+
+    The intersection of the two has at least ceil(2 t / (1 + t) n) n-grams, none of them before it.
+    A pair that links has such a row for its smaller set, so a set none of whose n-grams is that for any set links to nothing more.
+    """
+    p, q = PERCENT, 100 + PERCENT
+    return f"{n} - {place} >= ({2 * p} * {n} + {q - 1}) div {q}"
+
+
 def linked_groups(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: (doc_id, n_shingles, component_id).
 
@@ -310,27 +351,30 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     with batch_rows(spark, TEXT_ROWS):
         found = cut(leading(docs, classes, blocks).repartitionById(blocks, F.col("block")).mapInArrow(keep_shared, SHARED))
     members = found.where("kind = 0").select("doc_id", "n", "s")
-    nodes = cut(members.where("n > 0 and doc_id is not null").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id")))
-    rows = cut(found.where("kind = 1").select("g", "s", "n").distinct().join(nodes.select("s", "n"), ["s", "n"], "left_semi"))
+    # equal sets have equal maps
+    nodes = found.where("kind = 0 and n > 0 and doc_id is not null").groupBy("s", "n").agg(F.min("doc_id").alias("doc_id"), F.first("map").alias("map"))
+    nodes = cut(nodes.mapInArrow(map_words, ", ".join(["s long, n int, doc_id long", *[f"{m} long" for m in MAPS]])))
+    maps = nodes.drop("doc_id")
+    rows = cut(found.where("kind = 1").select("g", "s", "n", "place").distinct().join(nodes.select("s", "n"), ["s", "n"], "left_semi"))
 
     # each set with the one it shares most columns with as the first of a column
     firsts = rows.groupBy("g").agg(F.min("s").alias("b"))
     stars = rows.join(firsts, "g").where("s <> b").groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
-    stars = stars.groupBy("s").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("s").alias("a"), F.col("m.b").alias("b"), F.col("m.c").alias("c"))
-    size = nodes.select(F.col("s").alias("b"), F.col("n").alias("nb"))
-    sized = stars.join(nodes.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(size, "b")
-    near = sized.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 10 * c >= least(na, nb) div 10")
-    links = decide(docs, nodes, near.select("a", "b"))
+    stars = stars.groupBy("s").agg(F.max(F.struct("c", "b")).alias("m")).select("s", F.col("m.b").alias("b"))
+    near = stars.join(maps, "s").alias("x").join(maps.withColumnRenamed("s", "b").alias("y"), "b").where(within("x", "y"))
+    links = decide(docs, nodes, near.select(F.col("s").alias("a"), "b"))
 
     # the product between different components
     root = cut(components(links))
     placed = rows.join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    placed = cut(placed.join(mixed, "g", "left_semi"))
+    mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.expr(early("n", "place"))).alias("early")).where("lo <> hi").select("g", "early")
+    placed = placed.join(mixed, "g")
+    able = placed.where("early").select("s").distinct()  # with all their rows, so that counts stay whole
+    placed = cut(placed.drop("early", "place").join(able, "s", "left_semi").join(maps, ["s", "n"]))
     x, y = placed.alias("x"), placed.alias("y")
+    meet = (F.col("x.g") == F.col("y.g")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root"))
     product = (
-        x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.root") != F.col("y.root")))
-        .where(f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)")
+        x.join(y, meet & F.expr(within("x", "y")))
         .groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.least("x.n", "y.n").alias("small"), F.greatest("x.n", "y.n").alias("large"))
         .agg(F.count(F.lit(1)).alias("c"))
         .where(reachable("small", "large", "c"))

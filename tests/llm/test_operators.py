@@ -205,6 +205,47 @@ def test_linked_groups_equal_brute_force(spark, seed):
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_linked_groups_of_a_group_about_the_threshold(spark):
+    """Copies of one text whose pairs lie on both sides of the threshold, and long texts that fill the map."""
+    rnd = random.Random(5)
+    texts = []
+    for size, copies, edits in ((90, 150, (1, 2)), (300, 40, (5, 9)), (4000, 12, (60, 110))):
+        base = [f"b{size}x{i}" for i in range(size)]
+        for _ in range(copies):
+            copy = list(base)
+            for at in rnd.sample(range(size), rnd.randint(*edits)):
+                copy[at] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    want = brute_components(rows)
+    assert len(rows) > len({c for _, c in want.values()}) > 3
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_groups(docs_of(spark, rows).repartition(7)).collect()} == want
+
+
+def test_maps_and_places_never_lose_a_link(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for _ in range(400):
+        union = rng.integers(0, 1 << 63, rng.choice([1, 4, 5, 9, 40, 300, 3000])).astype(np.uint64)
+        side = rng.choice(3, len(union), p=[0.78, 0.11, 0.11])
+        x, y = np.unique(union[side != 1]), np.unique(union[side != 2])
+        if len(x) and len(y):
+            both = len(np.intersect1d(x, y))
+            link = 100 * both >= 80 * len(np.union1d(x, y))
+            # the order of all n-grams is that of the hashes here; the place of the first common one in the smaller set
+            small = x if len(x) <= len(y) else y
+            place = int(np.flatnonzero(np.isin(small, np.intersect1d(x, y)))[0]) if both else -1
+            pairs.append((link, len(small), place, len(x), *jaccard.parity_map(x).tolist(), len(y), *jaccard.parity_map(y).tolist()))
+    own = ", ".join(["n int", *[f"{m} long" for m in jaccard.MAPS]])
+    schema = "link boolean, small int, place int, " + ", ".join(f"{side}_{c}" for side in "xy" for c in own.split(", "))
+    df = spark.createDataFrame(pairs, schema)
+    sides = [F.struct(*[F.col(f"{side}_{c}").alias(c) for c in ("n", *jaccard.MAPS)]).alias(side) for side in "xy"]
+    df = df.select("link", "small", "place", *sides)
+    assert df.where("link").count() > 50 and df.where("not link").count() > 50
+    assert df.where("link").where(f"not ({jaccard.within('x', 'y')}) or not ({jaccard.early('small', 'place')})").count() == 0
+    assert df.where("not link and x.n > 30").where(jaccard.within("x", "y")).count() < df.where("not link and x.n > 30").count()
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(200, 260)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(60)]
