@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,3 +52,22 @@ def test_stages(spark):
 
 def test_run(spark):
     assert set(corpus_pipeline.run(spark, SF).columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = ("__score", "__text", "__lang_pred", "__digest", "__bytes", "__id")
+    text = docs.first().text
+    odd = [(None, None), (9_000_001, None), (9_000_002, ""), (None, text), (9_000_003, text), (9_000_003, text), (9_000_004, (text + " ") * 400)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    for name in extra:
+        table = table.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        rows = out.collect()
+        assert out.columns == table.columns and rows, name
+        assert all(r[c] == c for r in rows for c in extra), name
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, table, SF).where("doc_id = 9000002").count() == 1
+    assert stage(spark, table.limit(0), SF).count() == 0
