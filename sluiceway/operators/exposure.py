@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draw import uniform
 from ..functions.scalar import keep_probability
-from ..functions.skew import lookup
+from ..functions.skew import is_small, lookup, salted_join
+from ..session import cut
 
 # ---- fixed values -------------------------------------------------------
 EMPTY_FEED_MESSAGE = "No posts passed exposure policy."
@@ -284,15 +285,18 @@ def format_feed(
 
 
 def feed_comments(feed: DataFrame, comments: DataFrame, *, show_score: bool = True) -> DataFrame:
-    """The comments that a feed shows: one row for each comment, whatever the number of entries that show it.
+    """Comments of every feed entry, one row for each entry and comment.
 
-    ``feed``: the formatted entries (comments_post_id is the root for a repost); an entry finds
-    its comments by comments_post_id. ``comments``: comment_id, post_id, user_id, content,
-    created_at, num_likes, num_dislikes. A busy post may hold any number of comments and be
-    shown to anybody, so comments are neither packed into arrays nor repeated per entry.
+    ``feed``: the formatted entries (comments_post_id is the root for a repost).
+    ``comments``: comment_id, post_id, user_id, content, created_at, num_likes,
+    num_dislikes. A busy post may hold any number of comments and be shown to anybody,
+    so they are neither packed into arrays nor matched in a single task.
     """
     counters = [(F.col("num_likes") - F.col("num_dislikes")).alias("score")] if show_score else [F.col("num_likes"), F.col("num_dislikes")]
     rows = comments.select(
         F.col("post_id").alias("comments_post_id"), "comment_id", F.col("user_id").alias("commenter_id"), "content", "created_at", *counters
     )
-    return rows.join(feed.select("comments_post_id").distinct(), "comments_post_id", "left_semi")
+    entries = feed.select("impression_id", "comments_post_id")
+    if is_small(rows):
+        return entries.join(F.broadcast(rows), "comments_post_id")
+    return salted_join(cut(entries), rows, "comments_post_id")

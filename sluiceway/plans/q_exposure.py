@@ -174,21 +174,21 @@ def _(t: Logs):
 
 @query(
     "feed_comments",
-    """SELECT c.conv_id AS comments_post_id, c.turn AS comment_id, c.conv_id * 3 + c.turn AS commenter_id, sha256(c.text) AS content_hash,
-         c.turn AS created_at, c.turn * 2 - c.conv_id % 3 AS score
-       FROM conversations c WHERE c.conv_id IN (
-         SELECT CASE WHEN p.original_post_id IS NOT NULL AND p.quote_content IS NULL THEN i.root_post_id ELSE i.post_id END
-         FROM impressions i JOIN post p ON p.post_id = i.post_id WHERE i.shown)""",
+    """SELECT i.impression_id, CASE WHEN p.original_post_id IS NOT NULL AND p.quote_content IS NULL THEN i.root_post_id ELSE i.post_id END AS comments_post_id,
+         c.turn AS comment_id, c.conv_id * 3 + c.turn AS commenter_id, sha256(c.text) AS content_hash, c.turn AS created_at, c.turn * 2 - c.conv_id % 3 AS score
+       FROM impressions i JOIN post p ON p.post_id = i.post_id JOIN conversations c
+         ON c.conv_id = CASE WHEN p.original_post_id IS NOT NULL AND p.quote_content IS NULL THEN i.root_post_id ELSE i.post_id END WHERE i.shown""",
 )
 def _(t: Logs):
     conv, turn = F.col("conv_id"), F.col("turn")
+    # each text is hashed once, not once for each entry that shows it
     comments = t.table("conversations").select(
-        conv.alias("post_id"), turn.alias("comment_id"), (conv * 3 + turn).alias("user_id"), F.col("text").alias("content"),
+        conv.alias("post_id"), turn.alias("comment_id"), (conv * 3 + turn).alias("user_id"), F.sha2("text", 256).alias("content"),
         turn.alias("created_at"), (turn * 2).alias("num_likes"), (conv % 3).alias("num_dislikes"),
     )
     shown = t.impressions.where("shown").select("impression_id", "post_id")
     feed = exposure.format_feed(shown, t.post, t.roots, comments.select("post_id"), report_threshold=3)
     out = exposure.feed_comments(feed, comments)
     return out.select(
-        "comments_post_id", "comment_id", "commenter_id", F.sha2("content", 256).alias("content_hash"), "created_at", "score"
+        "impression_id", "comments_post_id", "comment_id", "commenter_id", F.col("content").alias("content_hash"), "created_at", "score"
     )
