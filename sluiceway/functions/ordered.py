@@ -33,23 +33,29 @@ def prefix_scan(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     *,
+    trails: dict[str, tuple[Column, int]] | None = None,
     inclusive: bool = False,
     blocks: int | None = None,
 ) -> DataFrame:
     """Per row, the sum / latest non-null value of the rows before it in its key.
 
     ``order`` is a column of any orderable type, unique within a key. ``lasts`` takes
-    any value; the latest row (by ``order``) where it is not null wins.
+    any value; the latest row (by ``order``) where it is not null wins. ``trails``: (item, n), the
+    non-null items of the n rows before this one, oldest first, as trailing_list gives them, in the same pass.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, trails = sums or {}, lasts or {}, trails or {}
     d = df
     for name, expr in sums.items():
         d = d.withColumn(f"__s_{name}", F.coalesce(expr, F.lit(0)))
     for name, expr in lasts.items():
         # the greatest (order, value) struct is the latest one
         d = d.withColumn(f"__l_{name}", F.when(expr.isNotNull(), F.struct(F.col(order).alias("o"), expr.alias("v"))))
+    for name, (item, _) in trails.items():
+        # in a struct, so that a null takes its place among the n rows
+        d = d.withColumn(f"__t_{name}", F.struct(item.alias("v")))
     d = _blocked(d, keys, order, blocks)
     part = [*keys, "__blk"]
+    ends = {name: _ends(d, keys, order, f"__t_{name}", n) for name, (_, n) in trails.items()}
     blocks = d.groupBy(*part).agg(
         *[F.sum(f"__s_{n}").alias(f"__c_{n}") for n in sums],
         *[F.max(f"__l_{n}").alias(f"__d_{n}") for n in lasts],
@@ -65,7 +71,15 @@ def prefix_scan(
         d = d.withColumn(f"__s_{n}", F.sum(f"__s_{n}").over(here))
     for n in lasts:
         d = d.withColumn(f"__l_{n}", F.max(f"__l_{n}").over(here))
-    out = d.join(carry, part, "left")
+    for name, (_, n) in trails.items():
+        d = d.withColumn(f"__t_{name}", F.collect_list(f"__t_{name}").over(W.partitionBy(*part).orderBy(order).rowsBetween(-n, -1)))
+    out = d.join(carry, part, "left") if sums or lasts else d
+    for name, (_, n) in trails.items():
+        same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(part)]
+        out = out.join(F.broadcast(ends[name]), same, "left").drop(*[f"__k{i}" for i in range(len(part))])
+        both = F.concat(F.coalesce("__e", F.slice(f"__t_{name}", 1, 0)), F.col(f"__t_{name}"))
+        kept = F.filter(F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n), lambda x: x["v"].isNotNull())
+        out = out.withColumn(name, F.transform(kept, lambda x: x["v"])).drop("__e", f"__t_{name}")
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.col(f"__s_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)))
     for n in lasts:
@@ -74,6 +88,23 @@ def prefix_scan(
     return out.drop(*scratch)
 
 
+def _ends(d: DataFrame, keys: list[str], order: str, item: str, n: int) -> DataFrame:
+    """Per (key, partition) of a key in several partitions, its last ``n`` items of the partitions before.
+
+    Ranges leave at most two such keys in a partition, so this has about as many rows as there are partitions.
+    """
+    part = [*keys, "__blk"]
+    pairs = d.select(*part).distinct().withColumn("__many", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    spans = pairs.where("__many > 1").select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(part)])
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(part)]
+    near = d.select(*part, order, item).join(F.broadcast(spans), same)
+    names = [f"__k{i}" for i in range(len(part))]
+    last = near.withColumn("__r", F.row_number().over(W.partitionBy(*names).orderBy(F.desc(order)))).where(F.col("__r") <= n)
+    tails = last.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct((-F.col("__r")).alias("r"), F.col(item).alias("i")))).alias("__a"))
+    before = W.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(-n, -1)
+    return tails.select(*names, F.transform(F.flatten(F.collect_list("__a").over(before)), lambda x: x["i"]).alias("__e"))
+
+
 def next_value(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str, *, blocks: int | None = None
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.ordered import prefix_scan, trailing_list
+from ..functions.ordered import prefix_scan
 from ..functions import text as tx
 from ..functions.scalar import choice_id, decision_id, mapped_action, trace_target
 from ..functions.skew import lookup
@@ -268,15 +268,17 @@ class Logs:
         """Decision traces with choice, latest feed (any timestep) and the last ten tokens."""
         feed = F.from_json("info", "struct<posts:array<struct<post_id:bigint>>,message:string>")
         is_refresh = F.col("action") == "refresh"
-        slim = self.trace.select("rowid", "user_id", "timestep", "action", "k", "info").withColumn(
-            "feed", F.when(is_refresh, F.struct(F.col("rowid").alias("refresh_id"), feed["posts"]["post_id"].alias("posts"),
-                                               feed["message"].alias("message")))
+        # what is read from a row's info; the text itself stays out of the shuffles
+        slim = self.trace.select(
+            "rowid", "user_id", "timestep", "action", "k",
+            F.when(is_refresh, F.struct(F.col("rowid").alias("refresh_id"), feed["posts"]["post_id"].alias("posts"),
+                                        feed["message"].alias("message"))).alias("feed"),
+            F.when(~is_refresh, trace_target("action", "info")).alias("target"),
+            F.when(~is_refresh, F.get_json_object("info", "$.new_post_id").cast("bigint")).alias("created_post_id"),
         )
-        linked = prefix_scan(slim, ["user_id"], "rowid", lasts={"last_feed": F.col("feed")})
         token = F.concat(F.lit("trace-"), F.col("rowid").cast("string"), F.lit(":"), F.col("action"))
-        linked = trailing_list(linked, ["user_id"], "rowid", token, "history", 10)
-        act = mapped_action("action")
-        target = trace_target("action", "info")
+        linked = prefix_scan(slim, ["user_id"], "rowid", lasts={"last_feed": F.col("feed")}, trails={"history": (token, 10)})
+        act, target = mapped_action("action"), F.col("target")
         return self._store(
             "actions",
             linked.where(~is_refresh).select(
@@ -287,7 +289,7 @@ class Logs:
                 act.alias("action"),
                 target.alias("target_post_id"),
                 choice_id(act, target).alias("choice"),
-                F.get_json_object("info", "$.new_post_id").cast("bigint").alias("created_post_id"),
+                "created_post_id",
                 F.col("last_feed")["refresh_id"].alias("refresh_id"),
                 F.coalesce(F.col("last_feed")["posts"], F.array().cast("array<bigint>")).alias("visible"),
                 F.col("last_feed")["message"].alias("feed_message"),
