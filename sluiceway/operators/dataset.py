@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..functions.scalar import choice_action, choice_error, choice_target, mapped_action, trace_target, choice_id
-from ..functions.skew import lookup
+from ..functions.skew import broadcast_limit, is_small, lookup
 from ..session import cut
 from .choices import legal_asof
 from .linking import unique_refresh_match
@@ -33,6 +33,8 @@ LABEL_DISAGREES = "teacher action label disagrees with the trace"
 EMPTY_FEED = "empty feed has no explicit reason"
 UNUSED_LABEL = "teacher sample has no uniquely reconstructed decision"
 MASK = -100
+#: Exceptions are broadcast up to so many times the size other tables are.
+EXCEPTIONS = 6
 # -------------------------------------------------------------------------
 
 
@@ -99,38 +101,65 @@ def status_counts(snapshots: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- native examples
 
 
+def _unusual_traces(done: DataFrame, trace: DataFrame) -> DataFrame:
+    """(action_trace_rowid, trace_user, trace_kind, traced, dup_row): the trace rows a check can fault, null columns where there is none.
+
+    Left out is the usual case: a trace row with its own id, named by one decision of the same user and
+    choice. Only ids, users and choices are shuffled for it.
+    """
+    kind = mapped_action("action")
+    bound = trace.select(
+        F.col("rowid").alias("action_trace_rowid"), F.col("user_id").alias("trace_user"), kind.alias("trace_kind"),
+        choice_id(kind, trace_target("action", "info")).alias("traced"),
+    )
+    named = done.where("action_trace_rowid is not null").groupBy("action_trace_rowid").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("user_id", "selected_choice_id")).alias("one")
+    )
+    copies = F.count(F.lit(1)).over(W.partitionBy("action_trace_rowid"))
+    rows = named.join(bound, "action_trace_rowid", "left").withColumn("copies", copies)
+    choice = F.col("one")["selected_choice_id"]
+    usual = (
+        (F.col("n") == 1) & (F.col("copies") == 1) & (F.col("trace_user") == F.col("one")["user_id"])
+        & F.col("trace_kind").eqNullSafe(choice_action(choice)) & F.col("traced").eqNullSafe(choice)
+    )
+    return rows.where(~F.coalesce(usual, F.lit(False))).select(
+        "action_trace_rowid", "trace_user", "trace_kind", "traced", (F.col("n") > 1).alias("dup_row")
+    )
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Exceptions, stored to learn their size: broadcast unless there are very many."""
+    stored = cut(df)
+    return F.broadcast(stored) if is_small(stored, EXCEPTIONS * broadcast_limit(stored)) else stored
+
+
 def native_examples(snapshots: DataFrame, trace: DataFrame) -> DataFrame:
     """Examples of all succeeded snapshots with their ``errors``; valid rows have none.
 
     ``snapshots``: decision_id, user_id, timestep, decision_sequence, feed_ids (posts of
     the feed), visible, legal, history, feed_message, community, profile, rationale,
     selected_choice_id, action_trace_rowid, status.
+
+    The wide rows meet only what is wrong with their ids and traces, so they stay where they are as long as that is little.
     """
     done = snapshots.where("status = 'succeeded'")
-    # rows sharing an id or a trace row are few: their keys are found by a count, not a window
+    # rows sharing an id are few: their keys are found by a count, not a window
     twice_id = done.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("decision_id", F.lit(True).alias("dup_id"))
-    twice_row = (
-        done.where("action_trace_rowid is not null").groupBy("action_trace_rowid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("action_trace_rowid", F.lit(True).alias("dup_row"))
-    )
-    bound = trace.select(F.col("rowid").alias("action_trace_rowid"), F.col("user_id").alias("trace_user"), F.col("action").alias("trace_action"), "info")
-    rows = (
-        done.join(bound, "action_trace_rowid", "left").join(twice_id, "decision_id", "left").join(twice_row, "action_trace_rowid", "left")
-    )
+    rows = done.join(_few(_unusual_traces(done, trace)), "action_trace_rowid", "left").join(_few(twice_id), "decision_id", "left")
     choice, target = F.col("selected_choice_id"), choice_target("selected_choice_id")
-    traced = choice_id(mapped_action("trace_action"), trace_target("trace_action", "info"))
-    has_trace = F.col("trace_user").isNotNull()
+    named, unusual = F.col("action_trace_rowid").isNotNull(), F.col("dup_row").isNotNull()
+    faulty = unusual & F.col("trace_user").isNotNull()
     errors = _keep(
-        _issue(choice.isNull() | F.col("action_trace_rowid").isNull() | F.col("rationale").isNull(), "succeeded fields are missing"),
+        _issue(choice.isNull() | ~named | F.col("rationale").isNull(), "succeeded fields are missing"),
         _issue(F.size(F.array_distinct("feed_ids")) != F.size("feed_ids"), "feed contains duplicate posts"),
         _issue(~same_multiset("feed_ids", "visible"), "feed and visible posts disagree"),
         _issue(~F.array_contains("legal", choice), "selected choice is not legal"),
         F.concat(F.lit("selected choice: "), choice_error("selected_choice_id")),
         _issue(target.isNotNull() & ~F.array_contains("visible", target), "selected target was not visible"),
-        _issue(F.col("action_trace_rowid").isNotNull() & ~has_trace, "action trace does not exist"),
-        _issue(has_trace & ((F.col("trace_user") != F.col("user_id")) | ~mapped_action("trace_action").eqNullSafe(choice_action(choice))),
+        _issue(unusual & F.col("trace_user").isNull(), "action trace does not exist"),
+        _issue(faulty & ((F.col("trace_user") != F.col("user_id")) | ~F.col("trace_kind").eqNullSafe(choice_action(choice))),
                "action trace binding is inconsistent"),
-        _issue(has_trace & ~traced.eqNullSafe(choice), "selected choice disagrees with the trace"),
+        _issue(faulty & ~F.col("traced").eqNullSafe(choice), "selected choice disagrees with the trace"),
         _issue(history_error("history", F.col("action_trace_rowid")), "history holds the current or a later trace"),
         _issue(tx.has_key("rationale"), "rationale contains a credential-like pattern"),
         _issue((F.size("feed_ids") == 0) & (F.coalesce("feed_message", F.lit("")) == ""), "empty feed without a reason"),
@@ -386,11 +415,13 @@ def trace_binding_check(examples: DataFrame, trace: DataFrame, snapshots: DataFr
         _issue(known != F.col("label_action"), "action label disagrees with the trace"),
     )
     issues = rows.select("sample_id", F.explode(found).alias("error")).distinct()
-    native = examples.where("provenance = 'decision_snapshot'").select("sample_id", "action_trace_rowid").distinct()
-    done = snapshots.where("status = 'succeeded'").select(F.col("decision_id").alias("sample_id"), "action_trace_rowid").distinct()
-    more = native.exceptAll(done).select("sample_id", F.lit("example without a succeeded snapshot").alias("error"))
-    less = done.exceptAll(native).select("sample_id", F.lit("succeeded snapshot without an example").alias("error"))
-    return issues.unionByName(more).unionByName(less)
+    # each side of the comparison is read once: one grouping instead of two differences of distinct rows
+    native = examples.where("provenance = 'decision_snapshot'").select("sample_id", "action_trace_rowid", F.lit("e").alias("side"))
+    done = snapshots.where("status = 'succeeded'").select(F.col("decision_id").alias("sample_id"), "action_trace_rowid", F.lit("s").alias("side"))
+    sides = native.unionByName(done).groupBy("sample_id", "action_trace_rowid").agg(F.min("side").alias("first"), F.max("side").alias("last"))
+    lone = F.when(F.col("first") == "e", "example without a succeeded snapshot").otherwise("succeeded snapshot without an example")
+    apart = sides.where("first = last").select("sample_id", lone.alias("error"))
+    return issues.unionByName(apart)
 
 
 def dataset_validation(snapshots: DataFrame) -> DataFrame:
