@@ -61,19 +61,26 @@ def lookup(
     return big.join(F.broadcast(dim) if is_small(dim, limit) else dim, on, how)
 
 
+def hot_salts(big: DataFrame, on: list[str], share: float = 0.005, rows_per_salt: int = 1_000_000) -> DataFrame:
+    """Hot keys of ``big`` with the number of copies each is dealt to (``__hot``)."""
+    salts = F.greatest(F.lit(2), F.ceil(F.col("__n") / rows_per_salt)).cast("int")
+    return _hot_counts(big, on, share).select(*on, salts.alias("__hot"))
+
+
 def salted_join(
-    big: DataFrame, other: DataFrame, on: list[str] | str, how: str = "inner", *, share: float = 0.005, rows_per_salt: int = 1_000_000
+    big: DataFrame, other: DataFrame, on: list[str] | str, how: str = "inner", *, share: float = 0.005, rows_per_salt: int = 1_000_000,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join with the hot keys of ``big`` salted. ``how``: inner, left, left_semi, left_anti.
 
     For joins that fan out on both sides, where splitting one side's partition is not
     enough: each copy of a hot key meets every match, in as many tasks as the key has
-    ``rows_per_salt`` rows in ``big`` (two at least). ``big`` is read three times, so it should be a stored or checkpointed table.
+    ``rows_per_salt`` rows in ``big`` (two at least). ``big`` is read three times, so it should be a stored or checkpointed table;
+    who joins it again and again counts its hot keys once and hands them in (``hot``, of ``hot_salts``).
     """
     on = [on] if isinstance(on, str) else list(on)
     rest = [c for c in big.columns if c not in on]
-    salts = F.greatest(F.lit(2), F.ceil(F.col("__n") / rows_per_salt)).cast("int")
-    hot = F.broadcast(_hot_counts(big, on, share).select(*on, salts.alias("__hot")))
+    hot = F.broadcast(hot_salts(big, on, share, rows_per_salt) if hot is None else hot)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in (rest or on)]), F.col("__hot")).cast("int")
     left = big.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(0)).drop("__hot")
     every = F.sequence(F.lit(0), F.col("__hot") - 1)

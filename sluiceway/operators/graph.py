@@ -1,10 +1,10 @@
-"""Contact graph: mixing, degrees, pressure of adopters and cascades of adoption."""
+"""Contact graph: mixing, degrees and cascades of adoption."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.skew import lookup, salted_join, is_small
+from ..functions.skew import lookup
 
 
 def contact_edges(arcs: DataFrame, src: str = "follower_id", dst: str = "followee_id") -> DataFrame:
@@ -136,22 +136,6 @@ def labelled_contacts(arcs: DataFrame, users: DataFrame) -> DataFrame:
     return edges.select(F.inline(pairs))
 
 
-def pressure(contacts: DataFrame, adopters: DataFrame) -> DataFrame:
-    """Adopted neighbours per (user, root), split by community.
-
-    ``adopters``: (root_post_id, user_id, seen...) Contacts of celebrities are salted;
-    counts are combined map-side before the shuffle on (user, root).
-    """
-    held = adopters.select(F.col("user_id").alias("neighbor_id"), "root_post_id")
-    if is_small(held):
-        rows = contacts.join(F.broadcast(held), "neighbor_id")
-    else:
-        rows = salted_join(contacts, held, "neighbor_id")
-    return rows.groupBy("user_id", "root_post_id").agg(
-        F.count_if("same").alias("intra"), F.count_if(~F.col("same")).alias("inter")
-    )
-
-
 def adoption_summary(adopted: DataFrame, users: DataFrame, root_community: DataFrame) -> DataFrame:
     """Per root: adopters, fraction, intra/inter adoptions, community coverage, generations."""
     total = users.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.changes import as_changes, change_points, valid_at
-from ..functions.skew import is_small, lookup, salted_join
+from ..functions.skew import broadcast_limit, hot_salts, is_small, leaf_bytes, lookup, salted_join
 from ..session import cut
-from .graph import labelled_contacts, pressure
+from .graph import labelled_contacts
 
 #: Stored layers of the rounds before they are merged into one.
 LAYERS = 8
+#: Pairs a new adopter touches, about: so many times smaller than a broadcast is the frontier of a short round.
+FAN_OUT = 8
 KEYS = ["user_id", "root_post_id"]
 
 
@@ -173,7 +175,11 @@ def initial_adopters(roots: DataFrame, posts: DataFrame, users: DataFrame, befor
 
 
 class _Layers:
-    """Rows kept as stored tables, one for each round; they are merged when there are many."""
+    """Rows kept as stored tables, one for each round; the smaller half is merged when there are many.
+
+    A large layer is rewritten only once the others have grown to its size, so many short rounds
+    after a long one cost what they add and not the whole state.
+    """
 
     def __init__(self, merge):
         self._tables: list[DataFrame] = []
@@ -182,16 +188,19 @@ class _Layers:
     def add(self, table: DataFrame) -> None:
         self._tables.append(table)
         if len(self._tables) > LAYERS:
-            self._tables = [cut(self._merge(self.rows()))]
+            self._tables.sort(key=lambda t: leaf_bytes(t) or 0, reverse=True)
+            keep = LAYERS // 2
+            self._tables[keep:] = [cut(self._merge(_union(self._tables[keep:])))]
 
     def rows(self) -> DataFrame:
-        out = self._tables[0]
-        for table in self._tables[1:]:
-            out = out.unionByName(table)
-        return out
+        return _union(self._tables)
+
 
-    def __bool__(self) -> bool:
-        return bool(self._tables)
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
 
 
 def threshold_rounds(
@@ -207,34 +216,52 @@ def threshold_rounds(
     """Synchronous irreversible adoption: (user_id, root_post_id, round), seeds in round 0.
 
     Runs until a round adopts nobody, or for ``rounds`` rounds. A round joins only the
-    adopters of the round before (the frontier) with their contacts. What they add is
-    stored as a layer of its own: earlier pressure is read for the keys of the frontier
-    alone and never rewritten, but for a merge every ``LAYERS`` rounds. Adopted keys leave with the merge.
+    adopters of the round before (the frontier) with their contacts, which carry the degree of
+    the user. It stores one layer: the pressure so far of each (user, root) the frontier touched, and
+    the round if that adopts. Pressure only grows, so the largest of a pair's rows is the latest. Of
+    earlier layers a short round reads the touched pairs alone, by a broadcast of them, and shuffles
+    nothing else; a long one takes new and earlier rows in one shuffle.
     """
     contacts = cut(labelled_contacts(arcs, users))
-    degrees = cut(_degrees(contacts).select("user_id", "total_degree"))
+    contacts = contacts.join(_degrees(contacts).select("user_id", "total_degree"), "user_id")
+    contacts = cut(contacts.repartitionByRange("user_id", "neighbor_id"))  # a user's contacts in one task add up before they are shuffled
+    hot = cut(hot_salts(contacts, ["neighbor_id"]))
+    zero = F.lit(0).cast("long")
     fresh = cut(seeds.select(*KEYS).distinct())
-    adopted = _Layers(lambda rows: rows)
-    adopted.add(fresh.withColumn("round", F.lit(0)))
-
-    def total(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*KEYS).agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
-
-    felt = _Layers(lambda rows: total(rows).join(adopted.rows().select(*KEYS), KEYS, "left_anti"))
+    felt = ["intra", "inter"]
+    state = _Layers(lambda rows: rows.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in (*felt, "round")]))
+    state.add(cut(fresh.select(*KEYS, *[zero.alias(c) for c in felt], F.lit(0).alias("round"))))
     signal = F.lit(weight_intra) * F.col("intra") + F.lit(weight_inter) * F.col("inter")
     step = 0
     while rounds is None or step < rounds:
         step += 1
-        new = cut(pressure(contacts, fresh).join(adopted.rows().select(*KEYS), KEYS, "left_anti"))
-        now = new
-        if felt:
-            touched = new.select(*KEYS)
-            before = felt.rows().join(F.broadcast(touched) if is_small(touched) else touched, KEYS, "left_semi")
-            now = total(before.unionByName(new))
-        met = lookup(now, degrees, "user_id", "inner").where(signal > F.lit(threshold) * F.col("total_degree"))
-        fresh = cut(met.select(*KEYS))
+        held = fresh.select(F.col("user_id").alias("neighbor_id"), "root_post_id")
+        short = is_small(held, broadcast_limit(held) // FAN_OUT)
+        rows = contacts.join(F.broadcast(held), "neighbor_id") if is_small(held) else salted_join(contacts, held, "neighbor_id", hot=hot)
+        same = F.col("same")
+        new = rows.select(*KEYS, F.coalesce(same, F.lit(False)).cast("long").alias("intra"), F.coalesce(~same, F.lit(False)).cast("long").alias("inter"), "total_degree")
+        before = state.rows()
+        if short:
+            new = cut(new.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in felt], F.max("total_degree").alias("total_degree")))
+        touched = new.select(*KEYS)
+        if short and is_small(touched):
+            before = before.join(F.broadcast(touched), KEYS, "left_semi")
+        elif is_small(held):  # roots without a new adopter are at their end
+            before = before.join(F.broadcast(held.select("root_post_id").distinct()), "root_post_id", "left_semi")
+        none = F.lit(None)
+        both = new.select(*KEYS, *felt, *[none.cast("long").alias(f"had_{c}") for c in felt], none.cast("int").alias("round"), "total_degree").unionByName(
+            before.select(*KEYS, *[none.cast("long").alias(c) for c in felt], *[F.col(c).alias(f"had_{c}") for c in felt], "round", none.cast("long").alias("total_degree"))
+        )
+        now = both.groupBy(*KEYS).agg(
+            *[(F.coalesce(F.sum(c), zero) + F.coalesce(F.max(f"had_{c}"), zero)).alias(c) for c in felt],
+            F.max("round").alias("adopted"), F.max("total_degree").alias("total_degree"),
+        ).where("adopted is null and total_degree is not null")
+        met = signal > F.lit(threshold) * F.col("total_degree")
+        layer = cut(now.select(*KEYS, *felt, F.when(met, F.lit(step)).alias("round")))
+        fresh = layer.where("round is not null").select(*KEYS)
         if fresh.isEmpty():
             break
-        adopted.add(fresh.withColumn("round", F.lit(step)))
-        felt.add(new)
-    return adopted.rows()
+        if not is_small(fresh):
+            fresh = cut(fresh)  # of a large layer few rows may be new: their own size tells
+        state.add(layer)
+    return state.rows().where("round is not null").select(*KEYS, "round")
