@@ -9,19 +9,14 @@ alone. The pieces of a length then take their planned slots by rank.
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
-from tokenizers import Tokenizer
 
 from ..session import cut
-from .bpe import byte_letters
-from .chunks import ChunkCache, spaced_pretokens
 from .common import once_per_worker, per_slice, whole_text
-from .packing import BROADCAST_BYTES, CAPACITY, SLOTS
+from .packing import BROADCAST_BYTES, CAPACITY, SLOTS, WordCache
 
 END = 2
 
@@ -97,37 +92,6 @@ def lengths(total: int, capacity: int = CAPACITY) -> list[int]:
     return [*([total % capacity] if total % capacity else []), *[capacity] * (total // capacity)]
 
 
-class WordCache(ChunkCache):
-    """Chunks that are a plain word, with or without a sign after it, are encoded at once.
-
-    They make up nearly all chunks, so keeping their pre-tokens a second time costs more than it saves.
-    """
-
-    def __init__(self, path: str):
-        model = Tokenizer.from_file(path).model
-        letter = {b: c for c, b in byte_letters().items()}
-        space = letter[ord(" ")]
-
-        def ids(written: str) -> bytes:
-            return array("I", [t.id for t in model.tokenize(written)]).tobytes()
-
-        def encode(pretokens: list[str]) -> list[bytes]:
-            return [ids(p.encode().decode("latin-1").translate(letter)) for p in pretokens]
-
-        super().__init__(encode)
-        self._word = lambda word: ids(space + (word if word.isascii() else word.encode().decode("latin-1").translate(letter)))
-        self._sign = dict(zip(",.;:!?", encode([*",.;:!?"])))
-
-    def _chunks(self, keys: list[str]) -> list[bytes]:
-        word, sign = self._word, self._sign
-        out = [word(k) if k.isalpha() else word(k[:-1]) + sign[k[-1]] if k[-1:] in sign and k[:-1].isalpha() else None for k in keys]
-        rest = {i: spaced_pretokens(keys[i]) for i, found in enumerate(out) if found is None}
-        known = self._known([p for parts in rest.values() for p in parts])
-        for i, parts in rest.items():
-            out[i] = b"".join([known[p] for p in parts])
-        return out
-
-
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise and cut: PIECES. ``local_rank`` counts the pieces of a length within a partition, named by ``run``."""
     end = np.uint32(END).tobytes()
@@ -135,7 +99,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
     def run(batches):
         seen = [0] * (capacity + 1)
         partition = TaskContext.get().partitionId()
-        cache = once_per_worker(f"best fit {path}", lambda: WordCache(path))
+        cache = once_per_worker(f"words {path}", lambda: WordCache(path))
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(6)]

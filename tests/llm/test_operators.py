@@ -53,6 +53,15 @@ def test_byte_bpe_equals_library(random_texts):
         assert own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_packing_keeps_plain_words_once(random_texts):
+    cache, library = packing.WordCache(BYTE), Tokenizer.from_file(BYTE)
+    texts = [*(t or "" for t in ODD), *random_texts, "some plain words, and " + "long" * 30 + " ones"]
+    for ids, want in zip(cache.ids_of(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+    assert "plain" in cache._spaced._young and " plain" not in cache._pretokens._young
+    assert "long" * 30 not in cache._spaced._young  # too long to be kept
+
+
 def test_round_trip_table(spark, odd):
     df, rows = odd
     library = Tokenizer.from_file(BYTE)
