@@ -32,6 +32,8 @@ CLIP = 6.0
 #: A language uses a script if this share of its letters is written in it.
 SCRIPT_SHARE = 0.02
 SLICE = 2 << 20
+#: Most entries in one generation of a worker's cache of words and their scores.
+KEPT_WORDS = 60_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -156,7 +158,7 @@ class Labeller:
             rows[:, width] = [len(w) for w in words]
             return [r.tobytes() for r in rows]
 
-        self._chunks = Recent(look, 250_000)
+        self._chunks = Recent(look, KEPT_WORDS)
 
     def label(self, texts: list[str], with_spans: bool = True) -> list[tuple[str, float, list[tuple[str, int, int, int]]]]:
         """Per text: language, its share of the letters, and, if asked for, spans (language, first word, words, letters)."""

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -62,6 +63,26 @@ def test_packing_keeps_plain_words_once(random_texts):
     assert "long" * 30 not in cache._spaced._young  # too long to be kept
 
 
+def test_a_worker_lets_go_of_the_cache_before(random_texts):
+    from sluiceway.llm.common import once_per_worker
+
+    cache = once_per_worker("one operator", lambda: packing.WordCache(BYTE))
+    cache.ids_of(random_texts)
+    before = weakref.ref(cache)
+    del cache
+    # what the first one kept is gone by the time the second is made
+    assert once_per_worker("the next", lambda: [before()]) == [None]
+
+
+def test_language_keeps_a_bounded_number_of_words():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    labeller = language.Labeller(language.train([("some words of one language", "x")]))
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(150_000)]
+    for at in range(0, len(words), 10_000):
+        labeller.label([" ".join(words[at : at + 10_000])], with_spans=False)
+    assert len(labeller._chunks._young) + len(labeller._chunks._old) <= 2 * (language.KEPT_WORDS + 10_000)
+
+
 def test_round_trip_table(spark, odd):
     df, rows = odd
     library = Tokenizer.from_file(BYTE)
