@@ -39,6 +39,18 @@ def second_post(refresh: Column, first: Column, n: Column) -> Column:
     return (first + 1 + refresh % (n - 1)) % n
 
 
+def with_context(actions: DataFrame, users: DataFrame, legal: DataFrame) -> DataFrame:
+    """``actions`` with the community of the user and the legal choices, null where there are none.
+
+    What is looked up meets on ids alone, so the wide rows are joined once, however large ``users`` is. A user listed
+    several times gives each action as often. ``legal``: rowid (unique), legal.
+    """
+    ids = actions.select("rowid", "user_id").distinct().join(users, "user_id", "left").join(legal, "rowid", "left")
+    ids = ids.select(F.col("rowid").alias("__row"), F.col("user_id").alias("__user"), "community", "legal")
+    own = F.col("rowid").eqNullSafe(F.col("__row")) & F.col("user_id").eqNullSafe(F.col("__user"))
+    return actions.join(ids, own).drop("__row", "__user")
+
+
 def forget(spark: SparkSession, sf_dir: str) -> None:
     """Derive the facts anew at the next query, after the tables have changed."""
     _STORED.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
@@ -327,8 +339,7 @@ class Logs:
         run_id = F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string"))
         profiles = F.array(*[F.lit(p) for p in PROFILES])
         snap = (
-            a.join(legal, "rowid", "left")
-            .join(self.users, "user_id", "left")
+            with_context(a, self.users, legal)
             .select(
                 decision_id(run_id, F.col("timestep"), F.col("user_id"), F.col("rowid")).alias("decision_id"),
                 run_id.alias("run_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from sluiceway.functions import ordered
 from sluiceway.operators import dataset, exposure, threshold
+from sluiceway.plans import views
 from sluiceway.streaming import lifecycle
 
 
@@ -172,3 +173,27 @@ def test_short_rounds_leave_large_layers_alone(spark):
         state.add(threshold.cut(spark.range(i, i + 2).toDF("user_id")))
     assert merged and max(merged) < 1000
     assert state.rows().count() == 200_000 + 4 * threshold.LAYERS
+
+
+def test_wide_actions_are_shuffled_once(spark, rows_of):
+    """Repeated actions and users, unknown users and missing ids give what two joins of the wide rows give."""
+    keys = [(1, 10), (2, 11), (3, 12), (3, 12), (3, 10), (None, 10), (5, None), (6, 99)]
+    actions = spark.createDataFrame([(r, u, ["h"] * 10) for r, u in keys], "rowid long, user_id long, history array<string>")
+    users = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c"), (12, "c"), (None, "d")], "user_id long, community string")
+    legal = spark.createDataFrame([(1, ["ignore", "repost:1"]), (3, ["ignore"]), (None, ["x"])], "rowid long, legal array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = views.with_context(actions, users, legal)
+        want = actions.join(legal, "rowid", "left").join(users, "user_id", "left")
+        names = ("rowid", "user_id", "history", "community", "legal")
+        assert sorted(out.columns) == sorted(names) and rows_of(out, *names) == rows_of(want, *names)
+
+        def wide(df) -> int:
+            plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            parts = [p for p in plan.split("\n\n") if ") Exchange" in p]
+            return sum("history" in line for p in parts for line in p.splitlines() if line.startswith("Input"))
+
+        assert wide(out) < wide(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
