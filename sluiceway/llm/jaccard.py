@@ -23,6 +23,7 @@ Nothing is capped: a pair that is not formed is joined already or provably too f
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
-from .chunks import Recent
 from .common import batch_rows, once_per_worker, slices, whole_text
 from .components import components
 
@@ -48,8 +48,8 @@ BROADCAST_IDS = 2_000_000
 #: Blocks of the product for each partition of the input.
 BLOCKS = 4
 PACK_ROWS = 50_000
-#: Bytes of text and rows handled at once, and word hashes kept, in a worker.
-SLICE, TEXT_ROWS, KEPT_WORDS = 2 << 20, 1000, 120_000
+#: Bytes of text and rows handled at once in a worker.
+SLICE, TEXT_ROWS = 2 << 20, 1000
 #: Pairs with their sets handed to Python at once.
 PAIR_ROWS = 500
 #: 64-bit words of the parity map of a set.
@@ -66,19 +66,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash_words(words: list[bytes]) -> list[bytes]:
-    return [xxhash.xxh3_64_digest(w) for w in words]
-
-
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The n-grams of each text as sorted 64-bit hashes; empty without words.
 
     Only A-Z are lowered and only ASCII white space separates words, which is what
     bytes.lower() and bytes.split() do. A text of fewer words is one n-gram of its own kind.
     """
-    hashes = once_per_worker("word hashes", lambda: Recent(_hash_words, KEPT_WORDS))
+    once_per_worker("n-grams", lambda: None)  # lets go of what the operator before kept
     words = [t.lower().split() for t in texts]
-    flat = np.frombuffer(b"".join(hashes.look_up([w for ws in words for w in ws])), ">u8").astype(np.uint64)
+    # hashing a word again costs less than looking up what it gave before
+    flat = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(words))), ">u8").astype(np.uint64)
     sums = np.zeros(max(0, len(flat) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         sums += flat[k : k + len(sums)] * _FACTORS[k]
@@ -87,7 +84,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     for ws in words:
         n = len(ws)
         if n >= WORDS:
-            out.append(np.unique(sums[at : at + n - WORDS + 1]))
+            own = np.sort(sums[at : at + n - WORDS + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
         elif n:
             short = (flat[at : at + n] * _FACTORS[:n]).sum(dtype=np.uint64) + np.uint64(n)
             out.append(_mix(_mix(np.array([short], np.uint64))))
