@@ -63,6 +63,37 @@ def test_packing_keeps_plain_words_once(random_texts):
     assert "long" * 30 not in cache._spaced._young  # too long to be kept
 
 
+def test_new_words_are_encoded_together(random_texts):
+    steps, library = packing.StepEncoder(BYTE), Tokenizer.from_file(BYTE)
+    rnd = random.Random(6)
+    words = ["a", " a", "aaaaaaa", "zzzz", " " + "ab" * 40, "é" * 30, "\n\n", "!!!", *[" " + "".join(rnd.choice("thenaigé漢") for _ in range(rnd.randint(1, 40))) for _ in range(15_000)]]
+    ids, counts = steps.encode(words)
+    want = [[t.id for t in library.model.tokenize(w.encode().decode("latin-1").translate({b: c for c, b in bpe.byte_letters().items()}))] for w in words]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [t for w in want for t in w]
+    cache = packing.WordCache(BYTE)
+    texts = [f"x{i} word{sign}" + sign for i, sign in enumerate([*packing.SIGNS, *"'²\xa0\n", "'s.", ".'s"])]
+    for got, whole in zip(cache.ids_of(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, "<u4").tolist() == whole.ids
+
+
+def test_packing_keeps_a_bounded_number_of_words():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cache = packing.WordCache(BYTE)
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(150_000)]
+    for at in range(0, len(words), 10_000):
+        cache.ids_of([" ".join(words[at : at + 10_000])])
+    assert len(cache._spaced._young) + len(cache._spaced._old) <= 2 * 70_000
+
+
+def test_word_hashes_are_not_kept(random_texts):
+    from sluiceway.llm import common
+
+    common.once_per_worker("the operator before", dict)
+    jaccard.shingle_sets([t.encode() for t in random_texts])
+    assert not any(common._KEPT.values())
+
+
 def test_a_worker_lets_go_of_the_cache_before(random_texts):
     from sluiceway.llm.common import once_per_worker
 
