@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordered import first_items, next_value, prefix_scan, trailing_list
 from ..functions.scalar import canonical_text
-from ..functions.skew import lookup
+from ..functions.skew import is_small, lookup
+from ..session import cut
 
 REFRESH = "refresh"
+#: Samples that may be broadcast, in bytes of memory.
+SAMPLE_BYTES = 64 << 20
 
 
 def token(rowid: str = "rowid", action: str = "action") -> Column:
@@ -133,8 +136,14 @@ def repost_continuation(samples: DataFrame, impressions: DataFrame) -> DataFrame
     """High-risk reposts whose created post is a candidate again at a later step.
 
     ``samples``: rowid, timestep, created_post_id. Candidates are first counted per
-    (post, timestep), so a post shown to everybody is a few rows.
+    (post, timestep), so a post shown to everybody is a few rows. Samples are few beside the
+    impressions: stored, they are broadcast up to a checked size, and only candidates that one
+    of them created are counted.
     """
+    samples = cut(samples)
+    made = samples.select(F.col("created_post_id").alias("post_id")).distinct()
+    if is_small(samples, SAMPLE_BYTES):
+        impressions = impressions.join(F.broadcast(made), "post_id", "left_semi")
     steps = impressions.groupBy(F.col("post_id").alias("created_post_id"), F.col("timestep").alias("seen_at")).agg(
         F.count(F.lit(1)).alias("n"), F.min("impression_id").alias("first")
     )

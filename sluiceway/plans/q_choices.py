@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as sc
 from ..functions.ordered import prefix_scan
 from ..operators import choices, linking
+from ..session import cut
 from .registry import query
 from .views import Logs
 
@@ -367,6 +368,8 @@ CREATED = """SELECT c.refresh_id * 2 + 1000000000 AS impression_id, c.timestep,
 def _(t: Logs):
     made = F.when(F.col("created_post_id").isNotNull(), F.col("created_post_id"))
     log = t.trace.select("rowid", "user_id", "timestep", "action", F.get_json_object("info", "$.new_post_id").cast("bigint").alias("created_post_id"))
+    # stored, so that the range shuffle samples numbers and not texts; other rows neither show a post nor create one
+    log = cut(log).where("action = 'refresh' or created_post_id is not null")
     own = prefix_scan(log, ["user_id"], "rowid", lasts={"own": made}).where("action = 'refresh' and own is not null")
     shown = own.select((F.col("rowid") * 2 + 1000000000).alias("impression_id"), "timestep", F.col("own").alias("post_id"))
     impressions = shown.unionByName(t.impressions.select("impression_id", "timestep", "post_id"))

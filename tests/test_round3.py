@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from sluiceway.functions import ordered
-from sluiceway.operators import dataset, exposure, threshold
+from sluiceway.operators import dataset, exposure, linking, threshold
 from sluiceway.plans import views
 from sluiceway.streaming import lifecycle
 
@@ -197,3 +197,12 @@ def test_wide_actions_are_shuffled_once(spark, rows_of):
         assert wide(out) < wide(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repost_continuation_counts_only_what_samples_created(spark):
+    samples = spark.createDataFrame([(1, 5, 100), (2, 5, 200), (3, 9, 100), (4, 1, None)], "rowid long, timestep long, created_post_id long")
+    shown = [(10, 6, 100), (11, 6, 100), (12, 10, 100), (13, 5, 200), (14, 7, 300), (15, 7, None)]
+    out = linking.repost_continuation(samples, spark.createDataFrame(shown, "impression_id long, timestep long, post_id long"))
+    assert sorted(map(tuple, out.collect())) == [(1, 100, 3, 10), (3, 100, 1, 12)]
+    # candidates that no sample created are left out before anything is grouped
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
